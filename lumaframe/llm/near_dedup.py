@@ -9,11 +9,12 @@
    against its smallest member by the exact Jaccard similarity of their full
    shingle sets.
 4. Union-find over the confirmed links. In a bucket whose members are still in
-   several components, the pairs from different components are verified too,
-   save those that the triangle inequality of the Jaccard distance rules out
-   (both distances to the bucket's smallest member are known by then). No
-   candidate is dropped otherwise, so all links inside buckets are found while
-   members that are already joined are never paired.
+   several components, links between these are sought too: in small buckets
+   pair by pair, save pairs that the triangle inequality of the Jaccard
+   distance rules out (both distances to the bucket's smallest member are known
+   by then), in large ones block against block, where no pair becomes a row.
+   So all links inside buckets are found while members that are already joined
+   are never held against each other.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ from lumaframe.llm.shingles import mix, shingle_sets, super_minhash, text_slices
 ROWS = 5
 #: The number of bands keeps the chance of missing a pair just at the threshold below this.
 MISS = 1e-5
+#: Buckets of up to so many members have pairs across components verified one by one, larger ones block against block.
+PAIRED = 16
+#: Sets in a block, about.
+BLOCK = 128
+#: Stands for the blocks of all small components.
+_NONE = -(2**63) + 1
 
 
 def bands_for(similarity: float) -> int:
@@ -111,8 +118,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     grouped = connected_components(links)
 
-    crossing = _crossing(members, tested, grouped, percent)
-    more = materialise(_verify(crossing, sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    state = materialise(members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
+    sizes = state.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket", "size")
+    mixed = materialise(state.join(sizes, "bucket"), "mixed")
+    few = _verify(_crossing(mixed.where(F.col("size") <= PAIRED), tested, percent), sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = materialise(few.union(_crossing_blocks(mixed.where(F.col("size") > PAIRED), sets, percent)), "links")
     if not more.isEmpty():
         stars = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
         grouped = connected_components(stars.union(more))
@@ -123,14 +133,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _crossing(members: DataFrame, tested: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components, not tested yet and not ruled out by their distances to its head."""
-    known = members.join(tested.select(F.col("a").alias("rep"), F.col("b").alias("head"), (1 - F.col("similarity")).alias("away")), ["rep", "head"])
-    known = known.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "head", "away", F.coalesce("component", "rep").alias("component"))
-    apart = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    known = known.join(apart, "bucket")
+def _crossing(mixed: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one small bucket in different components, not tested yet and not ruled out by their distances to its head."""
+    known = mixed.join(tested.select(F.col("a").alias("rep"), F.col("b").alias("head"), (1 - F.col("similarity")).alias("away")), ["rep", "head"])
     other = known.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("away").alias("away_b"), F.col("component").alias("cb"))
     near = (F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")) & (F.abs(F.col("away") - F.col("away_b")) <= 1 - percent / 100 + 1e-9)
     size = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
-    pairs = known.join(other, "bucket").where(near & size).select(F.col("rep").alias("a"), "b").distinct()
-    return pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
+    return known.join(other, "bucket").where(near & size).select(F.col("rep").alias("a"), "b").distinct()
+
+
+def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Two blocks of sets a row: one link for each two components that have any between the blocks."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, comps, sets = [], [], []
+            for side in ("x", "y"):
+                block = batch.column(side)[row].values
+                ids.append(block.field("rep").to_numpy())
+                comps.append(block.field("component").to_numpy())
+                sets.append([s.values.to_numpy().view(np.uint64) for s in block.field("shingles")])
+            lengths = [np.array([len(s) for s in side]) for side in sets]
+            flat = [np.concatenate(side) for side in sets]
+            owner = [np.repeat(np.arange(len(n)), n) for n in lengths]
+            shared = np.intersect1d(flat[0], flat[1])
+            both = np.zeros((len(ids[0]), len(ids[1])), np.float32)
+            at = [np.searchsorted(shared, f) for f in flat]
+            hit = [np.append(shared, 0)[a] == f if len(shared) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+            for lo in range(0, len(shared), 4096):
+                grids = []
+                for side in (0, 1):
+                    here = hit[side] & (at[side] >= lo) & (at[side] < lo + 4096)
+                    grid = np.zeros((len(ids[side]), min(4096, len(shared) - lo)), np.float32)
+                    grid[owner[side][here], at[side][here] - lo] = 1
+                    grids.append(grid)
+                both += grids[0] @ grids[1].T
+            union = lengths[0][:, None] + lengths[1] - both
+            linked = (100 * both >= percent * union) & (comps[0][:, None] != comps[1])
+            found = {(comps[0][i], comps[1][j]): (ids[0][i], ids[1][j]) for i, j in zip(*np.nonzero(linked), strict=True)}
+            yield pa.RecordBatch.from_arrays([pa.array([int(u) for u, _ in found.values()], pa.int64()), pa.array([int(v) for _, v in found.values()], pa.int64())], names=["u", "v"])
+
+
+def _crossing_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in large buckets, found block against block; no pair becomes a row.
+
+    Large buckets that share members are one family. Its members are dealt
+    into blocks, a large component into blocks of its own, and two blocks meet
+    unless they are of the same component. All links are found that the
+    buckets hold, and at most one for two blocks and two components comes out.
+    """
+    family = connected_components(mixed.select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
+    reps = mixed.select(F.col("rep").alias("node"), "component").distinct().join(family.withColumnRenamed("component", "family"), "node")
+    large = reps.groupBy("family", "component").agg(F.count("*").alias("m")).where(F.col("m") >= BLOCK).withColumn("whole", F.col("component"))
+    reps = reps.join(large, ["family", "component"], "left")
+    others = reps.where("whole is null").groupBy("family").agg(F.count("*").alias("rest"))
+    reps = reps.join(others, "family", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("m", "rest") / BLOCK)).cast("long"))
+    reps = materialise(reps.withColumn("whole", F.coalesce("whole", F.lit(_NONE))).select("family", "whole", "part", "node", "component"), "families")
+    filled = reps.join(sets.withColumnRenamed("id", "node"), "node").groupBy("family", "whole", "part").agg(F.collect_list(F.struct(F.col("node").alias("rep"), "component", "shingles")).alias("block"))
+    filled = materialise(filled, "blocks")
+    keys = filled.select("family", "whole", "part")
+    left, right = keys.toDF("family", "wx", "px"), keys.toDF("family", "wy", "py")
+    meet = left.join(right, "family").where(f"(wx != wy or wx = {_NONE}) and (wx < wy or (wx = wy and px <= py))")
+    x, y = filled.toDF("family", "wx", "px", "x"), filled.toDF("family", "wy", "py", "y")
+    meet = meet.join(x, ["family", "wx", "px"]).join(y, ["family", "wy", "py"]).select("x", "y")
+    return meet.mapInArrow(partial(_between, percent=percent), "u long, v long")
