@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from lumaframe.llm.scratch import materialise
 from lumaframe.llm.shingles import text_slices
-from lumaframe.llm.transducer import stretches
+from lumaframe.llm.transducer import Memo, stretches
 
 #: Left-over windows that the last merge may read in one task; more go through another round first.
 MERGE_WINDOWS = 4096
@@ -22,26 +22,19 @@ _COLUMNS = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "clo
 _SCHEMA = "id {0}, start long, length long, doc_tokens long, sequence_id long, offset long, closed boolean, ids binary"
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """The library's ids of each stretch, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and looks at nothing across it, so a
     text's ids are those of its stretches in a row; each is encoded once.
     """
 
-    LIMIT = 600_000
-
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
+    def made(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

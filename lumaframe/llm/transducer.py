@@ -169,22 +169,39 @@ class Transducer:
         return len(parts) - 1 + sum(self.count_piece(p.encode("utf-8")) for part in parts if part for p in self.pattern.findall(self.normal(part)))
 
 
-class WordCounts(dict):
-    """Path-compressed transitions: from the start state over a whole stretch back to it, with the tokens it emits."""
+class Memo(dict):
+    """Values by stretch, in two generations of LIMIT each: what was not asked for since the last change goes."""
 
-    LIMIT = 600_000
+    LIMIT = 700_000
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self):
         super().__init__()
-        self.transducer = transducer
+        self.before: dict = {}
 
-    def __missing__(self, word: str) -> int:
-        count = self.transducer.count_word(word)
+    def made(self, word: str):
+        raise NotImplementedError
+
+    def __missing__(self, word: str):
+        value = self.before.get(word)
+        if value is None:
+            value = self.made(word)
         if len(word) <= 64:
             if len(self) >= self.LIMIT:
+                self.before = dict(self)
                 self.clear()
-            self[word] = count
-        return count
+            self[word] = value
+        return value
+
+
+class WordCounts(Memo):
+    """Path-compressed transitions: from the start state over a whole stretch back to it, with the tokens it emits."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def made(self, word: str) -> int:
+        return self.transducer.count_word(word)
 
     def of(self, text: str) -> int:
         return sum(map(self.__getitem__, stretches(text)))
