@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from lumaframe.functions.scalar import CHROMA_QP
+from lumaframe.functions.scalar import CHROMA_QP, clip3
 
 #: Edge thresholds by clipped index 0..51, and clipping bounds by index for strengths 1, 2, 3.
 ALPHA = [0] * 16 + [4, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 17, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 63, 71, 80, 90, 101, 113, 127, 144, 162, 182, 203, 226, 255, 255]
@@ -17,6 +19,14 @@ BOUNDS = {
 _BOUND_TABLE = np.array([[0] * 52, BOUNDS[1], BOUNDS[2], BOUNDS[3], [0] * 52])
 
 
+def limits(qp: Column, offset: Column, strength: Column) -> list[Column]:
+    """alpha, beta and the clipping bound of strengths 1 to 3 (0 for others), as columns."""
+    at = clip3(0, 51, (qp + offset).cast("int"))
+    table = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    bound = F.when(strength == 1, table(BOUNDS[1])).when(strength == 2, table(BOUNDS[2])).when(strength == 3, table(BOUNDS[3])).otherwise(0)
+    return [table(ALPHA).alias("alpha"), table(BETA).alias("beta"), bound.alias("bound")]
+
+
 def filter_edge(p: np.ndarray, q: np.ndarray, strength: np.ndarray, qp: int, alpha_offset: int, beta_offset: int, luma: bool) -> tuple[np.ndarray, np.ndarray]:
     """Samples beside an edge, filtered: ``p`` and ``q`` are (depth, n), nearest first; strength is (n,)."""
     p, q = p.astype(np.int64), q.astype(np.int64)

@@ -44,13 +44,23 @@ def chroma_qp(qp: Column, offset: Column | int) -> Column:
     return F.element_at(F.array(*map(F.lit, CHROMA_QP)), at + 1)
 
 
-def implicit_weight(current: Column, before: Column, after: Column) -> Column:
-    """The second reference's weight of 64 in implicit bi-prediction from picture orders; 32 outside the legal range."""
+def distance_scale(current: Column, before: Column, after: Column) -> Column:
+    """The share of 256 that the way to ``current`` has of the way to ``after``, in picture orders; null without a distance."""
     tb, td = clip3(-128, 127, current - before), clip3(-128, 127, after - before)
     whole = lambda x: x.cast("long")  # noqa: E731  casts truncate toward zero
     tx = whole((16384 + F.abs(whole(td / 2))) / F.nullif(td, F.lit(0)))
-    scale = clip3(-1024, 1023, F.shiftright(tb.cast("long") * tx + 32, 6))
-    weight = F.shiftright(scale, 2)
+    # least and greatest pass over nulls, so a missing distance is put back.
+    return F.when(td != 0, clip3(-1024, 1023, F.shiftright(tb.cast("long") * tx + 32, 6)))
+
+
+def temporal_vector(mv: Column, scale: Column) -> Column:
+    """One component of a colocated vector scaled by 256ths, rounded."""
+    return F.shiftright(mv * F.coalesce(scale, F.lit(256)) + 128, 8)
+
+
+def implicit_weight(current: Column, before: Column, after: Column) -> Column:
+    """The second reference's weight of 64 in implicit bi-prediction from picture orders; 32 outside the legal range."""
+    weight = F.shiftright(distance_scale(current, before, after), 2)
     return F.coalesce(F.when((weight >= -64) & (weight <= 128), weight), F.lit(32)).cast("long")
 
 

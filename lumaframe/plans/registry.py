@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.functions import blocks, scalar
+from lumaframe.functions import blocks, deblock, scalar
 from lumaframe.operators import compare, sequence
+from lumaframe.sources import traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -386,3 +387,30 @@ def mvd_unpivot(items):
 def poc_normalise(events):
     p = F.floor(F.abs(F.col("value")) * 997) % 65536
     return events.select(*EVENT, F.when(p >= 32768, p - 65536).otherwise(p).alias("poc"))
+
+
+_AT = f"greatest(0, least(51, {_Q} + l_linenumber - 4)) + 1"
+
+
+@_query("lineitem", [*ITEM, "l_quantity"], f"SELECT l_orderkey, l_linenumber, {deblock.ALPHA}[{_AT}]::INT AS alpha, {deblock.BETA}[{_AT}]::INT AS beta, (CASE l_linenumber % 4 WHEN 1 THEN {deblock.BOUNDS[1]}[{_AT}] WHEN 2 THEN {deblock.BOUNDS[2]}[{_AT}] WHEN 3 THEN {deblock.BOUNDS[3]}[{_AT}] ELSE 0 END)::INT AS bound FROM lineitem")
+def deblock_limits(items):
+    return items.select(*ITEM, *deblock.limits(_quantity(), F.col("l_linenumber") - 4, F.col("l_linenumber") % 4))
+
+
+@_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice", "l_partkey"], f"""
+    WITH d AS (SELECT *, greatest(-128, least(127, 50 - {_Q})) AS tb, greatest(-128, least(127, l_partkey % 100 - {_Q})) AS td FROM lineitem),
+    s AS (SELECT *, CASE WHEN td = 0 THEN 256 ELSE greatest(-1024, least(1023, (tb * ((16384 + abs(td // 2)) // nullif(td, 0)) + 32) >> 6)) END AS scale FROM d)
+    SELECT l_orderkey, l_linenumber, ((({_P} - 128) * scale + 128) >> 8)::BIGINT AS mv_l0, (((({_P} - 128) * scale + 128) >> 8) - ({_P} - 128))::BIGINT AS mv_l1 FROM s""")
+def temporal_direct(items):
+    mv = _price() - 128
+    first = scalar.temporal_vector(mv, scalar.distance_scale(F.lit(50), _quantity(), F.col("l_partkey") % 100))
+    return items.select(*ITEM, first.alias("mv_l0"), (first - mv).alias("mv_l1"))
+
+
+@_query("events", [*EVENT, "event_type", "value"], f"""
+    SELECT user_id, event_id, frame, v FROM (SELECT user_id, event_id, event_type, CAST(floor(value) AS BIGINT) AS v,
+        last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id {_RUN}) AS frame FROM events) WHERE event_type <> 'signup'""")
+def trace_headers(events):
+    line = F.when(F.col("event_type") == "signup", F.concat(F.lit("frame="), "event_id")).otherwise(F.concat(F.lit("v="), F.floor("value")))
+    lines = events.select(F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return traces.extract_below(lines, {"frame": r"^frame=(\d+)"}, r"^v=(-?\d+)", {"v": "long"}).withColumnsRenamed({"file": "user_id", "line_no": "event_id"})

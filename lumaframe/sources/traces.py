@@ -13,12 +13,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("line != ''").select("file", F.col("line_no").cast("long"), "line")
 
 
-def extract(lines: DataFrame, pattern: str, fields: dict[str, str]) -> DataFrame:
-    """Lines that match, with their groups in the order of ``fields`` cast to the types given; a group that is empty gives null."""
+def extract(lines: DataFrame, pattern: str, fields: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that match, with their groups in the order of ``fields`` cast to the types given; a group that is empty gives null. Columns in ``keep`` go along."""
     found = lines.where(F.col("line").rlike(pattern))
     group = lambda i: F.nullif(F.regexp_extract("line", pattern, i), F.lit(""))
     cast = lambda c, kind: F.conv(c, 16, 10).cast("long") if kind == "hex" else c.cast(kind)
-    return found.select("file", "line_no", *[cast(group(i), kind).alias(name) for i, (name, kind) in enumerate(fields.items(), 1)])
+    return found.select("file", "line_no", *keep, *[cast(group(i), kind).alias(name) for i, (name, kind) in enumerate(fields.items(), 1)])
 
 
 def with_headers(lines: DataFrame, headers: dict[str, str]) -> DataFrame:
@@ -30,9 +30,7 @@ def with_headers(lines: DataFrame, headers: dict[str, str]) -> DataFrame:
 
 def extract_below(lines: DataFrame, headers: dict[str, str], pattern: str, fields: dict[str, str]) -> DataFrame:
     """extract() with the header values in force at each line."""
-    marked = with_headers(lines, headers)
-    rows = extract(lines, pattern, fields)
-    return rows.join(marked.select("file", "line_no", *headers), ["file", "line_no"])
+    return extract(with_headers(lines, headers), pattern, fields, keep=tuple(headers))
 
 
 def frame_infos(lines: DataFrame) -> DataFrame:
