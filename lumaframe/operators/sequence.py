@@ -81,3 +81,19 @@ def occurrence(rows: DataFrame, group: list[str], line: str, item: str) -> DataF
 def repeat_number(rows: DataFrame, key: list[str], line: str) -> DataFrame:
     """repeat: how often the key was seen before, in line order."""
     return rows.withColumn("repeat", (F.row_number().over(Window.partitionBy(*key).orderBy(line)) - 1).cast("long"))
+
+
+def reference_list_p(pictures: DataFrame, stream: str, index: str, frame_num: str, poc: str, is_reference: Column, size: int) -> DataFrame:
+    """(stream, index, place, ref): the held references, highest frame number first, then highest picture order.
+
+    Where all have one frame number, the latest comes first. Only the last
+    ``size`` references of each picture are joined, so rows grow with the pictures.
+    """
+    held = reference_window(pictures.select(stream, index, is_reference.alias("_is_ref")), stream, index, F.col("_is_ref"), size)
+    wanted = held.select(stream, index, F.explode("refs").alias("ref"))
+    found = wanted.join(pictures.select(stream, F.col(index).alias("ref"), F.col(frame_num).alias("_n"), F.col(poc).alias("_p")), [stream, "ref"])
+    whole = Window.partitionBy(stream, index)
+    one = F.min("_n").over(whole) == F.max("_n").over(whole)
+    ranked = found.withColumn("_p", F.when(one, F.col("ref")).otherwise(F.col("_p")))
+    place = F.row_number().over(whole.orderBy(F.desc("_n"), F.desc("_p"), F.desc("ref")))
+    return ranked.withColumn("place", place).select(stream, index, "place", "ref")

@@ -414,3 +414,14 @@ def trace_headers(events):
     line = F.when(F.col("event_type") == "signup", F.concat(F.lit("frame="), "event_id")).otherwise(F.concat(F.lit("v="), F.floor("value")))
     lines = events.select(F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
     return traces.extract_below(lines, {"frame": r"^frame=(\d+)"}, r"^v=(-?\d+)", {"v": "long"}).withColumnsRenamed({"file": "user_id", "line_no": "event_id"})
+
+
+@_query("events", [*EVENT, "event_type", "value"], """
+    WITH k AS (SELECT *, CAST(floor(abs(value) / 20) AS BIGINT) AS n, CAST(floor(value) AS BIGINT) AS p,
+        coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM events),
+    j AS (SELECT c.user_id, c.event_id, r.event_id AS ref, r.n, r.p, min(r.n) OVER w = max(r.n) OVER w AS one
+        FROM k c JOIN k r ON r.user_id = c.user_id AND r.event_type <> 'error' AND r.k >= c.k - 4 AND r.k < c.k WINDOW w AS (PARTITION BY c.user_id, c.event_id))
+    SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id, event_id ORDER BY n DESC, CASE WHEN one THEN ref ELSE p END DESC, ref DESC))::INT AS place, ref FROM j""")
+def ref_list_p(events):
+    pictures = events.select(*EVENT, F.floor(F.abs(F.col("value")) / 20).alias("n"), F.floor("value").alias("p"), "event_type")
+    return sequence.reference_list_p(pictures, "user_id", "event_id", "n", "p", F.col("event_type") != "error", 4)
