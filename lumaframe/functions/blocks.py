@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +44,16 @@ def _combine(block: Column, rows: list[list[tuple[int, int]]]) -> Column:
     return F.array(*[sum((F.get(block, F.lit(p)) * s for s, p in row[1:]), F.get(block, F.lit(row[0][1])) * row[0][0]) for row in rows])
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: a one-element transform binds it to a variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hadamard4x4(block: Column) -> Column:
     """H x H of a raster 4x4 block, without scaling."""
-    across = _combine(block, [[(int(HADAMARD[c, k]), 4 * r + k) for k in range(4)] for r in range(4) for c in range(4)])
-    return _combine(across, [[(int(HADAMARD[r, k]), 4 * k + c) for k in range(4)] for r in range(4) for c in range(4)])
+    across = [[(int(HADAMARD[c, k]), 4 * r + k) for k in range(4)] for r in range(4) for c in range(4)]
+    down = [[(int(HADAMARD[r, k]), 4 * k + c) for k in range(4)] for r in range(4) for c in range(4)]
+    return _bound(block, lambda x: _bound(_combine(x, across), lambda y: _combine(y, down)))
 
 
 def hadamard2x2(block: Column) -> Column:
