@@ -65,8 +65,10 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], start: int = 0)
         share = whole_weights({s: weights[s] for s in left}, max(PERIOD, 4 * len(left)))
         plan = pfair_period(share)
         for periods in (min(left[s] // share[s] for s in left), 1):
-            if not periods or not left:
+            if not periods:
                 continue
+            if left.keys() != share.keys():  # whole periods used up a source: the others get new shares
+                break
             take = {s: min(share[s], n) for s, n in left.items()}
             used, order = dict.fromkeys(left, 0), 0
             for source, release, due, _ in plan:

@@ -100,6 +100,23 @@ def test_schedule_places_every_block_once():
     assert used == list(range(sum(blocks.values()))) and end == len(used)
 
 
+def test_schedule_when_whole_periods_use_up_a_source():
+    blocks = {"null": 1} | {f"s{i}": 625 for i in range(20)}
+    counts = {"null": 1} | {f"s{i}": 10000 for i in range(20)}
+    for part in (blocks, {"a": 1000, "b": 1000}):
+        stretches, slots, end = schedule(part, {s: counts.get(s, 1) ** 0.5 for s in part})
+        at = defaultdict(list)
+        for n, s, i, slot, *_ in slots:
+            at[n, s].append((i, slot))
+        placed = {(s, first + turn * each + i): start + turn * period + slot for n, s, first, stop, each, start, period in stretches for turn in range((stop - first) // each) for i, slot in at[n, s]}
+        assert set(placed) == {(s, b) for s, n in part.items() for b in range(n)}
+        assert sorted(placed.values()) == list(range(end))
+        order, held, lasting = sorted((x, s) for (s, _), x in placed.items()), Counter(), [s for s in part if s.startswith("s")]
+        for n, (_, source) in enumerate(order, 1):
+            held[source] += 1
+            assert all(abs(held[s] * len(lasting) - sum(held[x] for x in lasting)) < 2 * len(lasting) for s in lasting)
+
+
 def test_mixing(spark):
     rows = [(i, "big" if i % 3 else "small") for i in range(3000)] + [(None, None), (7, "big"), (7, "big"), (8, "rare")]
     frame = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, source string, mix_slot string")
