@@ -47,9 +47,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 2048 tokens."""
+    """The pieces of sequences of at most 2048 tokens, packed in the mixed order.
+
+    A scan does not keep the order between files, so the order, which depends
+    only on ids, sources and counts, is made again. Sequence ids follow it by
+    each sequence's first piece; what a partition's open windows hold at its
+    end is merged into sequences after all others.
+    """
     release()
-    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER), size=2048, end_id=1)
+    ordered = in_mixed_order(mix_sources(docs.select(*COLUMNS)))
+    packed = pack_documents(ordered, public_tokenizers.path(TOKENIZER), size=2048, end_id=1)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

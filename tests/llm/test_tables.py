@@ -151,3 +151,16 @@ def test_pipeline(spark):
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id] += r.length
     assert got == want
+
+
+def test_pipeline_sequences_follow_the_mixed_order(spark):
+    sf = "/root/testdata/sf0.01"
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()
+    left = {r.doc_id for r in pieces}
+    place = {r.doc_id: r.mix_position for r in mix_sources(spark.createDataFrame([r for r in docs if r.doc_id in left])).collect()}
+    first = sorted((r.sequence_id, place[r.doc_id]) for r in pieces if r.offset == 0)
+    packed_once = [at for sequence, at in first if sequence < 1 << 58]
+    assert len(packed_once) > 100 and packed_once == sorted(packed_once)
+    ends = {r.sequence_id >> 32 for r in pieces if r.sequence_id < 1 << 58}
+    assert len(ends) > 1
