@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,11 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^'
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: Text inside these is no text of the page.
-_SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "math", "object", "canvas", "audio", "video"}
+_SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "object", "canvas", "audio", "video", "annotation", "annotation-xml"}
+#: Of these, the ones whose content is raw text: tags inside mean nothing, and without an end tag they go on to the page's end.
+_RAW = {"script", "style", "iframe", "title", "textarea"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_INLINE |= {"annotation", "annotation-xml", "maction", "math", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _PROSE = {"article", "main"}
 _OTHER = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label", "legend", "head"}
@@ -48,6 +52,12 @@ d1/1- d1/1- d1/1- d1/1- t6/0+ d85/2+ d40/0+ d28/2+ d3/3- d3/3- d10/4-
 x5/5- d5/4- t8/0+ d52/0+ d12/0+ d77/1+ d10/9- d6/4- x30/0-
 x7/7- t5/0+ d35/0+ d110/8+ d21/0+ x18/18- x45/3- x10/0-
 d8/8- d15/13- d6/6- d20/18- d5/5-
+d3/3- d4/4- t7/0+ d62/8+ d48/14+ d90/30+ d35/6+ d57/21+ d7/7- d9/8-
+d2/2- t5/0+ d75/19+ d28/7+ d110/26+ d44/15+ d5/5- d12/11- d3/3-
+x3/3- h8/0+ a6/6- a5/5- a9/9- a4/4- a52/3+ a70/15+ a38/12+ x8/8-
+x2/2- h6/0+ a64/9+ a3/3- a7/7- a5/5- a8/8- a41/0+ a85/28+ x6/6-
+x3/3- h7/0+ a40/2+ a26/26+ a51/3+ a9/9+ a62/4+ a14/14+ a33/1+ x5/5-
+x3/3- h8/0+ a58/2+ a24/24+ a31/6+ a8/8+ a4/0+ x16/16- x7/7-
 x4/4- h9/0+ a5/0+ a6/1+ a7/7+ a2/0+ x15/15- x70/5-
 """
 
@@ -114,11 +124,28 @@ def _hinted(attributes: str) -> bool:
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, other, prose, heading) of each block with text, in page order."""
+    """(text, words, words in links, other, prose, heading) of each block with text, in page order.
+
+    A class, id or role says nothing about an element that holds the page's
+    whole article: a main, or every outermost article whose own names are no
+    hint. Text is left out inside silent elements; one without an end tag ends
+    with its parent, unless its content is raw text.
+    """
+    blocks, wrappers = _blocks(page, frozenset())
+    return _blocks(page, wrappers)[0] if wrappers else blocks
+
+
+def _blocks(page: str, wrappers: frozenset[int]) -> tuple[list[tuple], frozenset[int]]:
+    """The blocks, where the hints of the elements that begin at ``wrappers`` count for nothing; such elements found."""
     blocks: list[tuple] = []
     plain: list[str] = []
     linked: list[str] = []  # the same text, only what is in links
     stack: list[tuple[str, bool, bool]] = []  # open elements that count: name, other, prose
+    hinted: list[tuple[int, int]] = []  # those of them with a hint in their names: place in the stack, where they begin
+    inside: list[str] = []  # in a silent element: it and the elements open in it
+    opened: Counter[str] = Counter()  # the same by name
+    around: list[set[int]] = []  # the hinted elements around each outermost article
+    mains: set[int] = set()  # and around a main
     other = prose = 0
     heading, in_link, at, n = False, False, 0, len(page)
     lowered = ""
@@ -136,14 +163,17 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         for _, o, p in stack[k:]:
             other, prose = other - o, prose - p
         del stack[k:]
+        while hinted and hinted[-1][0] >= k:
+            hinted.pop()
 
     while at < n:
         tag = _TAG.search(page, at)
         begin = tag.start() if tag else n
         if begin > at:
-            plain.append(page[at:begin])
-            if in_link:
-                linked.append(page[at:begin])
+            if not inside:
+                plain.append(page[at:begin])
+                if in_link:
+                    linked.append(page[at:begin])
         if not tag:
             break
         at = tag.end()
@@ -151,13 +181,34 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if not name:
             continue
         ends, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
-        if name in _SILENT and not ends:
+        if name in _RAW and not ends:
             if not attributes.endswith("/"):
                 lowered = lowered or page.lower()
                 if len(lowered) != n:
                     lowered = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
                 stop = lowered.find(f"</{name}", at)
                 at = n if stop < 0 else (page.find(">", stop) + 1 or n)
+            if not inside:
+                close()
+            continue
+        if inside:
+            if not ends:
+                if name not in _VOID and not attributes.endswith("/"):
+                    inside.append(name)
+                    opened[name] += 1
+                continue
+            if opened[name]:
+                while True:
+                    opened[last := inside.pop()] -= 1
+                    if last == name:
+                        break
+                continue
+            inside.clear()  # the parent's end
+            opened.clear()
+        if name in _SILENT:
+            if not ends and not attributes.endswith("/"):
+                inside.append(name)
+                opened[name] += 1
             if name not in _INLINE:
                 close()
             continue
@@ -187,14 +238,24 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             drop(len(stack) - 1)
         if name in _VOID or attributes.endswith("/"):
             continue
-        names_itself = name not in ("html", "body", *_PROSE) and (name in _OTHER and not (name == "header" and prose) or bool(attributes) and _hinted(attributes))
+        hint = bool(attributes) and name not in ("html", "body") and _hinted(attributes)
+        if name == "main":
+            mains |= {begin for _, begin in hinted}
+        elif name == "article" and not prose and not hint:
+            around.append({begin for _, begin in hinted})
+        if begin in wrappers:
+            hint = False
+        by_name = name in _OTHER and not (name == "header" and prose)
+        names_itself = name not in ("html", "body", *_PROSE) and (by_name or hint)
         if names_itself or name in _PROSE or name in ("div", "section", "ul", "ol", "table", "p", "li", "td"):
             if name in ("p", "li", "td") and not names_itself:
                 continue
+            if hint and not by_name and names_itself:
+                hinted.append((len(stack), begin))
             stack.append((name, names_itself, name in _PROSE))
             other, prose = other + names_itself, prose + (name in _PROSE)
     close()
-    return blocks
+    return blocks, frozenset(mains.union(set.intersection(*around) if around else ()))
 
 
 def main_text(page: str) -> str:

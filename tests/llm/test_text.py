@@ -95,6 +95,25 @@ def test_html(spark):
     assert text_blocks("a<p>b</p>c")[1][0] == "b"
 
 
+def test_html_wrappers_links_and_unclosed_elements():
+    words = "plain words of a long paragraph that goes on for a while"
+    par, link = f"<p>{words}</p>", '<a href="l">link words here</a>'
+    comments = f'<ol class="comments"><li><article class="comment">{par}</article></li></ol>'
+    for wrapper in ("<div class='layout has-sidebar'>", "<div id='with-header'><div class='sidebar-left'>"):
+        assert main_text(f"{wrapper}<nav>x</nav><article>{par}</article>{comments}<aside>z</aside></div>") == words
+        assert main_text(f"{wrapper}<main class='search'>{par}</main>{comments}<aside>z</aside></div>") == words
+    teaser = f'<div class="related"><article>{par}</article></div>'
+    assert main_text(f"<article>{par}</article>{teaser}") == words
+    for silent in ("select", "svg", "object", "video", "noscript"):
+        assert main_text(f"<body><div><{silent}><i>gone</div>{par}</body>") == words
+        assert main_text(f"<article><{silent}><div>no</div><p>no</{silent}>{par}</article>") == words
+    assert main_text("<article><p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> holds.</p></article>") == "Here x=2 holds."
+    pars, want = f"<p>{words} {link} {words}.</p><p>{link} {words} {words}.</p>", f"{words} link words here {words}.\nlink words here {words} {words}."
+    menu = "".join(f'<li><a href="{x}">{x}</a></li>' for x in ("Home", "News", "About us"))
+    assert main_text(f"<body><ul>{menu}</ul><h2>T</h2>{pars}<div>{link}</div></body>") == f"T\n{want}"
+    assert main_text(f"<article><ul>{menu}</ul>{pars}</article>") == want
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow do I sort a list?"),
