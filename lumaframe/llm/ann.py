@@ -3,9 +3,10 @@
 Codebooks of full-dimensional codewords are trained on a bounded sample:
 k-means on residuals first, then rounds of beam-search encoding and a joint
 least-squares update of all codewords. Every distinct vector is encoded by
-beam search and stored as one byte for each codebook and the norm of its
-reconstruction. A query scores codes by adding table entries, and its best
-candidates are ranked again by the exact cosine of the original vectors.
+beam search and stored as one byte for each codebook, the error of its
+reconstruction and the vector itself. A query scores codes by adding table
+entries; a score is wrong by the error at most, and every vector whose score
+plus error reaches the query's best so far is ranked by its exact cosine.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from lumaframe.llm.scratch import materialise
 CODEBOOKS, CODEWORDS, BEAM = 8, 256, 4
 #: Vectors that the codebooks are fitted on, at most: those of the smallest id hashes.
 SAMPLE = 8192
-#: Candidates of each query that are ranked exactly.
-SHORTLIST = 256
 #: Codes and queries in a block.
-CODE_BLOCK, QUERY_BLOCK = 16384, 64
+CODE_BLOCK, QUERY_BLOCK = 2048, 64
+#: What single-precision scores, and double-precision products of unit vectors, may be off besides.
+SLACK, ROUNDING = 1e-4, 1e-9
 
 
 def train_codebooks(x: np.ndarray, books: int = CODEBOOKS, words: int = CODEWORDS, rounds: int = 2) -> np.ndarray:
@@ -82,13 +83,19 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM, block: int = 1024
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype != np.float32:
+        flat = flat.astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _double_unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return _double_unit(x).astype(np.float32)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -96,18 +103,22 @@ def _encoded(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[p
 
     def block(full: bool) -> Iterator[pa.RecordBatch]:
         while held and (sum(len(h[0]) for h in held) >= CODE_BLOCK or not full):
-            ids, codes, norms = (np.concatenate([h[i] for h in held]) for i in range(3))
+            made = [np.concatenate([h[i] for h in held]) for i in range(4)]
             held.clear()
-            if len(ids) > CODE_BLOCK:
-                held.append((ids[CODE_BLOCK:], codes[CODE_BLOCK:], norms[CODE_BLOCK:]))
-            yield pa.RecordBatch.from_pylist([{"ids": ids[:CODE_BLOCK].tobytes(), "codes": codes[:CODE_BLOCK].tobytes(), "norms": norms[:CODE_BLOCK].tobytes()}])
+            for at in range(0, len(made[0]), CODE_BLOCK):
+                part = [x[at : at + CODE_BLOCK] for x in made]
+                if full and len(part[0]) < CODE_BLOCK:
+                    held.append(tuple(part))
+                else:
+                    yield pa.RecordBatch.from_pylist([{name: x.tobytes() for name, x in zip(("ids", "codes", "errors", "originals"), part, strict=True)}])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-            codes = encode(_unit(_matrix(part.column("vector"))), books)
+            vectors = _matrix(part.column("vector"))
+            codes = encode(_unit(vectors), books)
             made = sum(books[i][codes[:, i]] for i in range(len(books)))
-            held.append((part.column("rep").to_numpy(), codes.astype(np.uint8), np.maximum(np.linalg.norm(made, axis=1), 1e-6).astype(np.float32)))
+            held.append((part.column("rep").to_numpy(), codes.astype(np.uint8), np.linalg.norm(_unit(vectors) - made, axis=1).astype(np.float32), vectors))
             yield from block(True)
     yield from block(False)
 
@@ -116,43 +127,55 @@ def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, QUERY_BLOCK):
             part = batch.slice(at, QUERY_BLOCK)
-            yield pa.RecordBatch.from_pylist([{"first": part.column("id")[0].as_py(), "queries": part.column("id").to_numpy().tobytes(), "vectors": _unit(_matrix(part.column("vector"))).tobytes()}])
+            yield pa.RecordBatch.from_pylist([{"first": part.column("id")[0].as_py(), "queries": part.column("id").to_numpy().tobytes(), "vectors": _matrix(part.column("vector")).tobytes()}])
+
+
+def _original(raw: bytes, rows: int, d: int) -> np.ndarray:
+    """Single or double precision, as the column had it."""
+    return np.frombuffer(raw, np.float32 if len(raw) == rows * d * 4 else np.float64).reshape(rows, d).astype(np.float64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if scores.shape[1] > n:
-        at = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
-    return scores, ids
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the vector a and the rows of b, in double precision."""
+    return (a * b).sum(1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(1)))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, shortlist: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a query block and a code block; a running shortlist for each query block of the partition."""
+def _floor(scores: np.ndarray, n: int) -> np.ndarray:
+    """The n-th best of each row."""
+    return -np.partition(-scores, n - 1, axis=1)[:, n - 1] if scores.shape[1] >= n else np.full(len(scores), -np.inf)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a query block and a code block; the n best by exact cosine of each query in the partition, ties to the smaller id."""
     best: dict[int, tuple] = {}
     m, _, d = books.shape
     for batch in batches:
         for row in batch.to_pylist():
-            queries = np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
+            ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["queries"], np.int64)
+            asked, vectors = _original(row["vectors"], len(queries), d), _original(row["originals"], len(ids), d)
+            _, scores, known = best.setdefault(row["first"], (queries, np.full((len(queries), n), -np.inf), np.full((len(queries), n), -1)))
             codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
-            total = np.zeros((len(queries), len(codes)), np.float32)
+            unit = _unit(asked)
+            bound = np.zeros((len(queries), len(codes)), np.float32)
             for i in range(m):
-                total += (queries @ books[i].T)[:, codes[:, i]]
-            total /= np.frombuffer(row["norms"], np.float32)
-            ids = np.broadcast_to(np.frombuffer(row["ids"], np.int64), total.shape)
-            if row["first"] in best:
-                _, scores, known = best[row["first"]]
-                total, ids = np.concatenate([scores, total], 1), np.concatenate([known, ids], 1)
-            best[row["first"]] = (np.frombuffer(row["queries"], np.int64), *_best(total, ids, shortlist))
+                bound += (unit @ books[i].T)[:, codes[:, i]]
+            errors = np.frombuffer(row["errors"], np.float32) + np.float32(SLACK)
+            least = np.maximum(scores[:, -1], _floor(bound - errors, n))
+            bound += errors
+            reach = bound >= least[:, None]
+            at = np.flatnonzero(reach.any(0))
+            if not len(at):
+                continue
+            close = _double_unit(asked) @ _double_unit(vectors[at]).T
+            reach = reach[:, at] & (close >= np.maximum(scores[:, -1], _floor(close, n))[:, None] - ROUNDING)
+            for i in np.flatnonzero(reach.any(1)):
+                own = at[reach[i]]
+                every, names = np.concatenate([scores[i], _cosines(asked[i], vectors[own])]), np.concatenate([known[i], ids[own]])
+                order = np.lexsort((names, -every))[:n]
+                scores[i], known[i] = every[order], names[order]
     for queries, scores, ids in best.values():
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, scores.shape[1])), pa.array(ids.ravel())], names=["query_id", "rep"])
-
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cosines in double precision."""
-    for batch in batches:
-        a, b = (_matrix(batch.column(c)).astype(np.float64) for c in ("query", "vector"))
-        score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))) if batch.num_rows else np.empty(0)
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("rep"), pa.array(score, pa.float64())], names=["query_id", "rep", "score"])
+        held = np.isfinite(scores)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, held.sum(1))), pa.array(ids[held]), pa.array(scores[held])], names=["query_id", "rep", "score"])
 
 
 def usable(vector: Column) -> Column:
@@ -161,7 +184,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, shortlist: int = SHORTLIST) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5) -> DataFrame:
     """(query_id, rank from 1, id_col, score): the k nearest by cosine of each row for which ``queries`` holds.
 
     Candidates are all rows but the query's own id, ties go to the smaller
@@ -170,7 +193,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     repeat an id and its vector count once). All vectors must have one
     length. Equal vectors are indexed once, by their smallest id, and the k + 1
     smallest ids of each are put back at the end, which is all that k results
-    can need; so copies neither crowd the shortlist nor meet in one task.
+    can need; so copies do not meet in one task. No candidate is cut by its
+    approximate score, so the result is that of comparing every pair exactly.
     """
     spark = vectors.sparkSession
     valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["id", "vector"])
@@ -186,7 +210,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     firsts = valid.withColumn("n", F.row_number().over(within)).where(F.col("n") <= k + 1)
     firsts = materialise(firsts.select("id", "n", "vector", F.min("id").over(Window.partitionBy("vector")).alias("rep")), "vectors")
     distinct = firsts.where("n = 1")
-    coded = materialise(distinct.select("rep", "vector").mapInArrow(partial(_encoded, books=books), "ids binary, codes binary, norms binary").withColumn("block", F.monotonically_increasing_id()), "codes")
+    coded = materialise(distinct.select("rep", "vector").mapInArrow(partial(_encoded, books=books), "ids binary, codes binary, errors binary, originals binary").withColumn("block", F.monotonically_increasing_id()), "codes")
     asked = materialise(asked.mapInArrow(_query_blocks, "first long, queries binary, vectors binary"), "queries")
 
     # A stated query set against all rows, in blocks: query blocks go to every lane, each code block to one.
@@ -195,13 +219,9 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     every = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     pairs = every.join(coded.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")), "lane")
     pairs = pairs.repartition(F.col("first"), F.col("lane") % width)
-    found = materialise(pairs.mapInArrow(partial(_scored, books=books, shortlist=shortlist), "query_id long, rep long"), "shortlists").distinct()
-
-    originals = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("query")).dropDuplicates(["query_id"])
-    ranked = found.join(distinct.select("rep", "vector"), "rep").join(originals, "query_id").select("query_id", "rep", "query", "vector")
-    ranked = ranked.mapInArrow(_exact, "query_id long, rep long, score double")
+    ranked = materialise(pairs.mapInArrow(partial(_scored, books=books, n=k + 1), "query_id long, rep long, score double"), "shortlists")
     order = Window.partitionBy("query_id")
-    classes = ranked.withColumn("n", F.row_number().over(order.orderBy(F.desc("score"), "rep"))).where(F.col("n") <= 2 * k + 2).drop("n")
+    classes = ranked.withColumn("n", F.row_number().over(order.orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1).drop("n")
     members = classes.join(firsts.select("rep", F.col("id").alias(id_col)), "rep").where(F.col("query_id") != F.col(id_col))
     top = members.withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), id_col))).where(F.col("rank") <= k)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "score")

@@ -51,6 +51,17 @@ def test_nearest_odd_vectors(spark):
     assert len(nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()) == 2
 
 
+def test_nearest_in_a_group_of_changed_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    x[1000:] = (x[0] + 0.001 * rng.standard_normal((2000, 16))) * rng.uniform(0.5, 2, (2000, 1))
+    rows = [(i, [float(v) for v in r.astype(np.float32)]) for i, r in enumerate(x[rng.permutation(3000)])]
+    got = defaultdict(list)
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == brute_nearest(rows, 5)
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(9)
     texts = [None, "", "a", "<|endoftext|> x", "Σ é 한 1.5, it's."] + [" ".join(rng.choice(["alpha", "Beta.", "été,", "12", "##"]) for _ in range(rng.choice([3, 40, 700, 3000]))) for _ in range(80)]
