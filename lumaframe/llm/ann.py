@@ -7,6 +7,10 @@ beam search and stored as one byte for each codebook, the error of its
 reconstruction and the vector itself. A query scores codes by adding table
 entries; a score is wrong by the error at most, and every vector whose score
 plus error reaches the query's best so far is ranked by its exact cosine.
+
+Queries form groups and code blocks form slices. A task holds one group's
+queries and has one slice's blocks stream past, so a code block travels once
+for each group and a query once for each slice, and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.llm.scratch import materialise
+from lumaframe.llm.scratch import Scratch
 
 CODEBOOKS, CODEWORDS, BEAM = 8, 256, 4
 #: Vectors that the codebooks are fitted on, at most: those of the smallest id hashes.
 SAMPLE = 8192
-#: Codes and queries in a block.
-CODE_BLOCK, QUERY_BLOCK = 2048, 64
+#: Codes in a block, code blocks in a slice, queries in a group (all about) and queries scored at once.
+CODE_BLOCK, SLICE, GROUP, QUERIES = 2048, 512, 16384, 256
 #: What single-precision scores, and double-precision products of unit vectors, may be off besides.
 SLACK, ROUNDING = 1e-4, 1e-9
 
@@ -123,11 +127,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[p
     yield from block(False)
 
 
-def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, QUERY_BLOCK):
-            part = batch.slice(at, QUERY_BLOCK)
-            yield pa.RecordBatch.from_pylist([{"first": part.column("id")[0].as_py(), "queries": part.column("id").to_numpy().tobytes(), "vectors": _matrix(part.column("vector")).tobytes()}])
+        vectors = _matrix(batch.column("vector"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["id", "vector"])
 
 
 def _original(raw: bytes, rows: int, d: int) -> np.ndarray:
@@ -145,37 +148,61 @@ def _floor(scores: np.ndarray, n: int) -> np.ndarray:
     return -np.partition(-scores, n - 1, axis=1)[:, n - 1] if scores.shape[1] >= n else np.full(len(scores), -np.inf)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a query block and a code block; the n best by exact cosine of each query in the partition, ties to the smaller id."""
-    best: dict[int, tuple] = {}
-    m, _, d = books.shape
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["queries"], np.int64)
-            asked, vectors = _original(row["vectors"], len(queries), d), _original(row["originals"], len(ids), d)
-            _, scores, known = best.setdefault(row["first"], (queries, np.full((len(queries), n), -np.inf), np.full((len(queries), n), -1)))
-            codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
-            unit = _unit(asked)
-            bound = np.zeros((len(queries), len(codes)), np.float32)
-            for i in range(m):
-                bound += (unit @ books[i].T)[:, codes[:, i]]
-            errors = np.frombuffer(row["errors"], np.float32) + np.float32(SLACK)
-            least = np.maximum(scores[:, -1], _floor(bound - errors, n))
-            bound += errors
-            reach = bound >= least[:, None]
-            at = np.flatnonzero(reach.any(0))
-            if not len(at):
+class _Group:
+    """The n best of each query of a group by exact cosine, ties to the smaller id, over the code blocks seen."""
+
+    def __init__(self, ids: list[int], vectors: list[bytes], books: np.ndarray, n: int):
+        self.ids, self.books, self.n = np.array(ids, np.int64), books, n
+        self.asked = np.concatenate([_original(v, 1, books.shape[2]) for v in vectors])
+        self.unit = _double_unit(self.asked)
+        self.scores, self.known = np.full((len(ids), n), -np.inf), np.full((len(ids), n), -1)
+
+    def see(self, ids: np.ndarray, codes: np.ndarray, errors: np.ndarray, originals: np.ndarray) -> None:
+        units: np.ndarray | None = None
+        for at in range(0, len(self.ids), QUERIES):
+            unit, scores, known = (x[at : at + QUERIES] for x in (self.unit, self.scores, self.known))
+            bound = np.zeros((len(unit), len(codes)), np.float32)
+            for i, book in enumerate(self.books):
+                bound += (unit.astype(np.float32) @ book.T)[:, codes[:, i]]
+            least = np.maximum(scores[:, -1], _floor(bound - errors, self.n))
+            reach = bound + errors >= least[:, None]
+            some = np.flatnonzero(reach.any(0))
+            if not len(some):
                 continue
-            close = _double_unit(asked) @ _double_unit(vectors[at]).T
-            reach = reach[:, at] & (close >= np.maximum(scores[:, -1], _floor(close, n))[:, None] - ROUNDING)
+            units = _double_unit(originals) if units is None else units
+            close = unit @ units[some].T
+            reach = reach[:, some] & (close >= np.maximum(scores[:, -1], _floor(close, self.n))[:, None] - ROUNDING)
             for i in np.flatnonzero(reach.any(1)):
-                own = at[reach[i]]
-                every, names = np.concatenate([scores[i], _cosines(asked[i], vectors[own])]), np.concatenate([known[i], ids[own]])
-                order = np.lexsort((names, -every))[:n]
+                own = some[reach[i]]
+                every, names = np.concatenate([scores[i], _cosines(self.asked[at + i], originals[own])]), np.concatenate([known[i], ids[own]])
+                order = np.lexsort((names, -every))[: self.n]
                 scores[i], known[i] = every[order], names[order]
-    for queries, scores, ids in best.values():
-        held = np.isfinite(scores)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, held.sum(1))), pa.array(ids[held]), pa.array(scores[held])], names=["query_id", "rep", "score"])
+
+    def rows(self) -> pa.RecordBatch:
+        held = np.isfinite(self.scores)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, held.sum(1))), pa.array(self.known[held]), pa.array(self.scores[held])], names=["query_id", "rep", "score"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a lane: its queries first (without codes), then its code blocks."""
+    m, _, d = books.shape
+    lane, ids, vectors, group = None, [], [], None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+            if row["lane"] != lane:
+                if group is not None:
+                    yield group.rows()
+                lane, ids, vectors, group = row["lane"], [], [], None
+            if row["codes"] is None:
+                ids.append(row["id"])
+                vectors.append(row["originals"])
+            elif ids:
+                group = group or _Group(ids, vectors, books, n)
+                names = np.frombuffer(row["ids"], np.int64)
+                group.see(names, np.frombuffer(row["codes"], np.uint8).reshape(-1, m), np.frombuffer(row["errors"], np.float32) + np.float32(SLACK), _original(row["originals"], len(names), d))
+    if group is not None:
+        yield group.rows()
 
 
 def usable(vector: Column) -> Column:
@@ -184,42 +211,51 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank from 1, id_col, score): the k nearest by cosine of each row for which ``queries`` holds.
 
     Candidates are all rows but the query's own id, ties go to the smaller
     id. Vectors that are null, empty, zero or hold a null or non-finite
-    component take no part, nor do null ids; ids should be unique (rows that
-    repeat an id and its vector count once). All vectors must have one
-    length. Equal vectors are indexed once, by their smallest id, and the k + 1
-    smallest ids of each are put back at the end, which is all that k results
-    can need; so copies do not meet in one task. No candidate is cut by its
-    approximate score, so the result is that of comparing every pair exactly.
+    component take no part, nor do null ids, nor vectors of another length
+    than most have (the shorter of two equally frequent lengths). Rows that
+    repeat an id and its vector count once; an id with several vectors is a
+    candidate by each, and a query by the smallest of them. Equal vectors are
+    indexed once, by their smallest id, and the k + 1 smallest ids of each are
+    put back at the end, which is all that k results can need; so copies do
+    not meet in one task. No candidate is cut by its approximate score, so the
+    result is that of comparing every pair exactly.
     """
     spark = vectors.sparkSession
-    valid = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["id", "vector"])
-    asked = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("_asked"))
-    asked = asked.where(F.col("_asked") & F.col("id").isNotNull() & usable(F.col("vector"))).select("id", "vector").dropDuplicates(["id"])
+    scratch = scratch or Scratch(spark)
     schema = f"query_id long, rank int, {id_col} long, score double"
-    sample = valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
-    if not sample:
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if lengths is None:
         return spark.createDataFrame([], schema)
+    rows = rows.where(F.size("vector") == lengths.d)
+    valid = rows.select("id", "vector").dropDuplicates(["id", "vector"])
+    sample = valid.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE).select("vector").collect()
     books = train_codebooks(_unit(np.array([r.vector for r in sample], np.float64)))
 
     within = Window.partitionBy("vector").orderBy("id")
     firsts = valid.withColumn("n", F.row_number().over(within)).where(F.col("n") <= k + 1)
-    firsts = materialise(firsts.select("id", "n", "vector", F.min("id").over(Window.partitionBy("vector")).alias("rep")), "vectors")
-    distinct = firsts.where("n = 1")
-    coded = materialise(distinct.select("rep", "vector").mapInArrow(partial(_encoded, books=books), "ids binary, codes binary, errors binary, originals binary").withColumn("block", F.monotonically_increasing_id()), "codes")
-    asked = materialise(asked.mapInArrow(_query_blocks, "first long, queries binary, vectors binary"), "queries")
-
-    # A stated query set against all rows, in blocks: query blocks go to every lane, each code block to one.
-    lanes = max(1, min(1024, coded.count()))
-    width = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, asked.count())))
-    every = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    pairs = every.join(coded.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")), "lane")
-    pairs = pairs.repartition(F.col("first"), F.col("lane") % width)
-    ranked = materialise(pairs.mapInArrow(partial(_scored, books=books, n=k + 1), "query_id long, rep long, score double"), "shortlists")
+    firsts = scratch.write(firsts.select("id", "n", "vector", F.min("id").over(Window.partitionBy("vector")).alias("rep")), "vectors")
+    distinct = firsts.where("n = 1").select("rep", "vector")
+    coded = scratch.write(distinct.mapInArrow(partial(_encoded, books=books), "ids binary, codes binary, errors binary, originals binary"), "codes")
+    asked = rows.where("asked").groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = scratch.write(asked.mapInArrow(_query_rows, "id long, vector binary"), "queries")
+
+    # A stated query set against all rows, in blocks: each lane is one group of queries and one slice of code blocks.
+    blocks, groups = coded.count(), -(-asked.count() // GROUP)
+    slices = max(1, -(-blocks // SLICE), min(blocks, -(-2 * spark.sparkContext.defaultParallelism // max(1, groups))))
+    lanes = max(1, slices * groups)
+    lane = lambda group, part: (group * slices + part).cast("long").alias("lane")
+    parts, every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))), F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1))))
+    group_of, slice_of = F.pmod(F.xxhash64("id"), F.lit(max(1, groups))), F.pmod(F.xxhash64("ids"), F.lit(slices))
+    questions = asked.withColumn("part", parts).select(lane(group_of, F.col("part")), "id", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "codes", "errors")], F.col("vector").alias("originals"))
+    answers = coded.withColumn("group", every).select(lane(F.col("group"), slice_of), F.lit(None).cast("long").alias("id"), "ids", "codes", "errors", "originals")
+    dealt = questions.union(answers).repartition(lanes, "lane").sortWithinPartitions("lane", F.col("codes").isNotNull(), "id")
+    ranked = scratch.write(dealt.mapInArrow(partial(_scored, books=books, n=k + 1), "query_id long, rep long, score double"), "shortlists")
     order = Window.partitionBy("query_id")
     classes = ranked.withColumn("n", F.row_number().over(order.orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1).drop("n")
     members = classes.join(firsts.select("rep", F.col("id").alias(id_col)), "rep").where(F.col("query_id") != F.col(id_col))

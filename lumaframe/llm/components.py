@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.scratch import materialise
+from lumaframe.llm.scratch import Scratch
+from lumaframe.llm.skew import join_counted
 
 
 def _local_union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,16 +45,17 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     near = _both(edges)
-    least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    joined = join_counted(near, least, ["u"], "n", 2 * size)  # a component's centre may have a third of all links
+    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_counted(down, least, ["u"], "n", size).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -61,17 +63,22 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(u, v) integer links -> (node, component): the smallest node reachable, for every node of a link.
 
     Links of a node with itself only name the node and are dropped. The
-    number of rounds grows with the logarithm of the longest path.
+    number of rounds grows with the logarithm of the longest path. Only the
+    last round's table stays in ``scratch``.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     stars = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").mapInArrow(_local_union_find, "u long, v long").where("u != v")
-    stars = materialise(stars.distinct(), "stars")
+    stars = scratch.write(stars.distinct(), "stars")
     before = _mark(stars)
     while before[0]:
-        stars = materialise(_small_star(_large_star(stars)), "stars")
+        large = scratch.write(_large_star(stars, before[0]), "stars")
+        scratch.discard(stars)
+        stars = scratch.write(_small_star(large, large.count()), "stars")
+        scratch.discard(large)
         after = _mark(stars)
         if after == before:
             break

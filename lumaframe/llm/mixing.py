@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Slots in a period: target weights are rounded to this many parts (or to four for each source, if that is more).
@@ -103,7 +104,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     row counts to the power TEMPERATURE.
 
     A null source is a source of its own; null or repeated ids and repeated
-    rows keep their rows. Existing columns of these names are replaced. The
+    rows keep their rows. Rows of one id are ordered by a hash of all their
+    columns, so that a task that runs again gives them the same places. Existing columns of these names are replaced. The
     driver gets one count for each source and makes a schedule of at most
     2 * sources * period rows, which is joined to blocks, not to rows' texts.
     """
@@ -133,7 +135,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     slot = spark.createDataFrame(slots, "_stretch int, _source string, _i long, _at long, mix_release long, mix_deadline long")
 
     spread = F.col("_seq") % block_rows
-    numbered = rows.withColumn("_rank", F.row_number().over(_order(id_col)))
+    hashable = [c for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    numbered = rows.withColumn("_rank", F.row_number().over(_order(id_col, hashable)))
     numbered = numbered.join(F.broadcast(offset), ["_source", "_bucket"]).withColumn("_seq", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank", "_bucket")
     numbered = numbered.withColumn("mix_block", F.expr(f"_seq div {block_rows}"))
     table = stretch.join(slot, ["_stretch", "_source"])
@@ -146,10 +149,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     return mixed.withColumn("mix_position", F.col("mix_slot") * block_rows + spread).select(*kept, *made)
 
 
-def _order(id_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_source", "_bucket").orderBy(F.xxhash64(id_col), id_col)
+def _order(id_col: str, columns: list[str]) -> WindowSpec:
+    return Window.partitionBy("_source", "_bucket").orderBy(F.xxhash64(id_col), id_col, F.xxhash64(*columns))
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:

@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.llm.components import connected_components
-from lumaframe.llm.scratch import materialise
+from lumaframe.llm.scratch import Scratch
 from lumaframe.llm.shingles import mix, shingle_sets, super_minhash, text_slices
+from lumaframe.llm.skew import join_counted, join_salted
 
 #: Registers in a band.
 ROWS = 5
@@ -65,28 +66,36 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> It
             sets = shingle_sets(part.column("text"), width)
             signatures = super_minhash(sets, bands * ROWS).reshape(len(sets), bands, ROWS)
             keys = mix((signatures * odd).sum(axis=2, dtype=np.uint64) ^ mix(np.arange(bands, dtype=np.uint64), 51), 52)
-            a, b = (np.array([mix(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64) for salt in (60, 61))
+            a, b = _fingerprints(sets)
             rows = [keys[i] if len(s) else keys[i][:0] for i, s in enumerate(sets)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(a)), pa.array(_signed(b)), _lists(rows)], names=names)
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.array([mix(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64) for salt in (60, 61))
+    return a, b
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("id"), _lists(shingle_sets(part.column("text"), width))], names=["id", "shingles"])
+            sets = shingle_sets(part.column("text"), width)
+            a, b = _fingerprints(sets)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_signed(a)), pa.array(_signed(b)), _lists(sets)], names=["id", "set_a", "set_b", "shingles"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> (a, b, similarity double, linked), by the full sets."""
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) -> (a, b, similarity double, linked), by the full sets. A head ``b`` may be in very many pairs."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    merged = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), both.alias("common"))
+    pairs = scratch.write(pairs, "pairs")
+    merged = join_salted(pairs.join(left, "a"), right, "b", "a", pairs.count()).select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), both.alias("common"))
     union = F.col("total") - F.col("common")
     return merged.select("a", "b", (F.col("common") / union).alias("similarity"), (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are runs of anything but ASCII white space, with A-Z lowered; a
@@ -97,39 +106,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts that are null or without words have no shingles, link with nothing
     and are kept. A row without id cannot be named by a component: it comes
     back with a null component_id and is kept. Rows that repeat an id with the
-    same text get the same result, each. Other columns are ignored.
+    same text get the same result, each. Rows that repeat an id with different
+    texts are grouped each by its own text; where such an id is the smallest of
+    several sets, its set of the smallest fingerprint is the one that is
+    verified for all of them. Other columns are ignored.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bands = bands_for(percent / 100)
-    signed = materialise(source.mapInArrow(partial(_signatures, width=width, bands=bands), "id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    signed = scratch.write(source.mapInArrow(partial(_signatures, width=width, bands=bands), "id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
 
     named = signed.where("id is not null and n_shingles > 0")
-    classes = materialise(named.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("head")).where("members > 1").drop("members")
-    members = materialise(buckets.join(shared, "bucket"), "members")
-
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = source.where("id is not null").join(wanted, "id", "left_semi")
-    sets = materialise(texts.mapInArrow(partial(_sets, width=width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    classes = named.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = scratch.write(classes, "classes")
+    buckets = classes.select("rep", "set_a", "set_b", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("head")).where("members > 1")
+    shared = scratch.write(shared, "shared")
+    members = scratch.write(join_counted(buckets, shared, ["bucket"], "members", bands * classes.count()).drop("members"), "members")
+
+    wanted = members.select(F.col("rep").alias("id"), "set_a", "set_b").distinct()
+    texts = source.where("id is not null").join(wanted.select("id").distinct(), "id", "left_semi")
+    made = texts.mapInArrow(partial(_sets, width=width), "id long, set_a long, set_b long, shingles array<long>").join(wanted, ["id", "set_a", "set_b"], "left_semi")
+    sets = scratch.write(made.groupBy("id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles")), "sets")
 
     to_head = members.where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    tested = materialise(_verify(to_head, sets, percent), "tested")
+    tested = scratch.write(_verify(to_head, sets, percent, scratch), "tested")
     links = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    grouped = connected_components(links)
+    grouped = connected_components(links, scratch)
 
-    state = materialise(members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
+    state = scratch.write(members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
     sizes = state.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket", "size")
-    mixed = materialise(state.join(sizes, "bucket"), "mixed")
-    few = _verify(_crossing(mixed.where(F.col("size") <= PAIRED), tested, percent), sets, percent).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    more = materialise(few.union(_crossing_blocks(mixed.where(F.col("size") > PAIRED), sets, percent)), "links")
+    mixed = scratch.write(join_counted(state, sizes, ["bucket"], "size", state.count()), "mixed")
+    few = _verify(_crossing(mixed.where(F.col("size") <= PAIRED), tested, percent), sets, percent, scratch).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = scratch.write(few.union(_crossing_blocks(mixed.where(F.col("size") > PAIRED), sets, percent, scratch)), "links")
     if not more.isEmpty():
         stars = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        grouped = connected_components(stars.union(more))
+        grouped = connected_components(stars.union(more), scratch)
 
-    labelled = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    labelled = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "copies", F.coalesce("component", "rep").alias("component_id"))
     rest = signed.where("id is null or n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    found = named.join(labelled, ["set_a", "set_b"]).select("id", "n_shingles", "component_id").union(rest)
+    found = join_counted(named, labelled, ["set_a", "set_b"], "copies", named.count()).select("id", "n_shingles", "component_id").union(rest)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -173,7 +189,7 @@ def _between(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([int(u) for u, _ in found.values()], pa.int64()), pa.array([int(v) for _, v in found.values()], pa.int64())], names=["u", "v"])
 
 
-def _crossing_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing_blocks(mixed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between components that meet in large buckets, found block against block; no pair becomes a row.
 
     Large buckets that share members are one family. Its members are dealt
@@ -181,15 +197,15 @@ def _crossing_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFra
     unless they are of the same component. All links are found that the
     buckets hold, and at most one for two blocks and two components comes out.
     """
-    family = connected_components(mixed.select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct())
+    family = connected_components(mixed.select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct(), scratch)
     reps = mixed.select(F.col("rep").alias("node"), "component").distinct().join(family.withColumnRenamed("component", "family"), "node")
     large = reps.groupBy("family", "component").agg(F.count("*").alias("m")).where(F.col("m") >= BLOCK).withColumn("whole", F.col("component"))
     reps = reps.join(large, ["family", "component"], "left")
     others = reps.where("whole is null").groupBy("family").agg(F.count("*").alias("rest"))
     reps = reps.join(others, "family", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("m", "rest") / BLOCK)).cast("long"))
-    reps = materialise(reps.withColumn("whole", F.coalesce("whole", F.lit(_NONE))).select("family", "whole", "part", "node", "component"), "families")
+    reps = scratch.write(reps.withColumn("whole", F.coalesce("whole", F.lit(_NONE))).select("family", "whole", "part", "node", "component"), "families")
     filled = reps.join(sets.withColumnRenamed("id", "node"), "node").groupBy("family", "whole", "part").agg(F.collect_list(F.struct(F.col("node").alias("rep"), "component", "shingles")).alias("block"))
-    filled = materialise(filled, "blocks")
+    filled = scratch.write(filled, "blocks")
     keys = filled.select("family", "whole", "part")
     left, right = keys.toDF("family", "wx", "px"), keys.toDF("family", "wy", "py")
     meet = left.join(right, "family").where(f"(wx != wy or wx = {_NONE}) and (wx < wy or (wx = wy and px <= py))")

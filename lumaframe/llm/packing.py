@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumaframe.llm.scratch import materialise
+from lumaframe.llm.scratch import Scratch
 from lumaframe.llm.shingles import text_slices
-from lumaframe.llm.transducer import Memo, stretches
+from lumaframe.llm.transducer import Memo, drops_white_space, stretches
 
 #: Left-over windows that the last merge may read in one task; more go through another round first.
 MERGE_WINDOWS = 4096
@@ -25,17 +26,25 @@ _SCHEMA = "id {0}, start long, length long, doc_tokens long, sequence_id long, o
 class WordIds(Memo):
     """The library's ids of each stretch, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and looks at nothing across it, so a
-    text's ids are those of its stretches in a row; each is encoded once.
+    Where the tokenizer lowers letters, drops white space and looks at nothing
+    across it, a text's ids are those of its stretches in a row; each is
+    encoded once. Any other tokenizer gets each text whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_stretch = drops_white_space(json.load(f))
 
     def made(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def of(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, stretches(text))) if self.by_stretch else self.made(text)
+
 
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
@@ -134,7 +143,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], path: str, end: int, size: in
         for batch in (b for some in ((first,), batches) for b in some):
             for part in text_slices(batch, "text"):
                 for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.frombuffer(b"".join([*map(words.__getitem__, stretches(text or "")), stop]), "<u4")
+                    ids = np.frombuffer(words.of(text or "") + stop, "<u4")
                     yield key, 0, ids, len(ids)
 
     yield from _packed(items(), first.schema.field("id").type, size, windows, 0, False)
@@ -154,9 +163,11 @@ def _pack_pieces(batches: Iterator[pa.RecordBatch], size: int, windows: int, tur
     yield from _packed(items(), first.schema.field("id").type, size, windows, turn, last)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048, end_id: int = 1, open_windows: int = 32) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = 2048, end_id: int = 1, open_windows: int = 32, scratch: Scratch | None = None) -> DataFrame:
     """Cut and pack the ids of all texts, each followed by ``end_id``, into sequences of at most ``size``.
 
+    ``tokenizer``: a tokenizer file of the library's, of any kind.
+
     Returns a row for each piece: id_col, start (ids of its document before
     it), length, doc_tokens, sequence_id, offset (its place in the sequence)
     and ids (little-endian unsigned 32-bit).
@@ -168,16 +179,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows are packed like any other row, so no id is lost; other columns are
     ignored.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = _SCHEMA.format(id_type)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = materialise(rows.mapInArrow(partial(_pack_texts, path=tokenizer, end=end_id, size=size, windows=open_windows), schema), "packed")
+    made = scratch.write(rows.mapInArrow(partial(_pack_texts, path=tokenizer, end=end_id, size=size, windows=open_windows), schema), "packed")
     done, turn = [made.where("closed")], 1
     while windows := (left := made.where("not closed")).select("sequence_id").distinct().count():
         last = windows <= MERGE_WINDOWS
         parts = 1 if last else -(-windows // (8 * open_windows))
         dealt = left.repartition(parts, F.xxhash64("sequence_id")).sortWithinPartitions(F.desc("length"), "id", "start")
-        made = materialise(dealt.mapInArrow(partial(_pack_pieces, size=size, windows=open_windows, turn=turn, last=last), schema), "packed")
+        made = scratch.write(dealt.mapInArrow(partial(_pack_pieces, size=size, windows=open_windows, turn=turn, last=last), schema), "packed")
         done.append(made.where("closed"))
         turn += 1
     out = done[0]

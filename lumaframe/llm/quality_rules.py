@@ -59,9 +59,9 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), F.sort_array(F.transform(twice, lambda x: x["i"])))).drop("_sorted")
     covered = F.transform("_starts", lambda p, k: F.coalesce(F.least(F.lit(WINDOW), p - F.get(F.col("_starts"), k - 1)), F.lit(WINDOW)))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    # Always true, but not known to be: keeps the optimizer from writing all of the above out again inside filters on the statistics.
-    once = F.spark_partition_id() >= 0
-    return step.withColumn("n_repeat_words", F.when(once, F.coalesce(total, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).drop("_starts")
+    made = {c: F.col(c) for c in STATISTICS} | {"n_repeat_words": F.coalesce(total, F.lit(0).cast("long"))}
+    # Generated columns are computed once for a row; filters on them stay above, filters on other columns still go below.
+    return step.select(*kept, F.inline(F.array(F.struct(*[x.alias(c) for c, x in made.items()]))))
 
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims"]
@@ -185,19 +185,29 @@ def rules_verdict(rules: list[Rule]) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> list[Rule]:
     """Learn from at most ``sample`` labelled documents, those of the smallest id hashes.
 
-    labels: id_col and quality (1 good, 0 bad); null labels are left out. Only
-    the sample's ids are sent to the executors and only its statistics come
-    back. Documents that fail the base rules teach nothing.
+    labels: id_col and quality (1 good, 0 bad); null ids and labels are left
+    out, and so are ids whose labels disagree. Only the sample's ids are sent
+    to the executors and only its statistics come back. Documents that fail
+    the base rules teach nothing. Where ids repeat in ``docs``, the first
+    ``sample`` rows by id hash, id and statistics teach. Without labelled
+    documents the list is empty and rejects nothing.
     """
-    chosen = labels.select(F.col(id_col).alias("_id"), F.col("quality").alias("_quality")).dropna().dropDuplicates(["_id"])
+    chosen = labels.select(F.col(id_col).alias("_id"), F.col("quality").alias("_quality")).dropna()
+    chosen = chosen.groupBy("_id").agg(F.min("_quality").alias("_quality"), F.max("_quality").alias("_most")).where("_quality = _most").drop("_most")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     taught = text_statistics(texts, "_text").where(~base_failed())
-    rows = taught.select(F.xxhash64("_id").alias("order"), "_id", (F.col("_quality") == 0).alias("bad"), *[feature(f).alias(f) for f in FEATURES]).limit(2 * sample).collect()
-    rows.sort(key=lambda r: r[:2])
+    rows = taught.select(F.xxhash64("_id").alias("order"), "_id", (F.col("_quality") == 0).alias("bad"), *[feature(f).alias(f) for f in FEATURES])
+    rows = rows.orderBy("order", "_id", *FEATURES).limit(sample).collect()
     return learn_rules(np.array([r[3:] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.bad for r in rows], bool))
 
 
 def judge_quality(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics, base_failed and kept. Rows are neither dropped nor merged."""
-    return text_statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules_verdict(rules))
+    """``docs`` with the statistics, base_failed and kept.
+
+    Rows are neither dropped nor merged: null or repeated ids and repeated
+    rows are judged like any other, each by its own text. A null or empty text
+    has no words and fails the base rules. Existing columns of the made names
+    are replaced.
+    """
+    return text_statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & rules_verdict(rules))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaframe.llm.scratch import materialise
+from lumaframe.llm.scratch import Scratch
 
 #: Messages of a conversation are numbered in stretches of so many turns, so that no task holds a whole long one.
 STRETCH = 1024
@@ -22,73 +24,109 @@ def _digest(passage: Column) -> Column:
 
 
 def quote_lines(text: Column) -> Column:
-    """Array of (depth, body) of each line; depth counts the leading > signs."""
-    marks = lambda s: F.regexp_extract(s, _PREFIX, 0)
-    return F.transform(F.split(text, "\n"), lambda s: F.struct(F.char_length(F.regexp_replace(marks(s), "[^>]", "")).alias("depth"), F.regexp_replace(s, _PREFIX, "").alias("body")))
+    """Array of (depth, body, blank) of each line; depth counts the leading > signs."""
+
+    def line(s: Column) -> Column:
+        body = F.regexp_replace(s, _PREFIX, "")
+        return F.struct(F.char_length(F.regexp_replace(F.regexp_extract(s, _PREFIX, 0), "[^>]", "")).alias("depth"), body.alias("body"), body.rlike(r"^\s*$").alias("blank"))
+
+    return F.transform(F.split(text, "\n"), line)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row: a one-element transform binds it to a variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _runs(lines: Column) -> Column:
-    """Array of (depth, passage): consecutive lines of one depth, joined; blank lines end a passage."""
-    blank = lambda x: x["body"].rlike(r"^\s*$")
-    nothing = F.array().cast("array<struct<depth:int,passage:string>>")
-    start = F.struct(nothing.alias("done"), F.lit(-1).alias("depth"), F.lit("").alias("open"))
+    """Array of (depth, passage): consecutive lines of one depth, joined; blank lines end a passage. Linear in the lines."""
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["depth"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["depth"].alias("depth"), acc["open"].alias("passage"))))).otherwise(acc["done"])
+    def runs(ls: Column) -> Column:
+        at = lambda i: F.get(ls, i)
+        edge = lambda i: (i == 0) | (i == F.size(ls)) | at(i)["blank"] | at(i - 1)["blank"] | (at(i)["depth"] != at(i - 1)["depth"])
 
-    def step(acc: Column, x: Column) -> Column:
-        same = ~blank(x) & (acc["depth"] == x["depth"])
-        return F.when(same, F.struct(acc["done"].alias("done"), acc["depth"].alias("depth"), F.concat(acc["open"], F.lit("\n"), x["body"]).alias("open"))).otherwise(
-            F.struct(closed(acc).alias("done"), F.when(blank(x), F.lit(-1)).otherwise(x["depth"]).alias("depth"), F.when(blank(x), F.lit("")).otherwise(x["body"]).alias("open"))
-        )
+        def between(edges: Column) -> Column:
+            def run(k: Column) -> Column:
+                begin, end = F.get(edges, k), F.get(edges, k + 1)
+                passage = F.array_join(F.transform(F.slice(ls, begin + 1, end - begin), lambda x: x["body"]), "\n")
+                return F.when(~at(begin)["blank"], F.struct(at(begin)["depth"].alias("depth"), passage.alias("passage")))
 
-    return F.aggregate(lines, start, step, closed)
+            return F.filter(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), run), lambda r: r.isNotNull())
 
+        return _bound(F.filter(F.sequence(F.lit(0), F.size(ls)), edge), between)
 
-def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    return _bound(lines, runs)
+
+
+def _latest_before(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """quotes (c, t, depth, h, size) with s, the latest earlier turn of the sources (c, s, h) that has the passage.
+
+    As-of: quotes and sources of a passage are put in the order of turns,
+    first inside each stretch of turns, then over the stretches, so no quote
+    meets a source as a pair and no task holds all turns of a popular passage.
+    """
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asked = quotes.select("c", "h", F.col("t").alias("turn"), F.lit(0).alias("kind"), "depth", "size", none(sources.schema["s"].dataType, "s"))
+    said = sources.select("c", "h", F.col("s").alias("turn"), F.lit(1).alias("kind"), none("int", "depth"), none("int", "size"), "s")
+    both = asked.unionByName(said).withColumn("stretch", F.expr(f"floor(turn / {STRETCH})"))
+    inside = Window.partitionBy("c", "h", "stretch").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.where("kind = 1").groupBy("c", "h", "stretch").agg(F.max("s").alias("latest"))
+    every = both.select("c", "h", "stretch").distinct().join(carried, ["c", "h", "stretch"], "left")
+    every = every.select("c", "h", "stretch", F.max("latest").over(Window.partitionBy("c", "h").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    found = both.withColumn("here", F.last("s", ignorenulls=True).over(inside)).where("kind = 0").join(every, ["c", "h", "stretch"])
+    return found.select("c", F.col("turn").alias("t"), "depth", "size", F.coalesce("here", "before").alias("s")).where("s is not null")
+
+
+def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row for each different message: what it answers, its thread and place, and its text without quotes.
 
     Returns conv_col, turn_col, role_col, parent_turn (the turn it answers,
     null for the first), thread_turn (the turn its thread begins with),
     thread_path (thread turns from the conversation's first thread down),
-    place (long, from 0 in its thread), quote_depth (deepest quote) and
-    message (its text without quoted lines). Ordering by conv_col, thread_path
+    place (long, from 0 in its thread), quote_depth (deepest quote), quoted
+    (depth and turn of the message that each level of its quotes is from, as
+    far as one was found, by depth) and message (its text without quoted
+    lines). Ordering by conv_col, thread_path
     and place gives each conversation in reply order: a reply comes after what
     it answers, and a thread's messages stand together.
 
-    A message answers the earlier one whose passage, whole text or line its
-    outermost quotes hold: the longest such passage counts, then the latest
-    turn. Without such a quote it answers the latest earlier turn. A message
+    A level of quotes is from the earlier message whose passage, whole text or
+    line it holds: the longest such passage counts, then the latest turn. A
+    message answers the one that its outermost quotes are from. Without such a
+    quote it answers the latest earlier turn. A message
     that answers any but the latest earlier turn begins a thread.
 
     Rows with a null conversation or turn belong nowhere and come back with
-    nulls for parent, thread, path and place. A null text is an empty message.
+    nulls for parent, thread, path, place and quoted. A null text is an empty message.
     Rows equal in all four columns are one message; different messages of one
     turn follow each other by role and text, and the first of them stands for
     the turn where it is quoted. Other columns are ignored.
     """
+    scratch = scratch or Scratch(messages.sparkSession)
     plain = messages.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    parsed = plain.withColumn("lines", quote_lines(F.col("text"))).withColumn("runs", _runs(F.col("lines")))
-    own = F.filter("lines", lambda x: x["depth"] == 0)
-    parsed = parsed.withColumn("message", F.trim(F.array_join(F.transform(own, lambda x: x["body"]), "\n"))).withColumn("quote_depth", F.coalesce(F.array_max(F.transform("lines", lambda x: x["depth"])), F.lit(0)))
-    parsed = materialise(parsed.select("c", "t", "role", "message", "quote_depth", "runs"), "messages")
+    parsed = plain.select("c", "t", "role", F.explode(F.array(quote_lines(F.col("text")))).alias("lines"))  # a generated column is computed once
+    own = F.transform(F.filter("lines", lambda x: x["depth"] == 0), lambda x: x["body"])
+    parsed = parsed.select("c", "t", "role", F.trim(F.array_join(own, "\n")).alias("message"), F.coalesce(F.array_max(F.transform("lines", lambda x: x["depth"])), F.lit(0)).alias("quote_depth"), _runs(F.col("lines")).alias("runs"))
+    parsed = scratch.write(parsed, "messages")
     placed = parsed.where("c is not null and t is not null")
 
-    quotes = placed.where("quote_depth > 0").select("c", "t", F.explode(F.filter("runs", lambda r: r["depth"] == 1)).alias("run"))
-    quotes = quotes.select("c", "t", F.explode(F.concat(F.array("run.passage"), F.split("run.passage", "\n"))).alias("p"))
-    quotes = quotes.select("c", "t", _digest(F.col("p")).alias("h"), F.char_length(normal(F.col("p"))).alias("size")).where("size > 0").distinct()
-    talked = placed.join(quotes.select("c").distinct(), "c", "left_semi")  # only conversations that quote at all
+    quotes = placed.where("quote_depth > 0").select("c", "t", F.explode(F.filter("runs", lambda r: r["depth"] > 0)).alias("run"))
+    quotes = quotes.select("c", "t", "run.depth", F.explode(F.concat(F.array("run.passage"), F.split("run.passage", "\n"))).alias("p"))
+    quotes = quotes.select("c", "t", "depth", _digest(F.col("p")).alias("h"), F.char_length(normal(F.col("p"))).alias("size")).where("size > 0").distinct()
+    talked = placed.join(placed.where("quote_depth > 0").select("c").distinct(), "c", "left_semi")  # only conversations that quote at all
     passages = F.filter("runs", lambda r: r["depth"] == 0)
     sources = talked.select("c", F.col("t").alias("s"), F.explode(F.concat(F.array("message"), F.transform(passages, lambda r: r["passage"]), F.flatten(F.transform(passages, lambda r: F.split(r["passage"], "\n"))))).alias("p"))
     sources = sources.select("c", "s", _digest(F.col("p")).alias("h")).distinct()
-    found = quotes.join(sources, ["c", "h"]).where("s < t").groupBy("c", "t").agg(F.max(F.struct("size", "s")).alias("best")).select("c", "t", F.col("best.s").alias("quoted"))
+    levels = _latest_before(quotes, sources).groupBy("c", "t", "depth").agg(F.max(F.struct("size", "s")).alias("best")).select("c", "t", "depth", F.col("best.s").alias("turn"))
+    found = scratch.write(levels.groupBy("c", "t").agg(F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("quoted")), "quoted")
+    first = F.get(F.filter("quoted", lambda q: q["depth"] == 1), F.lit(0))["turn"]
 
     turns = placed.select("c", "t").distinct().withColumn("stretch", F.expr(f"floor(t / {STRETCH})"))
     before = Window.partitionBy("c", "stretch").orderBy("t")
     ends = turns.groupBy("c", "stretch").agg(F.max("t").alias("end"))
     ends = ends.select("c", "stretch", F.lag("end").over(Window.partitionBy("c").orderBy("stretch")).alias("last_end"))
     chain = turns.withColumn("prev", F.lag("t").over(before)).join(ends, ["c", "stretch"]).select("c", "t", "stretch", F.coalesce("prev", "last_end").alias("prev"))
-    chain = chain.join(found, ["c", "t"], "left").withColumn("parent", F.coalesce("quoted", "prev"))
+    chain = chain.join(found.select("c", "t", first.alias("answered")), ["c", "t"], "left").withColumn("parent", F.coalesce("answered", "prev")).drop("answered")
     chain = chain.withColumn("starts", F.col("prev").isNull() | (F.col("parent") != F.col("prev")))
 
     # A thread runs from its first message to the next one's; the latest start carries over stretches.
@@ -97,20 +135,21 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     carried = chain.groupBy("c", "stretch").agg(F.max(start).alias("latest"))
     carried = carried.select("c", "stretch", F.max("latest").over(Window.partitionBy("c").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     chain = chain.withColumn("inside", inside).join(carried, ["c", "stretch"]).withColumn("thread", F.coalesce("inside", "carry")).drop("inside", "carry")
-    chain = materialise(chain, "turns")
+    chain = scratch.write(chain, "turns")
 
     heads = chain.where("starts").select("c", F.col("thread"), F.col("parent").alias("at"))
     up = heads.join(chain.select("c", F.col("t").alias("at"), F.col("thread").alias("up")), ["c", "at"], "left").select("c", "thread", "up", F.array("thread").alias("path"))
-    up = materialise(up, "threads")
+    up = scratch.write(up, "threads")
     while not up.where("up is not null").isEmpty():  # each round doubles the length of the paths
         above = up.select("c", F.col("thread").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
-        up = materialise(up.join(above, ["c", "up"], "left").select("c", "thread", F.col("next").alias("up"), F.when(F.col("above").isNotNull(), F.concat("above", "path")).otherwise(F.col("path")).alias("path")), "threads")
+        up = scratch.write(up.join(above, ["c", "up"], "left").select("c", "thread", F.col("next").alias("up"), F.when(F.col("above").isNotNull(), F.concat("above", "path")).otherwise(F.col("path")).alias("path")), "threads")
 
     messages_of = placed.join(chain.select("c", "t", "stretch", "parent", "thread"), ["c", "t"])
     counts = messages_of.groupBy("c", "thread", "stretch").agg(F.count("*").alias("n"))
     counts = counts.select("c", "thread", "stretch", F.coalesce(F.sum("n").over(Window.partitionBy("c", "thread").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
     rank = F.row_number().over(Window.partitionBy("c", "thread", "stretch").orderBy("t", "role", "message"))
+    messages_of = messages_of.join(found, ["c", "t"], "left").withColumn("quoted", F.coalesce("quoted", F.array().cast(found.schema["quoted"].dataType)))
     out = messages_of.withColumn("rank", rank).join(counts, ["c", "thread", "stretch"]).join(up.select("c", "thread", "path"), ["c", "thread"])
-    out = out.select("c", "t", "role", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), F.col("path").alias("thread_path"), (F.col("rank") + F.col("skip") - 1).cast("long").alias("place"), "quote_depth", "message")
-    lost = parsed.where("c is null or t is null").select("c", "t", "role", *[F.lit(None).cast(out.schema[x].dataType).alias(x) for x in ("parent_turn", "thread_turn", "thread_path", "place")], "quote_depth", "message")
-    return out.union(lost).select(F.col("c").alias(conv_col), F.col("t").alias(turn_col), F.col("role").alias(role_col), "parent_turn", "thread_turn", "thread_path", "place", F.col("quote_depth").cast("long").alias("quote_depth"), "message")
+    out = out.select("c", "t", "role", F.col("parent").alias("parent_turn"), F.col("thread").alias("thread_turn"), F.col("path").alias("thread_path"), (F.col("rank") + F.col("skip") - 1).cast("long").alias("place"), "quote_depth", "quoted", "message")
+    lost = parsed.where("c is null or t is null").select("c", "t", "role", *[F.lit(None).cast(out.schema[x].dataType).alias(x) for x in ("parent_turn", "thread_turn", "thread_path", "place")], "quote_depth", F.lit(None).cast(out.schema["quoted"].dataType).alias("quoted"), "message")
+    return out.union(lost).select(F.col("c").alias(conv_col), F.col("t").alias(turn_col), F.col("role").alias(role_col), "parent_turn", "thread_turn", "thread_path", "place", F.col("quote_depth").cast("long").alias("quote_depth"), "quoted", "message")

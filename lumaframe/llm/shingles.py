@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.Generator(np.random.PCG64(20240607))
-#: Tabulation hashing: one random word for each (position in the word, byte).
+#: Tabulation hashing: one random word for each (position in a stretch of a word, byte); stretches have odd factors of their own.
 _POSITIONS = 128
 _TABLE = _rng.integers(0, 2**64, (_POSITIONS, 256), dtype=np.uint64)
 _ODD = _rng.integers(0, 2**64, 64, dtype=np.uint64) | _U(1)
@@ -65,6 +65,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     origin[starts] = starts
     place = np.arange(len(raw)) - np.maximum.accumulate(origin)
     values = _TABLE[place & (_POSITIONS - 1), raw]
+    far = np.flatnonzero(place >= _POSITIONS)
+    values[far] *= mix((place[far] // _POSITIONS).astype(np.uint64), 4) | _U(1)
     values[~solid] = 0
     sums = np.add.reduceat(values, starts)
     lengths = np.add.reduceat(solid, starts, dtype=np.int64)

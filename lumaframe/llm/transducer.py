@@ -42,6 +42,17 @@ def stretches(text: str) -> list[str]:
     return text.split() if not _ODD.search(text) else [w for w in _SPLIT.split(text) if w]
 
 
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer file's ids of a text are those of its stretches: letters lowered, white space only a border, nothing added."""
+    model, normalizer, split, after = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("post_processor")
+    steps = [n["type"] for n in normalizer.get("normalizers", [])]
+    pattern = ((split.get("pretokenizers") or [{}])[0].get("pattern") or {}).get("Regex", "")
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].startswith("<|") for t in spec["added_tokens"])
+    kept = {"[^\\s\\p{L}\\p{N}]+", "[\\p{L}]+", "[\\p{N}]"} <= set(pattern.split("|")) and "\\s" not in pattern.replace("[^\\s", "")
+    removed = (split.get("pretokenizers") or [{}])[0].get("behavior") == "Removed"
+    return model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and steps == ["NFC", "Replace", "Lowercase"] and kept and removed and plain and not after
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself where printable, else from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
