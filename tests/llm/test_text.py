@@ -9,7 +9,6 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from lumaframe.llm.html_text import extract_text, keeps, labelled_table, main_text, text_blocks, trained_tree
-from lumaframe.llm.licenses import scan_licenses
 from lumaframe.llm.quality_rules import FEATURES, fit_rules, judge_quality, learn_rules, _covers
 from lumaframe.llm.quotes import link_quotes
 from lumaframe.llm.token_counts import count_tokens, token_counts
@@ -70,14 +69,99 @@ def test_token_counts(spark):
     assert all(r.n_bytes == len((texts[i] or "").encode()) and r.over_limit == (r.n_tokens > 2048) for i, r in rows.items())
 
 
-def test_licenses(spark):
-    from lumaframe.llm.licenses import SENTENCES
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful."""
+MPL = """<!-- This Source Code Form is subject to the terms of the Mozilla Public
+   - License, v. 2.0. If a copy of the MPL was not distributed with this
+   - file, You can obtain one at http://mozilla.org/MPL/2.0/. -->"""
+LICENSED = [
+    (None, ""),
+    ("", ""),
+    ("this license is nothing", ""),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("x y.\nLicensed under the Apache License, Version 2.0.\nAll rights reserved.", "Apache-2.0 all-rights-reserved"),
+    ("prose that does not end\nReleased under the MIT License.\nmore prose", "MIT"),
+    (MIT, "MIT"),
+    (MIT.replace("\n", "\r\n"), "MIT"),
+    ("\n".join("// " + x for x in MIT.split("\n")), "MIT"),
+    (BSD, "BSD-2-Clause"),
+    (BSD + ENDORSE, "BSD-3-Clause"),
+    (BSD + ENDORSE + "\n\n" + BSD, "BSD-3-Clause BSD-2-Clause"),
+    (ISC, "ISC"),
+    (APACHE, "Apache-2.0"),
+    (GPL.format(3), "GPL-3.0-or-later"),
+    (GPL.format(3) + "\n\n" + GPL.format(2), "GPL-3.0-or-later GPL-2.0-or-later"),
+    ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright", "GPL-3.0-only"),
+    (MPL, "MPL-2.0"),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+    ("/* SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note) OR BSD-3-Clause */", "BSD-3-Clause GPL-2.0-only"),
+    ("SPDX-License-Identifier: GPL-3.0+", "GPL-3.0-or-later"),
+    ("To be free. Licensed under CC BY 4.0.\nReleased under CC0 1.0.", "CC0-1.0 CC-BY-4.0"),
+    ("word " * 50_000 + "\n" + "Licensed under CC BY-SA 4.0. " + "x" * 100_000, "CC-BY-SA-4.0"),
+]
+
 
-    mit = "  ".join(SENTENCES[k][0].upper() + "." for k in ("mit-grant", "mit-condition", "as-is"))
-    texts = [None, "", "Licensed under CC BY-NC 4.0.", "x y.\nLicensed under the Apache License, Version 2.0.\nAll rights reserved.", mit, "this license is nothing"]
-    rows = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")).collect()}
-    assert [rows[i].licenses for i in range(6)] == ["", "", "CC-BY-NC-4.0", "Apache-2.0 all-rights-reserved", "MIT", ""]
-    assert rows[4].sentence_ids == "mit-grant mit-condition as-is" and rows[4].n_sentences == 3
+def test_licenses(spark):
+    import duckdb
+
+    from lumaframe.llm import licenses
+
+    frame = spark.createDataFrame([(i, t, "c") for i, (t, _) in enumerate(LICENSED)], "doc_id long, text string, licenses string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(frame).collect()}
+    assert {i: rows[i].licenses for i in rows} == {i: x for i, (_, x) in enumerate(LICENSED)}
+    assert rows[6].sentence_ids.split() == ["mit-notice", "mit-grant", "mit-condition", "as-is"] and rows[6].n_sentences == 4
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(LICENSED)])
+    found = con.execute(f"SELECT doc_id, n_sentences, sentence_ids, licenses FROM ({licenses.oracle()})").fetchall()
+    assert sorted(found) == sorted(tuple(r) for r in rows.values())
+    odd = [(None, "Licensed under CC BY 4.0."), (3, None), (3, "Licensed under CC BY 4.0."), (3, "Licensed under CC BY 4.0.")]
+    out = licenses.scan_licenses(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.licenses) for r in out) == [(0, "CC-BY-4.0"), (3, ""), (3, "CC-BY-4.0"), (3, "CC-BY-4.0")]
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_html(spark):
