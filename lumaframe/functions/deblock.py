@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.functions.scalar import CHROMA_QP, clip3
+from lumaframe.functions.scalar import CHROMA_QP, clip3, motion_boundary
 
 #: Edge thresholds by clipped index 0..51, and clipping bounds by index for strengths 1, 2, 3.
 ALPHA = [0] * 16 + [4, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 17, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 63, 71, 80, 90, 101, 113, 127, 144, 162, 182, 203, 226, 255, 255]
@@ -27,6 +27,44 @@ def limits(qp: Column, offset: Column, strength: Column) -> list[Column]:
     return [table(ALPHA).alias("alpha"), table(BETA).alias("beta"), bound.alias("bound")]
 
 
+def edge_strengths(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Strengths 0 to 4 of every edge between 4x4 blocks and of macroblock edges: keys, mb_x, mb_y, direction, edge, bs (array of 4).
+
+    blocks: one row a macroblock with intra, is_b, transform_8x8, and arrays of
+    16 in raster order: nz (coded coefficients), ref0, ref1, x0, y0, x1, y1.
+    Edges are numbered 0 (the macroblock's own edge, against its neighbour) to
+    3. Where a neighbour is missing only intra macroblocks have a strength;
+    inside 8x8-transform macroblocks only edge 2 has. One equi-join for each
+    direction with the neighbour's row.
+    """
+    names = ["intra", "is_b", "nz", "ref0", "ref1", "x0", "y0", "x1", "y1"]
+    at = [*keys, "mb_x", "mb_y"]
+    made = []
+    for direction, dx, dy in (("v", 1, 0), ("h", 0, 1)):
+        there = blocks.select(*keys, (F.col("mb_x") + dx).alias("mb_x"), (F.col("mb_y") + dy).alias("mb_y"), *[F.col(n).alias(f"n_{n}") for n in names])
+        both = blocks.join(there, at, "left")
+        place = (lambda line, e: 4 * line + e) if direction == "v" else (lambda line, e: 4 * e + line)
+        item = lambda side, name, p: F.get(F.col(side + name), F.lit(p))
+        motion = lambda side, p: [tuple(item(side, f"{n}{i}", p) for n in ("ref", "x", "y")) for i in (0, 1)]
+        edges = []
+        for e in range(4):
+            side = "" if e else "n_"
+            lines = []
+            for line in range(4):
+                here, other = place(line, e), place(line, (e - 1) % 4)
+                coded = (item("", "nz", here) != 0) | (item(side, "nz", other) != 0)
+                moved = motion_boundary(motion("", here), motion(side, other), F.col("is_b") | F.col(f"{side}is_b"))
+                lines.append(F.when(coded, 2).when(moved, 1).otherwise(0))
+            if e:
+                bs = F.when(F.col("transform_8x8") & F.lit(e != 2), F.array(*[F.lit(0)] * 4)).when(F.col("intra"), F.array(*[F.lit(3)] * 4)).otherwise(F.array(*lines))
+            else:
+                intra = F.col("intra") | F.coalesce(F.col("n_intra"), F.lit(False))
+                bs = F.when(intra, F.array(*[F.lit(4)] * 4)).when(F.col("n_nz").isNull(), F.array(*[F.lit(0)] * 4)).otherwise(F.array(*lines))
+            edges.append(F.struct(F.lit(direction).alias("direction"), F.lit(e).alias("edge"), bs.alias("bs")))
+        made.append(both.select(*at, F.inline(F.array(*edges))))
+    return made[0].union(made[1])
+
+
 def filter_edge(p: np.ndarray, q: np.ndarray, strength: np.ndarray, qp: int, alpha_offset: int, beta_offset: int, luma: bool) -> tuple[np.ndarray, np.ndarray]:
     """Samples beside an edge, filtered: ``p`` and ``q`` are (depth, n), nearest first; strength is (n,)."""
     p, q = p.astype(np.int64), q.astype(np.int64)

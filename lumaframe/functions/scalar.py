@@ -90,3 +90,19 @@ def boundary_strength(intra: Column, mb_edge: Column, coefficients: Column, move
 def moves_apart(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Quarter-sample vectors that differ by a whole sample or more in either direction."""
     return (F.abs(ax - bx) >= 4) | (F.abs(ay - by) >= 4)
+
+
+def _same_motion(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """(reference, x, y) of both: one reference and, unless there is none, vectors less than a whole sample apart."""
+    return (a[0] == b[0]) & ((a[0] < 0) | ~moves_apart(a[1], a[2], b[1], b[2]))
+
+
+def motion_boundary(a: list[tuple], b: list[tuple], bidirectional: Column) -> Column:
+    """Whether motion differs at an edge. a and b: (reference, x, y) for list 0 and list 1; B blocks may match with their lists swapped."""
+    straight, swapped = (_same_motion(a[0], b[i]) & _same_motion(a[1], b[1 - i]) for i in (0, 1))
+    return F.when(bidirectional, ~(straight | swapped)).otherwise(~_same_motion(a[0], b[0]))
+
+
+def order_key(full_poc: Column, poc: Column) -> Column:
+    """The picture order to sort by: the unwrapped one, or the plain one where that was never set."""
+    return F.when((full_poc != 0) | (poc == 0), full_poc).otherwise(poc)

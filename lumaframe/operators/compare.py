@@ -62,6 +62,11 @@ def type_string(rows: DataFrame, keys: list[str], order: str, kind: str) -> Data
     return rows.groupBy(*keys).agg(F.array_join(listed, "").alias("types"))
 
 
+def type_histogram(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """n, the rows of each type of a key."""
+    return rows.groupBy(*keys, kind).agg(F.count("*").alias("n"))
+
+
 def classify_delta(prediction: Column, residual: Column) -> Column:
     """Which of two deltas explains an error: one at least twice the other, else mixed."""
     p, r = F.abs(prediction), F.abs(residual)

@@ -52,23 +52,51 @@ def resolve_parameters(units: DataFrame, stream: str, index: str, is_set: Column
 
 
 def reference_window(pictures: DataFrame, stream: str, index: str, is_reference: Column, size: int) -> DataFrame:
-    """refs: the last ``size`` reference pictures before each picture, oldest first."""
-    refs = pictures.withColumn("_ref", is_reference).withColumn("_k", F.sum(F.col("_ref").cast("int")).over(_order(stream, index).rowsBetween(Window.unboundedPreceding, -1)))
-    kept = refs.where("_ref").select(F.col(stream).alias("_s"), F.col(index).alias("_i"), F.coalesce("_k", F.lit(0)).alias("_n"))
-    here = refs.withColumn("_k", F.coalesce("_k", F.lit(0)))
-    # The ordinals before k that are still held are k - size .. k - 1: exploding them makes the range an equi-join.
-    wanted = here.withColumn("_want", F.explode_outer(F.when(F.col("_k") > 0, F.sequence(F.greatest(F.lit(0), F.col("_k") - size), F.col("_k") - 1))))
-    joined = wanted.join(kept, (F.col(stream) == F.col("_s")) & (F.col("_want") == F.col("_n")), "left")
-    return joined.groupBy(*pictures.columns).agg(F.array_sort(F.collect_list("_i")).alias("refs"))
+    """refs: the last ``size`` reference pictures before each picture, oldest first. Add the group of pictures to a composed ``stream`` key to start anew in each."""
+    refs = pictures.withColumn("_ref", F.coalesce(is_reference, F.lit(False)))
+    refs = refs.withColumn("_k", F.coalesce(F.sum(F.col("_ref").cast("int")).over(_order(stream, index).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # A reference that k others precede is held by the pictures that k + 1 to k + size precede: a frame over k, so no picture meets another as a row.
+    held = Window.partitionBy(stream).orderBy("_k").rangeBetween(-size, -1)
+    return refs.withColumn("refs", F.array_sort(F.collect_list(F.when(F.col("_ref"), F.col(index))).over(held))).drop("_ref", "_k")
 
 
-def reference_lists_b(pictures: DataFrame, refs: DataFrame, keys: list[str], index: str, poc: str, size: int) -> DataFrame:
-    """(keys, index, list, place, ref): list 0 is earlier pictures nearest first, list 1 later ones nearest first."""
-    other = refs.select(*keys, F.col(index).alias("ref"), F.col(poc).alias("_ref_poc"))
-    pairs = pictures.join(other, keys).where(F.col("_ref_poc") != F.col(poc))
-    pairs = pairs.withColumn("list", F.when(F.col("_ref_poc") < F.col(poc), 0).otherwise(1)).withColumn("_away", F.abs(F.col("_ref_poc") - F.col(poc)))
-    place = F.row_number().over(Window.partitionBy(*keys, index, "list").orderBy("_away", "ref"))
-    return pairs.withColumn("place", place).where(F.col("place") <= size).select(*keys, index, "list", "place", "ref")
+def _held(pictures: DataFrame, stream: str, index: str, frame_num: str, poc: str, is_reference: Column, size: int) -> DataFrame:
+    """(stream, index, _now, ref, _n, _p): each picture's order beside frame number and order of every reference it may use."""
+    held = reference_window(pictures.select(stream, index, F.col(poc).alias("_now"), is_reference.alias("_is_ref")), stream, index, F.col("_is_ref"), size)
+    wanted = held.select(stream, index, "_now", F.explode("refs").alias("ref"))
+    return wanted.join(pictures.select(stream, F.col(index).alias("ref"), F.col(frame_num).alias("_n"), F.col(poc).alias("_p")), [stream, "ref"])
+
+
+def reference_lists_b(pictures: DataFrame, stream: str, index: str, frame_num: str, poc: str, is_reference: Column, size: int) -> DataFrame:
+    """(stream, index, list, place, ref) over the held references of each picture.
+
+    List 0: those before it in picture order, nearest first. List 1: those
+    after it, nearest first, then all others from the latest down; of equal
+    orders the highest frame number. What is still equal goes in decode order.
+    """
+    found = _held(pictures, stream, index, frame_num, poc, is_reference, size)
+    away = F.abs(F.col("_p") - F.col("_now"))
+    before, after = F.col("_p") < F.col("_now"), F.col("_p") > F.col("_now")
+    zero = found.where(before).select(stream, index, "ref", F.lit(0).alias("list"), F.lit(0).alias("_part"), away.alias("_away"), F.lit(0).cast("long").alias("_n"))
+    one = found.select(stream, index, "ref", F.lit(1).alias("list"), F.when(after, 0).otherwise(1).alias("_part"), away.alias("_away"), F.col("_n").cast("long").alias("_n"))
+    place = F.row_number().over(Window.partitionBy(stream, index, "list").orderBy("_part", "_away", F.desc("_n"), "ref"))
+    return zero.union(one).withColumn("place", place).select(stream, index, "list", "place", "ref")
+
+
+def limit_decoded(pictures: DataFrame, stream: str, index: str, n: int) -> DataFrame:
+    """The first ``n`` pictures of each stream in decode order, ahead of any display order."""
+    place = F.row_number().over(_order(stream, index))
+    return pictures.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def stream_summary(pictures: DataFrame, stream: str, width: str, height: str, is_idr: Column) -> DataFrame:
+    """Pictures, IDR pictures and sizes of each stream."""
+    return pictures.groupBy(stream).agg(F.count("*").alias("n_pictures"), F.count_if(is_idr).alias("n_idr"), F.max(width).alias("width"), F.max(height).alias("height"))
+
+
+def expand_skips(rows: DataFrame, run: Column, name: str = "skipped") -> DataFrame:
+    """One row for each macroblock that a skip run covers, numbered from 0; rows without a run go."""
+    return rows.withColumn("_run", run.cast("long")).where("_run > 0").withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_run") - 1))).drop("_run")
 
 
 def occurrence(rows: DataFrame, group: list[str], line: str, item: str) -> DataFrame:
@@ -89,9 +117,7 @@ def reference_list_p(pictures: DataFrame, stream: str, index: str, frame_num: st
     Where all have one frame number, the latest comes first. Only the last
     ``size`` references of each picture are joined, so rows grow with the pictures.
     """
-    held = reference_window(pictures.select(stream, index, is_reference.alias("_is_ref")), stream, index, F.col("_is_ref"), size)
-    wanted = held.select(stream, index, F.explode("refs").alias("ref"))
-    found = wanted.join(pictures.select(stream, F.col(index).alias("ref"), F.col(frame_num).alias("_n"), F.col(poc).alias("_p")), [stream, "ref"])
+    found = _held(pictures, stream, index, frame_num, poc, is_reference, size)
     whole = Window.partitionBy(stream, index)
     one = F.min("_n").over(whole) == F.max("_n").over(whole)
     ranked = found.withColumn("_p", F.when(one, F.col("ref")).otherwise(F.col("_p")))

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.functions import blocks, deblock, scalar
-from lumaframe.operators import compare, sequence
+from lumaframe.operators import comparators, compare, sequence
+from lumaframe.plans.comparisons import registered
+from lumaframe.plans.register import Query
 from lumaframe.sources import traces
 
-Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -33,11 +34,11 @@ def _query(table: str, columns: list[str], sql: str):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | registered.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | registered.sql
 
 
 EVENT = ["user_id", "event_id"]
@@ -84,12 +85,15 @@ def dpb_refs(events):
     return held.select(*EVENT, F.size("refs").cast("long").alias("n_refs"), F.array_min("refs").alias("oldest"), F.array_max("refs").alias("newest"))
 
 
-@_query("lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], """
-    WITH p AS (SELECT a.l_orderkey, a.l_linenumber, CASE WHEN b.l_quantity < a.l_quantity THEN 0 ELSE 1 END AS list, b.l_linenumber AS ref, abs(b.l_quantity - a.l_quantity) AS away
-               FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_quantity <> b.l_quantity)
-    SELECT l_orderkey, l_linenumber, list, place::INT AS place, ref FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, list ORDER BY away, ref) AS place FROM p) WHERE place <= 2""")
-def ref_list_b(items):
-    return sequence.reference_lists_b(items, items, ["l_orderkey"], "l_linenumber", "l_quantity", 2)
+@_query("events", [*EVENT, "event_type", "value"], """
+    WITH k AS (SELECT *, CAST(floor(abs(value) / 20) AS BIGINT) AS n, CAST(floor(value) AS BIGINT) AS p, coalesce(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM events),
+    j AS (SELECT c.user_id, c.event_id, c.p AS now, r.event_id AS ref, r.n, r.p FROM k c JOIN k r ON r.user_id = c.user_id AND r.event_type <> 'error' AND r.k >= c.k - 4 AND r.k < c.k),
+    z AS (SELECT user_id, event_id, 0 AS list, row_number() OVER (PARTITION BY user_id, event_id ORDER BY p DESC, ref) AS place, ref FROM j WHERE p < now),
+    o AS (SELECT user_id, event_id, 1 AS list, row_number() OVER (PARTITION BY user_id, event_id ORDER BY CASE WHEN p > now THEN 0 ELSE 1 END, CASE WHEN p > now THEN p ELSE -p END, n DESC, ref) AS place, ref FROM j)
+    SELECT user_id, event_id, list, place::INT AS place, ref FROM (SELECT * FROM z UNION ALL SELECT * FROM o)""")
+def ref_list_b(events):
+    pictures = events.select(*EVENT, F.floor(F.abs(F.col("value")) / 20).alias("n"), F.floor("value").alias("p"), "event_type")
+    return sequence.reference_lists_b(pictures, "user_id", "event_id", "n", "p", F.col("event_type") != "error", 4)
 
 
 @_query("events", [*EVENT, "value"], f"""
@@ -142,7 +146,7 @@ def te_map(items):
     return items.select(*ITEM, scalar.te_value(_quantity() - 1, F.when(F.col("l_linenumber") % 2 == 1, F.lit(1)).otherwise(F.lit(10))).cast("long").alias("v"))
 
 
-@_query("lineitem", [*ITEM, "l_quantity", "l_discount"], f"SELECT l_orderkey, l_linenumber, [{', '.join(map(str, scalar.CHROMA_QP))}][greatest(0, least(51, {_Q} + CAST(round(l_discount * 100) AS BIGINT) - 5)) + 1]::INT AS qpc FROM lineitem")
+@_query("lineitem", [*ITEM, "l_quantity", "l_discount"], f"SELECT l_orderkey, l_linenumber, [0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19,20,21,22,23,24,25,26,27,28,29,29,30,31,32,32,33,34,34,35,35,36,36,37,37,37,38,38,38,39,39,39,39][greatest(0, least(51, {_Q} + CAST(round(l_discount * 100) AS BIGINT) - 5)) + 1]::INT AS qpc FROM lineitem")
 def chroma_qp(items):
     return items.select(*ITEM, scalar.chroma_qp(_quantity(), F.round(F.col("l_discount") * 100).cast("int") - 5).alias("qpc"))
 
@@ -204,12 +208,12 @@ def _spread(name: str) -> list:
     return [F.get(name, F.lit(i)).cast("long").alias(f"c{i}") for i in range(16)]
 
 
-@_query("embeddings", ["vec_id", "label", "embedding"], f"{_B} SELECT vec_id, " + ", ".join(f"x[{blocks.ZIGZAG4.index(p) + 1}] AS c{p}" for p in range(16)) + " FROM b")
+@_query("embeddings", ["vec_id", "label", "embedding"], f"{_B} SELECT vec_id, " + ", ".join(f"x[{at + 1}] AS c{p}" for p, at in enumerate([0, 1, 5, 6, 2, 4, 7, 12, 3, 8, 11, 13, 9, 10, 14, 15])) + " FROM b")
 def zigzag(vectors):
     return _block(vectors).select("vec_id", blocks.inverse_scan(F.col("x")).alias("y")).select("vec_id", *_spread("y"))
 
 
-@_query("embeddings", ["vec_id", "label", "embedding"], f"{_B} SELECT vec_id, " + ", ".join(f"x[{p + 1}] * [{', '.join(str(blocks.level4(r, p)) for r in range(6))}][(vec_id % 52) % 6 + 1] * (1::BIGINT << ((vec_id % 52) // 6)) AS c{p}" for p in range(16)) + " FROM b")
+@_query("embeddings", ["vec_id", "label", "embedding"], f"{_B} SELECT vec_id, " + ", ".join(f"x[{p + 1}] * {[[10, 11, 13, 14, 16, 18], [13, 14, 16, 18, 20, 23], [16, 18, 20, 23, 25, 29]][p // 4 % 2 + p % 2]}[(vec_id % 52) % 6 + 1] * (1::BIGINT << ((vec_id % 52) // 6)) AS c{p}" for p in range(16)) + " FROM b")
 def dequant(vectors):
     return _block(vectors).select("vec_id", blocks.dequant4x4(F.col("x"), F.col("vec_id") % 52).alias("y")).select("vec_id", *_spread("y"))
 
@@ -219,8 +223,8 @@ def _signed(terms: list[tuple[int, str]]) -> str:
 
 
 def _hadamard_sql(x: str = "x") -> str:
-    h = blocks.HADAMARD
-    return ", ".join(_signed([(int(h[r, k] * h[c, m]), f"{x}[{4 * k + m + 1}]") for k in range(4) for m in range(4)]) + f" AS c{4 * r + c}" for r in range(4) for c in range(4))
+    h = [[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -1, 1, -1]]
+    return ", ".join(_signed([(h[r][k] * h[c][m], f"{x}[{4 * k + m + 1}]") for k in range(4) for m in range(4)]) + f" AS c{4 * r + c}" for r in range(4) for c in range(4))
 
 
 @_query("embeddings", ["vec_id", "label", "embedding"], f"{_B} SELECT vec_id, {_hadamard_sql()} FROM b")
@@ -287,7 +291,7 @@ def mean_tol(items):
 
 @_query("lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], f"SELECT l_orderkey, max(abs({_Q} - 25))::BIGINT AS away, max(abs({_Q} - 25)) <= 3 AS neutral FROM lineitem GROUP BY 1")
 def neutral_bound(items):
-    return items.groupBy("l_orderkey").agg(F.max(F.abs(_quantity() - 25)).alias("away")).withColumn("neutral", F.col("away") <= 3)
+    return comparators.neutral_bound(items, ["l_orderkey"], _quantity(), middle=25)
 
 
 _SIDES = """
@@ -322,7 +326,7 @@ def first_divergence(events):
 @_query("events", [*EVENT, "event_type", "value"], _SIDES + " SELECT user_id, event_id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.v = a.v)")
 def match_any(events):
     a, b = _sides(events)
-    return a.join(b.select("user_id", "v").distinct(), ["user_id", "v"], "left_semi").select(*EVENT)
+    return comparators.match_any(a, b, ["user_id", "v"]).select(*EVENT)
 
 
 @_query("lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey"], """
@@ -347,8 +351,8 @@ def classify_topk(items):
 
 @_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice"], f"SELECT {_P} // 4 // 4 AS bx, {_Q} // 4 AS b_y, count(*)::BIGINT AS n, round(avg({_P}), 6) AS mean_x FROM lineitem GROUP BY 1, 2")
 def bucket_counts(items):
-    x, y = F.floor(_price() / 16), F.floor(_quantity() / 4)
-    return items.groupBy(x.alias("bx"), y.alias("b_y")).agg(F.count("*").alias("n"), F.round(F.avg(_price()), 6).alias("mean_x"))
+    out = comparators.spatial_buckets(items, _price() / 4, _quantity())
+    return out.select("bx", "b_y", "n", F.round(F.col("mean_x") * 4, 6).alias("mean_x"))
 
 
 @_query("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice"], f"""
@@ -364,18 +368,17 @@ def type_string(events):
 
 @_query("events", [*EVENT, "event_type"], "SELECT user_id, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def type_hist(events):
-    return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return compare.type_histogram(events, ["user_id"], "event_type")
 
 
 @_query("lineitem", ["l_orderkey", "l_quantity"], "SELECT l_orderkey, n FROM (SELECT l_orderkey, count(DISTINCT l_quantity) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, l_orderkey LIMIT 10")
 def richest(items):
-    return items.groupBy("l_orderkey").agg(F.countDistinct("l_quantity").alias("n")).orderBy(F.desc("n"), "l_orderkey").limit(10)
+    return comparators.richest(items, ["l_orderkey"], "l_quantity", 10)
 
 
 @_query("lineitem", [*ITEM, "l_quantity"], f"SELECT l_orderkey, l_linenumber, n::BIGINT AS skipped FROM (SELECT l_orderkey, l_linenumber, unnest(range({_Q} % 4)) AS n FROM lineitem)")
 def skip_run(items):
-    run = (_quantity() % 4).cast("int")
-    return items.where(run > 0).select(*ITEM, F.explode(F.sequence(F.lit(0).cast("long"), run.cast("long") - 1)).alias("skipped"))
+    return sequence.expand_skips(items, _quantity() % 4).select(*ITEM, "skipped")
 
 
 @_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice"], f"SELECT l_orderkey, l_linenumber, kind, v FROM (SELECT l_orderkey, l_linenumber, {_Q} AS l0, {_P} AS l1 FROM lineitem) UNPIVOT (v FOR kind IN (l0, l1))")
@@ -386,13 +389,19 @@ def mvd_unpivot(items):
 @_query("events", [*EVENT, "value"], "SELECT user_id, event_id, CASE WHEN p >= 32768 THEN p - 65536 ELSE p END AS poc FROM (SELECT user_id, event_id, CAST(floor(abs(value) * 997) AS BIGINT) % 65536 AS p FROM events)")
 def poc_normalise(events):
     p = F.floor(F.abs(F.col("value")) * 997) % 65536
-    return events.select(*EVENT, F.when(p >= 32768, p - 65536).otherwise(p).alias("poc"))
+    return events.select(*EVENT, traces.normal_poc(p).alias("poc"))
 
 
 _AT = f"greatest(0, least(51, {_Q} + l_linenumber - 4)) + 1"
 
 
-@_query("lineitem", [*ITEM, "l_quantity"], f"SELECT l_orderkey, l_linenumber, {deblock.ALPHA}[{_AT}]::INT AS alpha, {deblock.BETA}[{_AT}]::INT AS beta, (CASE l_linenumber % 4 WHEN 1 THEN {deblock.BOUNDS[1]}[{_AT}] WHEN 2 THEN {deblock.BOUNDS[2]}[{_AT}] WHEN 3 THEN {deblock.BOUNDS[3]}[{_AT}] ELSE 0 END)::INT AS bound FROM lineitem")
+@_query("lineitem", [*ITEM, "l_quantity"], f"""
+    WITH t AS (SELECT *, {_AT} AS i FROM lineitem)
+    SELECT l_orderkey, l_linenumber, [0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,4,4,5,6,7,8,9,10,12,13,15,17,20,22,25,28,32,36,40,45,50,56,63,71,80,90,101,113,127,144,162,182,203,226,255,255][i]::INT AS alpha,
+        CASE WHEN i <= 16 THEN 0 WHEN i <= 26 THEN [2,2,2,3,3,3,3,4,4,4][i - 16] ELSE 6 + (i - 27) // 2 END::INT AS beta,
+        (CASE l_linenumber % 4 WHEN 1 THEN [0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1,1,1,2,2,2,2,3,3,3,4,4,4,5,6,6,7,8,9,10,11,13][i]
+            WHEN 2 THEN [0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1,1,1,2,2,2,2,3,3,3,4,4,5,5,6,7,8,8,10,11,12,13,15,17][i]
+            WHEN 3 THEN [0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1,1,1,2,2,2,2,3,3,3,4,4,4,5,6,6,7,8,9,10,11,13,14,16,18,20,23,25][i] ELSE 0 END)::INT AS bound FROM t""")
 def deblock_limits(items):
     return items.select(*ITEM, *deblock.limits(_quantity(), F.col("l_linenumber") - 4, F.col("l_linenumber") % 4))
 

@@ -184,17 +184,18 @@ def parse_slice_header(payload: bytes, nal_type: int, ref_idc: int, sps: dict, p
     """The header's fields and the cursor at the slice data."""
     bits = Bits(unescape(payload))
     h: dict = {"first_mb": bits.ue(), "slice_type": bits.ue() % 5, "pps_id": bits.ue(), "frame_num": bits.u(sps["log2_max_frame_num"]), "is_idr": nal_type == 5}
-    if not sps["frame_mbs_only"] and bits.flag():
+    field = not sps["frame_mbs_only"] and bits.flag()
+    if field:
         bits.u(1)
     h["idr_pic_id"] = bits.ue() if h["is_idr"] else None
     h["poc_lsb"] = 0
     if sps["poc_type"] == 0:
         h["poc_lsb"] = bits.u(sps["log2_max_poc_lsb"])
-        if pps["bottom_field_pic_order"]:
+        if pps["bottom_field_pic_order"] and not field:
             bits.se()
     elif sps["poc_type"] == 1 and not sps["delta_pic_order_always_zero"]:
         bits.se()
-        if pps["bottom_field_pic_order"]:
+        if pps["bottom_field_pic_order"] and not field:
             bits.se()
     if pps["redundant_pic_cnt"]:
         bits.ue()
@@ -241,7 +242,7 @@ def parse_slice_header(payload: bytes, nal_type: int, ref_idc: int, sps: dict, p
         h["deblock_idc"] = bits.ue()
         if h["deblock_idc"] != 1:
             h["alpha_offset"], h["beta_offset"] = 2 * bits.se(), 2 * bits.se()
-    h["parse_status"] = "truncated" if bits.left() < 0 else "unsupported" if h["slice_type"] in (3, 4) or h["first_mb"] else "ok"
+    h["parse_status"] = "truncated" if bits.left() < 0 else "unsupported" if h["slice_type"] in (3, 4) or h["first_mb"] or field else "ok"
     return h, bits
 
 
