@@ -44,13 +44,13 @@ def representative_block(rows: DataFrame, keys: list[str], line: str, w: str, h:
     """keys, w, h and vector of each key's largest block (the first among equals), area_sum, all vectors, and ambiguous.
 
     An ordered fold: a key is ambiguous if a block of the area that led then
-    had another vector, whatever follows.
+    had another vector or shape, whatever follows.
     """
     block = F.struct(F.col(line).alias("line"), (F.col(w) * F.col(h)).cast("long").alias("area"), F.col(w).cast("long").alias("w"), F.col(h).cast("long").alias("h"), F.array(*[F.col(v).cast("long") for v in vector]).alias("v"))
     start = F.struct(F.lit(-1).cast("long").alias("area"), *[F.lit(None).cast("long").alias(c) for c in ("w", "h")], F.lit(None).cast("array<long>").alias("v"), F.lit(False).alias("ambiguous"))
 
     def step(acc: Column, x: Column) -> Column:
-        larger, tied = x["area"] > acc["area"], (x["area"] == acc["area"]) & (x["v"] != acc["v"])
+        larger, tied = x["area"] > acc["area"], (x["area"] == acc["area"]) & ((x["v"] != acc["v"]) | (x["w"] != acc["w"]) | (x["h"] != acc["h"]))
         return F.struct(*[F.when(larger, x[c]).otherwise(acc[c]).alias(c) for c in ("area", "w", "h", "v")], (acc["ambiguous"] | tied).alias("ambiguous"))
 
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(block)).alias("_blocks"))

@@ -68,8 +68,8 @@ def _one(condition: str) -> str:
 
 _BLOCKS = """
     b AS (SELECT l_orderkey AS k, l_linenumber AS line, 8 + 8 * (l_suppkey % 2) AS w, 8 + 8 * (l_partkey % 2) AS h, l_partkey % 3 AS x, l_suppkey % 2 AS y FROM lineitem),
-    m AS (SELECT *, w * h AS area, max(w * h) OVER (PARTITION BY k ORDER BY line) AS top, first_value(x) OVER (PARTITION BY k, w * h ORDER BY line) AS lx, first_value(y) OVER (PARTITION BY k, w * h ORDER BY line) AS ly FROM b),
-    f AS (SELECT k, arg_max(struct_pack(w := w, h := h, x := x, y := y), struct_pack(area := area, n := -line)) AS r, bool_or(area = top AND (x <> lx OR y <> ly)) AS ambiguous, sum(area) AS covered, count(*) AS n FROM m GROUP BY k),
+    m AS (SELECT *, w * h AS area, max(w * h) OVER (PARTITION BY k ORDER BY line) AS top, first_value(x) OVER (PARTITION BY k, w * h ORDER BY line) AS lx, first_value(y) OVER (PARTITION BY k, w * h ORDER BY line) AS ly, first_value(w) OVER (PARTITION BY k, w * h ORDER BY line) AS lw FROM b),
+    f AS (SELECT k, arg_max(struct_pack(w := w, h := h, x := x, y := y), struct_pack(area := area, n := -line)) AS r, bool_or(area = top AND (x <> lx OR y <> ly OR w <> lw)) AS ambiguous, sum(area) AS covered, count(*) AS n FROM m GROUP BY k),
     o AS (SELECT o_orderkey AS k, o_orderstatus AS kind, o_custkey % 3 AS x, o_custkey % 2 AS y FROM orders)"""
 
 

@@ -43,3 +43,43 @@ def frame_infos(lines: DataFrame) -> DataFrame:
 def normal_poc(poc: Column) -> Column:
     """A picture order printed as 16 unsigned bits, with its sign."""
     return F.when(poc >= 32768, poc - 65536).otherwise(poc)
+
+
+#: Fields of the rows that comparators read: plain numbers, pairs in braces and lists in brackets, each after its name and an equals sign.
+ROWS = {
+    "direct": (["mb", "frame", "poc", "colpoc", "colframe", "spatial", "mb_type", "ref0", "ref1", "sub0", "sub1", "sub2", "sub3"], ["mv0", "mv1", "submv0", "submv1", "submv2", "submv3"], []),
+    "bidi": (["mb", "frame", "poc", "type", "mb_type", "ref0", "ref1", "ref0p1", "ref1p1", "sub0", "sub1", "sub2", "sub3"], ["mv0", "mv1", "mv0p1", "mv1p1", "submv0", "submv1", "submv2", "submv3"], []),
+    "partition": (["mb", "frame", "poc", "part", "list"], ["amvd", "mvd", "mvp", "final"], []),
+    "wide_partition": (["mb", "poc"], [f"{n}{w}{p}" for n in ("mv", "amvd", "mvd", "mvp") for w in (0, 1) for p in ("", "p1")], []),
+    "state": (["mb", "frame", "poc", "low", "range"], [], []),
+    "colocated": (["mb", "mbx", "mby", "poc", "curpoc", "colpoc", "i8", "i4", "part", "colref0", "zero", "ref0", "ref1", "is_b8x8", "sub_type", "mb_type"], ["colmv", "mv0", "mv1"], []),
+    "saved": (["frame", "poc", "mb", "part", "mbtype", "ref0"], ["mv0"], []),
+    "written": (["mb", "poc", "type", "part", "ref0"], ["mv0", "sub0"], []),
+    "modes": (["mb", "blk", "b8", "x", "y", "pred", "mode"], [], ["i4mode", "i4pred", "i4final", "i8left", "i8top", "i8pred", "i8mode", "stored"]),
+    "reconstruction": (["frame", "mb", "blk", "b8", "x", "y", "mode", "syntax_mode", "recon_mode", "predsum", "outsum"], [], ["top_right", "right", "block_out", "pred_block", "res_block"]),
+}
+
+
+def labelled_rows(lines: DataFrame, label: str, kind: str) -> DataFrame:
+    """Lines that hold ``label`` as a word, with the fields of ``ROWS[kind]``: numbers as long, pairs and lists as arrays; null where a line lacks one.
+
+    Fields are found by name, in any order. true and false are 1 and 0.
+    """
+    numbers, pairs, lists = ROWS[kind]
+    value = lambda name, pattern: F.nullif(F.regexp_extract("line", rf"(?:^|\s){name}={pattern}", 1), F.lit(""))
+    number = lambda name: F.coalesce(value(name, r"(-?\d+)").cast("long"), value(name, "(true|false)").cast("boolean").cast("long")).alias(name)
+    array = lambda text, name: F.transform(F.split(F.trim(text), r"[,\s]+"), lambda v: v.cast("long")).alias(name)
+    found = lines.where(F.col("line").rlike(rf"(?:^|\s){label}(?:\s|$)"))
+    return found.select("file", "line_no", *map(number, numbers), *[array(value(n, r"\{([^}]*)\}"), n) for n in pairs], *[array(value(n, r"\[([^\]]*)\]"), n) for n in lists], F.nullif(F.regexp_extract("line", r"\bkind=(\w+)", 1), F.lit("")).alias("kind"))
+
+
+def motion_blocks(lines: DataFrame) -> DataFrame:
+    """(file, line_no, frame, mb_x, mb_y, w, h, mvx, mvy) of exported motion vectors with a scale, by the macroblock of their target's centre.
+
+    A target left of or above the first macroblock is left out.
+    """
+    fields = {"dst_x": "long", "dst_y": "long", "w": "long", "h": "long", "mvx": "long", "mvy": "long", "scale": "long"}
+    found = extract_below(lines, {"frame": r"^frame=(\d+)"}, r"mv dst=\((-?\d+),(-?\d+)\) size=(\d+)x(\d+) .*motion=\((-?\d+),(-?\d+)\)/(\d+)", fields)
+    block = lambda at: ((F.col(at) - 8) / 16).cast("long")  # noqa: E731  casts truncate toward zero
+    placed = found.where("scale != 0").withColumn("mb_x", block("dst_x")).withColumn("mb_y", block("dst_y")).where("mb_x >= 0 and mb_y >= 0")
+    return placed.select("file", "line_no", "frame", "mb_x", "mb_y", "w", "h", "mvx", "mvy")
