@@ -183,7 +183,7 @@ class Transducer:
 class Memo(dict):
     """Values by stretch, in two generations of LIMIT each: what was not asked for since the last change goes."""
 
-    LIMIT = 700_000
+    LIMIT = 350_000
 
     def __init__(self):
         super().__init__()
@@ -218,45 +218,140 @@ class WordCounts(Memo):
         return sum(map(self.__getitem__, stretches(text)))
 
 
+#: What the machine has read of an open pre-token: a mode, the state before its last byte, and that byte.
+#: Modes: nothing open, letters, other characters, or the beginning of a contraction.
+State = tuple[str, tuple, int]
+START: State = ("", (), 0)
+_ENDINGS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
+#: Places in a text where a pre-token ends whatever came before: white space, and between ASCII characters of different classes.
+_RESET = rf"[{_SPACE}]|(?<=[A-Za-z])(?=[!-@\[-`{{-~])|(?<=[0-9])(?=[!-~])|(?<=[!-~])(?=[0-9])|(?<=[!-&(-/:-@\[-`{{-~])(?=[A-Za-z])"
+_FIRST, _LAST = regex.compile(_RESET), regex.compile("(?r)" + _RESET)
+
+
+class Machine:
+    """The whole tokenizer as one machine over characters: pre-tokens are told apart by mode, tokens counted by the transducer."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
+        self.counts = WordCounts(transducer)
+
+    def _class(self, c: str) -> str:
+        if _GAP.match(c):
+            return " "
+        kind = unicodedata.category(c)[0]
+        return kind if kind in "LN" else "O"
+
+    def _feed(self, state: State, text: str, mode: str) -> tuple[State, int]:
+        """More characters of the open pre-token, or of a new one where none is open."""
+        t, total = self.transducer, 0
+        at, data = t._state(state[1]) if state[0] else t.start, text.encode("utf-8")
+        for byte in (bytes((state[2],)) if state[0] else b"") + data[:-1]:
+            at, change = t.step(at, byte)
+            total += change
+        return (mode, t.keys[at], data[-1]), total
+
+    def close(self, state: State) -> int:
+        """Tokens that the open pre-token still emits."""
+        mode, key, last = state
+        if not mode:
+            return 0
+        if mode[0] == "'":  # no contraction after all: an apostrophe and perhaps a letter
+            return sum(self.transducer.count_piece(c.encode()) for c in mode)
+        return self.transducer.finish(self.transducer._state(key), last)
+
+    def step(self, state: State, c: str) -> tuple[State, int]:
+        mode, kind = state[0], self._class(c)
+        if mode == "'" and c in _ENDINGS:
+            return (START, self.transducer.count_piece(f"'{c}".encode())) if not _ENDINGS[c] else (("'" + c, (), 0), 0)
+        if len(mode) == 2 and c == _ENDINGS[mode[1]]:
+            return START, self.transducer.count_piece((mode + c).encode())
+        if len(mode) == 2 and kind == "L":
+            return self._and(self.transducer.count_piece(b"'"), self._feed(START, mode[1] + c, "L"))
+        if mode == "'" and kind == "O":
+            return self._feed(START, "'" + c, "O")
+        if mode == kind and kind in "LO":
+            return self._feed(state, c, mode)
+        total = self.close(state)
+        if kind == " ":
+            return START, total
+        if kind == "N":
+            return START, total + self.transducer.count_piece(c.encode("utf-8"))
+        return (("'", (), 0), total) if c == "'" else self._and(total, self._feed(START, c, kind))
+
+    @staticmethod
+    def _and(count: int, result: tuple[State, int]) -> tuple[State, int]:
+        return result[0], count + result[1]
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for c in self.transducer.normal(text):
+            state, change = self.step(state, c)
+            total += change
+        return state, total
+
+    def cut(self, text: str, size: int) -> list[str]:
+        """Pieces of about ``size`` characters: none begins with a character that could join the one before it, none splits a special string."""
+        special, cuts, at = self.transducer.special, [0], size
+        while at < len(text):
+            while at < len(text) and text[at] >= "\u0300":
+                at += 1
+            for found in special.finditer(text, max(0, at - 64), at + 64) if special else ():
+                if found.start() < at < found.end():
+                    at = found.end()
+            if at < len(text) and text[at] < "\u0300":
+                cuts.append(at)
+                at += size
+        return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+    def map_of(self, piece: str) -> ChunkMap:
+        """A piece's map. Between its first and its last reset the count does not depend on the entry state; what is open at its end is run from the start state."""
+        out = ChunkMap("")
+        for n, part in enumerate(self.transducer.special.split(piece) if self.transducer.special and "<|" in piece else [piece]):
+            if n:
+                out = out.then(ChunkMap("", True, 1, START), self)
+            first = _FIRST.search(part)
+            if not first:
+                out = out.then(ChunkMap(part), self)
+            else:
+                last = _LAST.search(part).end()
+                state, count = self.run(START, part[last:])
+                out = out.then(ChunkMap(part[: first.start()], True, self.counts.of(part[first.start() : last]) + count, state), self)
+        return out
+
+
 class ChunkMap:
-    """What a chunk does to any state it is entered in.
+    """A chunk as a map from the state it is entered in to the state it is left in and the tokens emitted on the way.
 
-    White space resets the machine, so only the part before the chunk's first
-    white space depends on the entry state and only the part after its last
-    one remains open. ``tail`` is None for a chunk without white space, which
-    is then all ``head``.
+    Up to its first reset what a chunk does depends on the entry state: that
+    ``head`` is run for the states met. At a reset every state becomes the
+    start state, so from there on the ``count`` and the ``exit`` state are
+    known. A chunk without a reset is all head.
     """
 
-    __slots__ = ("head", "count", "tail")
+    __slots__ = ("head", "reset", "count", "exit")
 
-    def __init__(self, head: str, count: int = 0, tail: str | None = None):
-        self.head, self.count, self.tail = head, count, tail
+    def __init__(self, head: str, reset: bool = False, count: int = 0, exit: State = START):
+        self.head, self.reset, self.count, self.exit = head, reset, count, exit
 
-    @classmethod
-    def of(cls, chunk: str, counts: WordCounts) -> ChunkMap:
-        first = _GAP.search(chunk)
-        if not first:
-            return cls(chunk)
-        end = len(chunk)
-        while not _GAP.match(chunk, end - 1):
-            end -= 1
-        return cls(chunk[: first.start()], counts.of(chunk[first.start() : end]), chunk[end:])
+    def apply(self, entry: State, machine: Machine) -> tuple[State, int]:
+        state, count = machine.run(entry, self.head)
+        return (self.exit, count + machine.close(state) + self.count) if self.reset else (state, count)
 
-    def then(self, other: ChunkMap, counts: WordCounts) -> ChunkMap:
+    def then(self, other: ChunkMap, machine: Machine) -> ChunkMap:
         """The map of both chunks in a row; associative."""
-        if self.tail is None:
-            return ChunkMap(self.head + other.head, other.count, other.tail)
-        if other.tail is None:
-            return ChunkMap(self.head, self.count, self.tail + other.head)
-        return ChunkMap(self.head, self.count + counts.of(self.tail + other.head) + other.count, other.tail)
+        if not self.reset:
+            return ChunkMap(self.head + other.head, other.reset, other.count, other.exit)
+        state, count = other.apply(self.exit, machine)
+        return ChunkMap(self.head, True, self.count + count, state)
 
-    def total(self, counts: WordCounts) -> int:
+    def total(self, machine: Machine) -> int:
         """The count when the text begins and ends with this chunk."""
-        return counts.of(self.head) + self.count + counts.of(self.tail or "")
+        state, count = self.apply(START, machine)
+        return count + machine.close(state)
 
 
-def scan(maps: list[ChunkMap], counts: WordCounts) -> ChunkMap:
+def scan(maps: list[ChunkMap], machine: Machine) -> ChunkMap:
     """All maps composed, neighbours first, in a tree of logarithmic depth."""
     while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], counts) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        maps = [maps[i].then(maps[i + 1], machine) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     return maps[0] if maps else ChunkMap("")

@@ -12,7 +12,7 @@ from lumaframe.llm.html_text import extract_text, keeps, labelled_table, main_te
 from lumaframe.llm.quality_rules import FEATURES, fit_rules, judge_quality, learn_rules, _covers
 from lumaframe.llm.quotes import link_quotes
 from lumaframe.llm.token_counts import count_tokens, token_counts
-from lumaframe.llm.transducer import Transducer, WordCounts
+from lumaframe.llm.transducer import ChunkMap, Machine, Transducer, scan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,14 +55,15 @@ def test_quality_accuracy(spark):
 
 
 def test_token_counts(spark):
-    library, counts = Tokenizer.from_file(PATH), WordCounts(Transducer(PATH))
+    library, counts = Tokenizer.from_file(PATH), Machine(Transducer(PATH))
     rng = random.Random(1)
     parts = ["a", "B", "é", "é", "'s", "'re", "1", "２", " ", "\n", "\x1c", "\x85", "　", "Σ", "İ", "J̌", "中文", "😀", "<|endoftext|>", "##", "...", ".", ",", "ing", "\x00", "한", "하"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [count_tokens(t, counts, chunk_chars=rng.choice([1, 2, 5, 99])) for t in texts] == want
-    texts += [None, "", "x" * 100_000, "The end. " * 20_000]
-    want += [0, 0, *(len(library.encode(t, add_special_tokens=False).ids) for t in texts[-2:])]
+    long = ["x" * 100_000, "The end. " * 20_000, "don't" * 40_000, "".join(rng.choice(parts) for _ in range(150_000)), ("é" * 70_000 + "<|endoftext|>") * 3]
+    texts += [None, "", *long]
+    want += [0, 0, *(len(library.encode(t, add_special_tokens=False).ids) for t in long)]
     frame = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     rows = {r.doc_id: r for r in token_counts(frame, PATH).collect()}
     assert [rows[i].n_tokens for i in range(len(texts))] == want
@@ -144,6 +145,32 @@ LICENSED = [
 ]
 
 
+def test_state_maps_compose_at_every_cut():
+    library, machine = Tokenizer.from_file(PATH), Machine(Transducer(PATH))
+    rng = random.Random(3)
+    for text in ["I'll don't we've they're 'sam !'s it''s a1b2 x'r 'v 'l ll'l '", "ABC'dEF'Ré!=''m'mm<|endoftext|>'s", "supercalifragilistic-expialidocious!!! 12,345.67"]:
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        for at in range(len(text) + 1):
+            if "<|" in text and text.index("<|") < at < text.index("|>") + 2:
+                continue
+            maps = [machine.map_of(text[:at]), machine.map_of(text[at:])]
+            assert scan(maps, machine).total(machine) == want, (text, at)
+        for _ in range(40):  # any grouping gives the same map
+            pieces = machine.cut(text, rng.randint(1, 6))
+            a, b, c = (scan([machine.map_of(p) for p in some], machine) for some in (pieces[: len(pieces) // 3], pieces[len(pieces) // 3 : len(pieces) // 2], pieces[len(pieces) // 2 :]))
+            left, right = a.then(b, machine).then(c, machine), a.then(b.then(c, machine), machine)
+            assert left.total(machine) == right.total(machine) == want
+            assert left.apply(("L", *machine.run(("", (), 0), "ab")[0][1:]), machine) == right.apply(("L", *machine.run(("", (), 0), "ab")[0][1:]), machine)
+    assert ChunkMap("").total(machine) == 0
+
+
+def test_token_counts_odd_rows(spark):
+    rows = [(None, "a b"), (3, "a b"), (3, None), (3, "a b"), (4, "y " * 70_000), (4, "y " * 70_000)]
+    out = token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 2), (3, 0), (3, 2), (3, 2), (4, 70_000), (4, 70_000)]
+    assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
 def test_licenses(spark):
     import duckdb
 
