@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.scratch import Scratch
 from lumaframe.llm.shingles import mix, shingle_sets, super_minhash, text_slices
-from lumaframe.llm.skew import join_counted, join_salted
+from lumaframe.llm.skew import join_counted, join_salted, maybe_among
 
 #: Registers in a band.
 ROWS = 5
@@ -77,11 +77,13 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The shingle sets of the rows whose set is the one that is wanted for their id."""
     for batch in batches:
         for part in text_slices(batch, "text"):
             sets = shingle_sets(part.column("text"), width)
-            a, b = _fingerprints(sets)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_signed(a)), pa.array(_signed(b)), _lists(sets)], names=["id", "set_a", "set_b", "shingles"])
+            a, b = map(_signed, _fingerprints(sets))
+            right = np.flatnonzero((a == part.column("set_a").to_numpy()) & (b == part.column("set_b").to_numpy()))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(right)), _lists([sets[i] for i in right])], names=["id", "shingles"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -90,7 +92,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     pairs = scratch.write(pairs, "pairs")
-    merged = join_salted(pairs.join(left, "a"), right, "b", "a", pairs.count()).select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), both.alias("common"))
+    merged = join_salted(pairs.join(left.hint("merge"), "a"), right, "b", "a", pairs, pairs.count()).select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), both.alias("common"))
     union = F.col("total") - F.col("common")
     return merged.select("a", "b", (F.col("common") / union).alias("similarity"), (100 * F.col("common") >= percent * union).alias("linked"))
 
@@ -124,10 +126,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.write(shared, "shared")
     members = scratch.write(join_counted(buckets, shared, ["bucket"], "members", bands * classes.count()).drop("members"), "members")
 
-    wanted = members.select(F.col("rep").alias("id"), "set_a", "set_b").distinct()
-    texts = source.where("id is not null").join(wanted.select("id").distinct(), "id", "left_semi")
-    made = texts.mapInArrow(partial(_sets, width=width), "id long, set_a long, set_b long, shingles array<long>").join(wanted, ["id", "set_a", "set_b"], "left_semi")
-    sets = scratch.write(made.groupBy("id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles")), "sets")
+    wanted = members.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("set_a", "set_b")).alias("set")).select("id", "set.*")
+    wanted = scratch.write(wanted, "wanted")
+    # Only texts that may be wanted travel. Joins of two sides that grow with the corpus are merge joins at every size.
+    texts = maybe_among(source.where("id is not null"), wanted, "id").join(wanted.hint("merge"), "id")
+    sets = scratch.write(texts.mapInArrow(partial(_sets, width=width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     to_head = members.where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     tested = scratch.write(_verify(to_head, sets, percent, scratch), "tested")

@@ -25,17 +25,32 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count_col
     return few.unionByName(cold.join(rest, keys))
 
 
-def join_salted(rows: DataFrame, others: DataFrame, key: str, salt_by: str, total: int, parts: int = 256, spread: int = 64) -> DataFrame:
+def join_salted(rows: DataFrame, others: DataFrame, key: str, salt_by: str, names: DataFrame, total: int, parts: int = 256, spread: int = 64) -> DataFrame:
     """``rows`` joined with ``others``, one row a key and too large to broadcast.
 
     Keys with more than one in ``parts`` of the ``total`` rows are dealt over
     ``spread`` tasks by the hash of ``salt_by``, and their row of ``others`` is
-    copied as often. Only the names of such keys, fewer than ``parts``, are
-    broadcast. ``rows`` is read twice, so it should be a written table.
+    copied as often. ``names`` has the keys of ``rows``, one a row, in a
+    written table; only the names of hot keys, fewer than ``parts``, are
+    broadcast. It is a merge join at every size.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > total).select(key, F.lit(True).alias("_hot"))
+    hot = names.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > total).select(key, F.lit(True).alias("_hot"))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int")).otherwise(0)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     copied = others.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+    return dealt.join(copied.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """``rows`` less most of those whose key is in no row of ``keys``; none that is in one goes.
+
+    One bit for each hash of a key, 64 to a word: at most ``words`` rows of two
+    longs are broadcast, whatever the size of ``keys``. The more keys, the
+    fewer rows go, so an exact join has to follow.
+    """
+    shift = lambda name, value, n: F.call_function(name, value, n.cast("int"))
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(64 * words))
+    bits = keys.select(place().alias("_h")).groupBy(F.expr("_h div 64").alias("_word")).agg(F.bit_or(shift("shiftleft", F.lit(1).cast("long"), F.col("_h") % 64)).alias("_bits"))
+    tested = rows.withColumn("_h", place()).withColumn("_word", F.expr("_h div 64")).join(F.broadcast(bits), "_word")
+    return tested.where(shift("shiftright", F.col("_bits"), F.col("_h") % 64).bitwiseAND(F.lit(1).cast("long")) == 1).drop("_h", "_word", "_bits")

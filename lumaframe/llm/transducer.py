@@ -183,7 +183,7 @@ class Transducer:
 class Memo(dict):
     """Values by stretch, in two generations of LIMIT each: what was not asked for since the last change goes."""
 
-    LIMIT = 350_000
+    LIMIT = 700_000
 
     def __init__(self):
         super().__init__()
