@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in so many rows; so there are fewer hot keys than this.
-PARTS = 10_000
+PARTS = 1000
+
+
+def _hot(counted: DataFrame, keys: list[str], count_col: str, total: int, parts: int) -> list[int]:
+    """Hashes of the keys with more than one in ``parts`` of the rows: fewer than ``parts``, since the counts add up to ``total`` at most."""
+    return [r.h for r in counted.where(F.col(count_col) * parts > total).select(F.xxhash64(*keys).alias("h")).distinct().collect()]
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count_col: str, total: int, parts: int = PARTS) -> DataFrame:
     """``rows`` joined with ``counted``, which has one row for each key and the number of its rows in ``count_col``.
 
-    Since the counts add up to ``total`` at most, fewer than ``parts`` keys
-    hold more than total / parts rows: these few rows are broadcast, so that
-    the rows of a hot key stay in the tasks that read them. All other keys hold
-    a small part each and are joined by a shuffle. Both ways give the same
-    rows. ``rows`` is read twice, so it should be a written table.
+    Hot keys' few rows of ``counted`` are broadcast, so that the rows of a hot
+    key stay in the tasks that read them. All other keys hold a small part
+    each and are joined by a shuffle. Both sides are split by the same hashes,
+    so both ways together give each row once. ``rows`` is read twice where
+    there is a hot key, so it should be a written table.
     """
-    hot = counted.where(F.col(count_col) * parts > total)
-    rest = counted.where(F.col(count_col) * parts <= total)
-    few = rows.join(F.broadcast(hot), keys)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return few.unionByName(cold.join(rest, keys))
+    hot = _hot(counted, keys, count_col, total, parts)
+    if not hot:
+        return rows.join(counted, keys)
+    few = lambda d, yes: d.where(F.xxhash64(*keys).isin(hot) == F.lit(yes))
+    return few(rows, True).join(F.broadcast(few(counted, True)), keys).unionByName(few(rows, False).join(few(counted, False), keys))
 
 
 def join_salted(rows: DataFrame, others: DataFrame, key: str, salt_by: str, names: DataFrame, total: int, parts: int = 256, spread: int = 64) -> DataFrame:
@@ -31,14 +36,11 @@ def join_salted(rows: DataFrame, others: DataFrame, key: str, salt_by: str, name
     Keys with more than one in ``parts`` of the ``total`` rows are dealt over
     ``spread`` tasks by the hash of ``salt_by``, and their row of ``others`` is
     copied as often. ``names`` has the keys of ``rows``, one a row, in a
-    written table; only the names of hot keys, fewer than ``parts``, are
-    broadcast. It is a merge join at every size.
+    written table. It is a merge join at every size.
     """
-    hot = names.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * parts > total).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    copied = others.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    is_hot = F.xxhash64(key).isin(_hot(names.groupBy(key).agg(F.count("*").alias("_n")), [key], "_n", total, parts))
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int")).otherwise(0))
+    copied = others.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copied.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
