@@ -176,6 +176,7 @@ def test_licenses(spark):
 
     from lumaframe.llm import licenses
 
+    assert all(any(stem in s for stem in licenses.STEMS) for s in licenses.known_sentences())
     frame = spark.createDataFrame([(i, t, "c") for i, (t, _) in enumerate(LICENSED)], "doc_id long, text string, licenses string")
     rows = {r.doc_id: r for r in licenses.scan_licenses(frame).collect()}
     assert {i: rows[i].licenses for i in rows} == {i: x for i, (_, x) in enumerate(LICENSED)}
