@@ -43,25 +43,24 @@ def edge_strengths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     for direction, dx, dy in (("v", 1, 0), ("h", 0, 1)):
         there = blocks.select(*keys, (F.col("mb_x") + dx).alias("mb_x"), (F.col("mb_y") + dy).alias("mb_y"), *[F.col(n).alias(f"n_{n}") for n in names])
         both = blocks.join(there, at, "left")
-        place = (lambda line, e: 4 * line + e) if direction == "v" else (lambda line, e: 4 * e + line)
-        item = lambda side, name, p: F.get(F.col(side + name), F.lit(p))
+        # An edge a row, so that the expression for one edge is all that is compiled.
+        edges = both.withColumn("direction", F.lit(direction)).withColumn("edge", F.explode(F.array(*map(F.lit, range(4)))))
+        own = F.col("edge") == 0
+        before = F.pmod(F.col("edge") - 1, F.lit(4))
+        other_side = {n: F.when(own, F.col(f"n_{n}")).otherwise(F.col(n)) for n in names}
+        edges = edges.select(*at, "direction", "edge", before.alias("before"), "transform_8x8", *names, *[c.alias(f"o_{n}") for n, c in other_side.items()])
+        item = lambda side, name, p: F.get(F.col(side + name), p)
         motion = lambda side, p: [tuple(item(side, f"{n}{i}", p) for n in ("ref", "x", "y")) for i in (0, 1)]
-        edges = []
-        for e in range(4):
-            side = "" if e else "n_"
-            lines = []
-            for line in range(4):
-                here, other = place(line, e), place(line, (e - 1) % 4)
-                coded = (item("", "nz", here) != 0) | (item(side, "nz", other) != 0)
-                moved = motion_boundary(motion("", here), motion(side, other), F.col("is_b") | F.col(f"{side}is_b"))
-                lines.append(F.when(coded, 2).when(moved, 1).otherwise(0))
-            if e:
-                bs = F.when(F.col("transform_8x8") & F.lit(e != 2), F.array(*[F.lit(0)] * 4)).when(F.col("intra"), F.array(*[F.lit(3)] * 4)).otherwise(F.array(*lines))
-            else:
-                intra = F.col("intra") | F.coalesce(F.col("n_intra"), F.lit(False))
-                bs = F.when(intra, F.array(*[F.lit(4)] * 4)).when(F.col("n_nz").isNull(), F.array(*[F.lit(0)] * 4)).otherwise(F.array(*lines))
-            edges.append(F.struct(F.lit(direction).alias("direction"), F.lit(e).alias("edge"), bs.alias("bs")))
-        made.append(both.select(*at, F.inline(F.array(*edges))))
+        lines = []
+        for line in range(4):
+            here, there = (4 * line + F.col(c) if direction == "v" else 4 * F.col(c) + line for c in ("edge", "before"))
+            coded = (item("", "nz", here) != 0) | (item("o_", "nz", there) != 0)
+            moved = motion_boundary(motion("", here), motion("o_", there), F.col("is_b") | F.col("o_is_b"))
+            lines.append(F.when(coded, 2).when(moved, 1).otherwise(0))
+        four = lambda n: F.array(*[F.lit(n)] * 4)
+        intra = F.col("intra") | F.coalesce(F.col("o_intra"), F.lit(False))
+        bs = F.when(own & intra, four(4)).when(F.col("o_nz").isNull(), four(0)).when(~own & F.col("transform_8x8") & (F.col("edge") != 2), four(0)).when(F.col("intra"), four(3)).otherwise(F.array(*lines))
+        made.append(edges.select(*at, "direction", "edge", bs.alias("bs")))
     return made[0].union(made[1])
 
 

@@ -323,7 +323,7 @@ def _edges_sql() -> str:
             (l_partkey + 3 * k) % 11 = 0 AS nz, (l_suppkey + k // 4) % 3 - 1 AS r0, (l_suppkey + k % 4) % 3 - 1 AS r1, l_partkey % 6 + k AS x0, l_partkey % 7 AS y0, l_partkey % 6 + k AS x1, l_suppkey % 9 - k AS y1
             FROM (SELECT *, unnest(range(16)) AS k FROM lineitem)),
         e AS (SELECT *, 'v' AS direction, bx % 4 AS edge, b_y % 4 AS line, bx - 1 AS ox, b_y AS oy FROM b UNION ALL SELECT *, 'h', b_y % 4, bx % 4, bx, b_y - 1 FROM b)
-        SELECT h.pic, h.bx // 4 AS mb_x, h.b_y // 4 AS mb_y, direction, edge::INT AS edge, string_agg(CAST({bs} AS VARCHAR), '' ORDER BY line) AS bs
+        SELECT h.pic, (h.bx // 4)::INT AS mb_x, h.b_y // 4 AS mb_y, direction, edge::INT AS edge, string_agg(CAST({bs} AS VARCHAR), '' ORDER BY line) AS bs
         FROM e h LEFT JOIN b o ON o.pic = h.pic AND o.bx = h.ox AND o.b_y = h.oy GROUP BY ALL"""
 
 
