@@ -42,7 +42,7 @@ def edge_strengths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     made = []
     for direction, dx, dy in (("v", 1, 0), ("h", 0, 1)):
         there = blocks.select(*keys, (F.col("mb_x") + dx).alias("mb_x"), (F.col("mb_y") + dy).alias("mb_y"), *[F.col(n).alias(f"n_{n}") for n in names])
-        both = blocks.join(there, at, "left")
+        both = blocks.join(there.hint("merge"), at, "left")  # both sides grow alike, and arrays are larger than Spark expects
         # An edge a row, so that the expression for one edge is all that is compiled.
         edges = both.withColumn("direction", F.lit(direction)).withColumn("edge", F.explode(F.array(*map(F.lit, range(4)))))
         own = F.col("edge") == 0

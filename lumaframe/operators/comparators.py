@@ -22,8 +22,10 @@ def field_diff(left: DataFrame, right: DataFrame, keys: list[str], differs: dict
 
     ``how``: left, so that rows of the left side alone are missing, or inner.
     A condition that is null does not hold. Keys should be unique on each side.
+    Both sides grow with the traces and may hold arrays, whose sizes Spark
+    underestimates, so it is a merge join at every size.
     """
-    both = _sided(left, keys, "a").join(_sided(right, keys, "b").withColumn("_found", F.lit(True)), keys, how)
+    both = _sided(left, keys, "a").join(_sided(right, keys, "b").withColumn("_found", F.lit(True)).hint("merge"), keys, how)
     fields = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in differs.items()]))
     both = both.withColumn("fields", F.when(F.col("_found"), F.array_join(fields, ",")).otherwise(""))
     status = F.when(F.col("_found").isNull(), "missing").when(F.col("fields") != "", "differs").otherwise("equal")
@@ -210,7 +212,7 @@ def reconstruction_diff(left: DataFrame, right: DataFrame, keys: list[str], edge
     kind is mode where the modes differ, else what explains the error: a delta
     of more than twice the other, else mixed.
     """
-    both = _sided(left, keys, "a").join(_sided(right, keys, "b"), keys)
+    both = _sided(left, keys, "a").join(_sided(right, keys, "b").hint("merge"), keys)
     both = both.withColumn("out_delta", F.col("a_out") - F.col("b_out")).withColumn("pred_delta", F.col("a_pred") - F.col("b_pred"))
     both = both.withColumn("res_delta", F.col("out_delta") - F.col("pred_delta"))
     for e in edges or []:
@@ -233,7 +235,7 @@ def earliest_over(rows: DataFrame, kind: str, delta: str, order: list[str], thre
 
 def best_vector(blocks: DataFrame, candidates: DataFrame, keys: list[str], cost: Column, order: list[str]) -> DataFrame:
     """The candidate of the least cost for each block, ties by ``order``: a partial minimum, no sort."""
-    tried = blocks.join(candidates, keys).withColumn("_cost", cost)
+    tried = blocks.join(candidates.hint("merge"), keys).withColumn("_cost", cost)
     best = tried.groupBy(*keys).agg(F.min(F.struct(F.col("_cost").alias("cost"), *order)).alias("best"), F.count("*").alias("n_tried"))
     return best.select(*keys, "best.*", "n_tried")
 
