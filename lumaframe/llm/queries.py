@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import licenses
+from lumaframe.llm import filter_audit, licenses, personal_data, resampling
 from lumaframe.llm.ann import nearest
 from lumaframe.llm.html_text import extract_text
 from lumaframe.llm.line_dedup import dedup_lines
@@ -70,8 +70,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_corpus(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=1, buckets=10000, percent=10, least=20, seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_near_dedup, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_nearest_vectors, op7_chat_format, op8_packing, op9_mixing, op10_html_text]
+    made = [op1_near_dedup, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_license_scan, op6_nearest_vectors, op7_chat_format, op8_packing, op9_mixing, op10_html_text, op11_filter_audit, op12_personal_data, op13_resampling]
     return {f.__name__: f for f in made}
 
 
@@ -88,4 +100,4 @@ _LINES = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINES, "op5_license_scan": licenses.oracle()}
+    return {"op2_line_dedup": _LINES, "op5_license_scan": licenses.oracle(), "op11_filter_audit": filter_audit.oracle(), "op13_resampling": resampling.oracle()}
