@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaframe.operators.scan import WIDTH, before, carry, in_ranges, inside, upto
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no from 0, line). A file is one row until its lines are numbered, so that the order is the file's own."""
@@ -21,11 +23,14 @@ def extract(lines: DataFrame, pattern: str, fields: dict[str, str], keep: tuple[
     return found.select("file", "line_no", *keep, *[cast(group(i), kind).alias(name) for i, (name, kind) in enumerate(fields.items(), 1)])
 
 
-def with_headers(lines: DataFrame, headers: dict[str, str]) -> DataFrame:
-    """Each name of ``headers`` as a column: the integer that its pattern's group last found at or above the line."""
-    above = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+def with_headers(lines: DataFrame, headers: dict[str, str], width: int = WIDTH) -> DataFrame:
+    """Each name of ``headers`` as a column: the integer that its pattern's group last found at or above the line. Ranges of lines hand it on, so no task holds a file's lines."""
     value = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit("")).cast("long")
-    return lines.select("*", *[F.last(value(p), ignorenulls=True).over(above).alias(name) for name, p in headers.items()])
+    step = in_ranges(lines.select("*", *[value(p).alias(name) for name, p in headers.items()]), ["file"], "line_no", width)
+    latest = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(f"_l_{name}") for name in headers]
+    step = carry(step, ["file"], latest, lambda w: [F.last(f"_l_{name}", ignorenulls=True).over(before(w)).alias(f"_b_{name}") for name in headers])
+    here = lambda name: F.last(name, ignorenulls=True).over(upto(inside("line_no")))
+    return step.select(*lines.columns, *[F.coalesce(here(name), f"_b_{name}").alias(name) for name in headers])
 
 
 def extract_below(lines: DataFrame, headers: dict[str, str], pattern: str, fields: dict[str, str]) -> DataFrame:
