@@ -1,8 +1,9 @@
 """H.264 Annex B streams as tables: NAL units, parameter sets and slice headers.
 
 ``binaryFile`` gives one row for each stream; splitting and parsing are local
-to a row and run on Arrow batches. Which parameter set a slice uses is a
-window over its stream (see ``resolve_slices``).
+to a row and run on Arrow batches; files that are too large for a row are read
+by ranges (see ranges.py). Which parameter set a slice uses is an as-of scan
+over its stream (see ``resolve_slices``).
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lumaframe.operators.scan import running_last
+
 #: Names of NAL unit types.
 NAL_TYPES = {1: "non-IDR slice", 2: "partition A", 3: "partition B", 4: "partition C", 5: "IDR slice", 6: "SEI", 7: "SPS", 8: "PPS", 9: "AUD", 10: "end of sequence", 11: "end of stream", 12: "filler"}
 #: Profiles whose SPS carries chroma format, bit depths and scaling lists.
@@ -305,22 +308,29 @@ def pps_table(units: DataFrame) -> DataFrame:
 def resolve_slices(units: DataFrame) -> DataFrame:
     """Slice units with the PPS in force for the id they name and the SPS in force, at the slice, for the id which that names.
 
-    Two as-of steps, each a window over the stream. Slices without a set have
-    null for it.
+    Two as-of steps, each a scan over ranges of the stream. Only numbers and
+    ids run through them; payloads are joined afterwards. Slices without a set
+    have null for it.
     """
-    sps = sps_table(units).select("stream_id", "nal_idx", F.struct(*[c.split()[0] for c in SPS_SCHEMA.split(", ")]).alias("sps"))
-    pps = pps_table(units).select("stream_id", "nal_idx", F.struct(*[c.split()[0] for c in PPS_SCHEMA.split(", ")]).alias("pps"))
+    fields = lambda schema: F.struct(*[c.split()[0] for c in schema.split(", ")])
+    sps = sps_table(units).select("stream_id", "nal_idx", fields(SPS_SCHEMA).alias("sps"))
+    pps = pps_table(units).select("stream_id", "nal_idx", fields(PPS_SCHEMA).alias("pps"))
 
     def ids(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([slice_pps_id(p) for p in batch.column("payload").to_pylist()], pa.int64())], names=[*batch.schema.names, "pps_id"])
-
-    slices = units.where(F.col("nal_type").isin(1, 5)).mapInArrow(ids, "stream_id string, nal_idx long, ref_idc int, nal_type int, payload binary, pps_id long")
-    both = slices.withColumn("pps", F.lit(None).cast(pps.schema["pps"].dataType)).unionByName(pps.withColumn("pps_id", F.col("pps.pps_id")), allowMissingColumns=True)
-    last = lambda c, key: F.last(c, ignorenulls=True).over(Window.partitionBy("stream_id", key).orderBy("nal_idx").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("pps", last("pps", "pps_id")).where("payload is not null").withColumn("sps_id", F.col("pps.sps_id"))
-    both = found.withColumn("sps", F.lit(None).cast(sps.schema["sps"].dataType)).unionByName(sps.withColumn("sps_id", F.col("sps.sps_id")), allowMissingColumns=True)
-    return both.withColumn("sps", last("sps", "sps_id")).where("payload is not null").drop("sps_id", "pps_id")
+            found = pa.array([slice_pps_id(p) for p in batch.column("head").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("stream_id"), batch.column("nal_idx"), found], names=["stream_id", "nal_idx", "pps_id"])
+
+    slices = units.where(F.col("nal_type").isin(1, 5))
+    named = slices.select("stream_id", "nal_idx", F.substring("payload", 1, 16).alias("head")).mapInArrow(ids, "stream_id string, nal_idx long, pps_id long")
+
+    def in_force(uses: DataFrame, sets: DataFrame, name: str, key: str) -> DataFrame:
+        both = uses.withColumn("_use", F.lit(True)).unionByName(sets.withColumn(key, F.col(f"{name}.{key}")), allowMissingColumns=True)
+        return running_last(both, ["stream_id", key], "nal_idx", F.col(name), name).where("_use").drop("_use", key)
+
+    with_pps = in_force(named, pps, "pps", "pps_id").withColumn("sps_id", F.col("pps.sps_id"))
+    both = in_force(with_pps, sps, "sps", "sps_id")
+    return slices.select("stream_id", "nal_idx", "ref_idc", "nal_type", "payload").join(both.hint("merge"), ["stream_id", "nal_idx"])
 
 
 def slice_headers(units: DataFrame) -> DataFrame:
