@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import blocks, deblock, scalar
 from lumaframe.operators import comparators, compare, sequence
-from lumaframe.plans.comparisons import registered
+from lumaframe.plans import comparisons, pictures
 from lumaframe.plans.register import Query
 from lumaframe.sources import traces
 
+_MODULES = [comparisons, pictures]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -34,11 +35,11 @@ def _query(table: str, columns: list[str], sql: str):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | registered.queries
+    return {k: v for found in (_QUERIES, *(m.registered.queries for m in _MODULES)) for k, v in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | registered.sql
+    return {k: v for found in (_SQL, *(m.registered.sql for m in _MODULES)) for k, v in found.items()}
 
 
 EVENT = ["user_id", "event_id"]
