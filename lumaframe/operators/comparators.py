@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import syntax
+from lumaframe.operators.compare import classify_delta
 
 
 def _sided(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -165,9 +166,13 @@ def colocated_zero_diff(left: DataFrame, right: DataFrame, keys: list[str], occu
     left = left.where(_small(F.col("ref_mv"))) if only_small else left
     at = [*keys, occurrence]
     if any_occurrence:
+        # The first of each motion and the first of each key: two joins by equal keys, no candidate meets another.
+        whole = F.struct(*[c for c in right.columns if c not in at])
+        of_motion = right.groupBy(*keys, F.col("ref_mv").alias("_asked")).agg(F.min_by(whole, occurrence).alias("_same"))
+        of_key = right.groupBy(*keys).agg(F.min_by(whole, occurrence).alias("_first"))
         asked = left.select(*at, F.col("ref_mv").alias("_asked"))
-        place = F.row_number().over(Window.partitionBy(*at).orderBy((F.col("ref_mv") != F.col("_asked")), "_there"))
-        right = asked.join(right.withColumnRenamed(occurrence, "_there"), keys).withColumn("_place", place).where("_place = 1").drop("_place", "_there", "_asked")
+        found = asked.join(of_motion, [*keys, "_asked"], "left").join(of_key, keys)
+        right = found.select(*at, F.coalesce("_same", "_first").alias("_found")).select(*at, "_found.*")
     zero = _small(F.col("a_ref_mv")) != F.col("b_zero")
     return field_diff(left, right, at, {"zero": zero, "motion": ~zero & _not_same("ref_mv")})
 
@@ -217,9 +222,7 @@ def reconstruction_diff(left: DataFrame, right: DataFrame, keys: list[str], edge
     both = both.withColumn("res_delta", F.col("out_delta") - F.col("pred_delta"))
     for e in edges or []:
         both = both.withColumn(f"{e}_delta", F.aggregate(F.zip_with(f"a_{e}", f"b_{e}", lambda x, y: F.abs(x - y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0))))
-    p, r = F.abs("pred_delta"), F.abs("res_delta")
-    kind = F.when(_not_same("mode"), "mode").when(p > 2 * r, "prediction").when(r > 2 * p, "residual").otherwise("mixed")
-    return both.withColumn("kind", kind)
+    return both.withColumn("kind", classify_delta(F.col("pred_delta"), F.col("res_delta"), _not_same("mode")))
 
 
 def largest(rows: DataFrame, delta: str, ties: list[str], k: int) -> DataFrame:
@@ -255,10 +258,12 @@ def richest(samples: DataFrame, keys: list[str], value: str, k: int) -> DataFram
     return samples.groupBy(*keys).agg(F.countDistinct(value).alias("n")).orderBy(F.desc("n"), *keys).limit(k)
 
 
-def spatial_buckets(rows: DataFrame, x: Column, y: Column, size: int = 4) -> DataFrame:
-    """Rows (n) in each square of ``size`` macroblocks, with the mean of x and y over all of them in every row's mean_x and mean_y of the bucket."""
-    at = rows.select(F.floor(x / size).alias("bx"), F.floor(y / size).alias("b_y"), x.alias("_x"), y.alias("_y"))
-    return at.groupBy("bx", "b_y").agg(F.count("*").alias("n"), F.avg("_x").alias("mean_x"), F.avg("_y").alias("mean_y"))
+def spatial_buckets(rows: DataFrame, x: str, y: str, delta: str, ties: list[str], k: int, size: int = 4) -> DataFrame:
+    """bx, b_y and n of the squares of ``size`` samples that the k rows of the largest absolute delta lie in, with mean_x and mean_y of all these rows."""
+    chosen = largest(rows, delta, ties, k).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    means = chosen.agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    counts = chosen.groupBy(F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("b_y")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(means))  # one row of means
 
 
 def mode_summary(rows: DataFrame, modes: list[str]) -> DataFrame:

@@ -40,22 +40,6 @@ def first_divergence(left: DataFrame, right: DataFrame, stream: str, order: str,
     return trace_diff(a, b, [stream, "place"], fields).where("status != 'equal'").groupBy(stream).agg(F.min("place").alias("place"))
 
 
-def representative_vector(rows: DataFrame, keys: list[str], line: str, area: str, vector: str) -> DataFrame:
-    """The vector of the largest area, the first among equals; ambiguous if, at any time, another vector had the area that led then.
-
-    An ordered fold: the mark stays when a larger candidate follows.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), F.col(area).cast("double").alias("area"), F.col(vector).cast("long").alias("vector"))))
-    start = F.struct(F.lit(-1.0).alias("area"), F.lit(None).cast("long").alias("vector"), F.lit(False).alias("ambiguous"))
-
-    def step(acc: Column, x: Column) -> Column:
-        larger = x["area"] > acc["area"]
-        tied = (x["area"] == acc["area"]) & ~x["vector"].eqNullSafe(acc["vector"])
-        return F.struct(F.when(larger, x["area"]).otherwise(acc["area"]).alias("area"), F.when(larger, x["vector"]).otherwise(acc["vector"]).alias("vector"), (acc["ambiguous"] | tied).alias("ambiguous"))
-
-    return rows.groupBy(*keys).agg(F.aggregate(ordered, start, step).alias("r")).select(*keys, "r.*")
-
-
 def type_string(rows: DataFrame, keys: list[str], order: str, kind: str) -> DataFrame:
     """The types of a key in order, as one string."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda x: x[kind])
@@ -67,10 +51,10 @@ def type_histogram(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
     return rows.groupBy(*keys, kind).agg(F.count("*").alias("n"))
 
 
-def classify_delta(prediction: Column, residual: Column) -> Column:
-    """Which of two deltas explains an error: one at least twice the other, else mixed."""
+def classify_delta(prediction: Column, residual: Column, modes_differ: Column) -> Column:
+    """What an error comes from: mode where the modes differ, else the delta of more than twice the other, else mixed."""
     p, r = F.abs(prediction), F.abs(residual)
-    return F.when((p == 0) & (r == 0), "none").when(p >= 2 * r, "prediction").when(r >= 2 * p, "residual").otherwise("mixed")
+    return F.when(modes_differ, "mode").when(p > 2 * r, "prediction").when(r > 2 * p, "residual").otherwise("mixed")
 
 
 def top_by_class(rows: DataFrame, kind: str, size: Column, tie: str, k: int) -> DataFrame:

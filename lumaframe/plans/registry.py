@@ -330,30 +330,34 @@ def match_any(events):
     return comparators.match_any(a, b, ["user_id", "v"]).select(*EVENT)
 
 
-@_query("lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey"], """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line, area, v) AS n FROM (SELECT l_orderkey, l_linenumber AS line, floor(l_quantity / 10) AS area, l_partkey AS v FROM lineitem)),
-    m AS (SELECT *, max(area) OVER (PARTITION BY l_orderkey ORDER BY n) AS top FROM r),
-    f AS (SELECT *, first_value(v) OVER (PARTITION BY l_orderkey, area ORDER BY n) AS lead_v FROM m)
-    SELECT l_orderkey, arg_max(v, struct_pack(area := area, n := -n))::BIGINT AS vector, bool_or(area = top AND v <> lead_v) AS ambiguous FROM f GROUP BY 1""")
+@_query("lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey"], f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line, w * h, w, h, vx, vy) AS n FROM (SELECT l_orderkey, l_linenumber AS line, 4 << ({_Q} % 3)::INTEGER AS w, 4 << (l_partkey % 3)::INTEGER AS h, l_partkey // 7 % 3 AS vx, {_Q} % 2 AS vy FROM lineitem)),
+    m AS (SELECT *, w * h AS area, max(w * h) OVER (PARTITION BY l_orderkey ORDER BY n) AS top FROM r),
+    f AS (SELECT *, first_value([w, h, vx, vy]) OVER (PARTITION BY l_orderkey, area ORDER BY n) AS lead FROM m)
+    SELECT l_orderkey, arg_max([w, h, vx, vy], area * 100 - n)[1]::BIGINT AS w, arg_max([w, h, vx, vy], area * 100 - n)[2]::BIGINT AS h, arg_max([w, h, vx, vy], area * 100 - n)[3]::BIGINT AS vx, arg_max([w, h, vx, vy], area * 100 - n)[4]::BIGINT AS vy,
+           bool_or(area = top AND [w, h, vx, vy] <> lead) AS ambiguous, sum(area)::BIGINT AS area_sum FROM f GROUP BY 1""")
 def repr_mv(items):
-    rows = items.select("l_orderkey", "l_linenumber", F.floor(F.col("l_quantity") / 10).alias("area"), "l_partkey")
-    return compare.representative_vector(rows, ["l_orderkey"], "l_linenumber", "area", "l_partkey").select("l_orderkey", "vector", "ambiguous")
+    side = lambda c: F.call_function("shiftleft", F.lit(4), c.cast("int"))
+    rows = items.select("l_orderkey", "l_linenumber", side(_quantity() % 3).alias("w"), side(F.col("l_partkey") % 3).alias("h"), (F.floor(F.col("l_partkey") / 7) % 3).alias("vx"), (_quantity() % 2).alias("vy"))
+    return comparators.representative_block(rows, ["l_orderkey"], "l_linenumber", "w", "h", ["vx", "vy"]).drop("candidates")
 
 
-@_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice"], f"""
-    WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_P} - 128 AS p, ({_Q} - 25) * 5 AS r FROM lineitem),
-    c AS (SELECT *, CASE WHEN p = 0 AND r = 0 THEN 'none' WHEN abs(p) >= 2 * abs(r) THEN 'prediction' WHEN abs(r) >= 2 * abs(p) THEN 'residual' ELSE 'mixed' END AS kind FROM d)
+@_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice", "l_partkey"], f"""
+    WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_P} - 128 AS p, ({_Q} - 25) * 5 AS r, l_partkey % 4 = 0 AS moved FROM lineitem),
+    c AS (SELECT *, CASE WHEN moved THEN 'mode' WHEN abs(p) > 2 * abs(r) THEN 'prediction' WHEN abs(r) > 2 * abs(p) THEN 'residual' ELSE 'mixed' END AS kind FROM d)
     SELECT kind, id, p, r, place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY abs(p + r) DESC, id) AS place FROM c) WHERE place <= 5""")
 def classify_topk(items):
-    d = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (_price() - 128).alias("p"), ((_quantity() - 25) * 5).alias("r"))
-    d = d.withColumn("kind", compare.classify_delta(F.col("p"), F.col("r")))
+    d = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (_price() - 128).alias("p"), ((_quantity() - 25) * 5).alias("r"), (F.col("l_partkey") % 4 == 0).alias("moved"))
+    d = d.withColumn("kind", compare.classify_delta(F.col("p"), F.col("r"), F.col("moved")))
     return compare.top_by_class(d, "kind", F.abs(F.col("p") + F.col("r")), "id", 5).select("kind", "id", "p", "r", "place")
 
 
-@_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice"], f"SELECT {_P} // 4 // 4 AS bx, {_Q} // 4 AS b_y, count(*)::BIGINT AS n, round(avg({_P}), 6) AS mean_x FROM lineitem GROUP BY 1, 2")
+@_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice", "l_partkey"], f"""
+    WITH s AS (SELECT {_P} // 4 AS x, {_Q} AS y FROM lineitem ORDER BY abs(l_partkey % 1000 - 500) DESC, l_orderkey, l_linenumber LIMIT 500)
+    SELECT x // 4 AS bx, y // 4 AS b_y, count(*)::BIGINT AS n, (SELECT avg(x) FROM s) AS mean_x, (SELECT avg(y) FROM s) AS mean_y FROM s GROUP BY 1, 2""")
 def bucket_counts(items):
-    out = comparators.spatial_buckets(items, _price() / 4, _quantity())
-    return out.select("bx", "b_y", "n", F.round(F.col("mean_x") * 4, 6).alias("mean_x"))
+    rows = items.select(*ITEM, F.floor(_price() / 4).alias("x"), _quantity().alias("y"), (F.col("l_partkey") % 1000 - 500).alias("delta"))
+    return comparators.spatial_buckets(rows, "x", "y", "delta", ITEM, 500)
 
 
 @_query("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice"], f"""
