@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumaframe.functions.scalar import CHROMA_QP, clip3, motion_boundary
+from lumaframe.functions.scalar import CHROMA_QP, clip3
 
 #: Edge thresholds by clipped index 0..51, and clipping bounds by index for strengths 1, 2, 3.
 ALPHA = [0] * 16 + [4, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 17, 20, 22, 25, 28, 32, 36, 40, 45, 50, 56, 63, 71, 80, 90, 101, 113, 127, 144, 162, 182, 203, 226, 255, 255]
@@ -34,34 +41,74 @@ def edge_strengths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     16 in raster order: nz (coded coefficients), ref0, ref1, x0, y0, x1, y1.
     Edges are numbered 0 (the macroblock's own edge, against its neighbour) to
     3. Where a neighbour is missing only intra macroblocks have a strength;
-    inside 8x8-transform macroblocks only edge 2 has. One equi-join for each
-    direction with the neighbour's row.
+    inside 8x8-transform macroblocks only edge 2 has. Inner edges are made in
+    the row; for own edges the four facing values of both sides meet. Pictures
+    are dealt over tasks, once, and streamed in raster order through a kernel
+    that holds two rows of macroblocks: the rule as an expression is too large
+    to compile, and joins with both neighbours cost two sorts more.
     """
-    names = ["intra", "is_b", "nz", "ref0", "ref1", "x0", "y0", "x1", "y1"]
     at = [*keys, "mb_x", "mb_y"]
-    made = []
-    for direction, dx, dy in (("v", 1, 0), ("h", 0, 1)):
-        there = blocks.select(*keys, (F.col("mb_x") + dx).alias("mb_x"), (F.col("mb_y") + dy).alias("mb_y"), *[F.col(n).alias(f"n_{n}") for n in names])
-        both = blocks.join(there.hint("merge"), at, "left")  # both sides grow alike, and arrays are larger than Spark expects
-        # An edge a row, so that the expression for one edge is all that is compiled.
-        edges = both.withColumn("direction", F.lit(direction)).withColumn("edge", F.explode(F.array(*map(F.lit, range(4)))))
-        own = F.col("edge") == 0
-        before = F.pmod(F.col("edge") - 1, F.lit(4))
-        other_side = {n: F.when(own, F.col(f"n_{n}")).otherwise(F.col(n)) for n in names}
-        edges = edges.select(*at, "direction", "edge", before.alias("before"), "transform_8x8", *names, *[c.alias(f"o_{n}") for n, c in other_side.items()])
-        item = lambda side, name, p: F.get(F.col(side + name), p)
-        motion = lambda side, p: [tuple(item(side, f"{n}{i}", p) for n in ("ref", "x", "y")) for i in (0, 1)]
-        lines = []
-        for line in range(4):
-            here, there = (4 * line + F.col(c) if direction == "v" else 4 * F.col(c) + line for c in ("edge", "before"))
-            coded = (item("", "nz", here) != 0) | (item("o_", "nz", there) != 0)
-            moved = motion_boundary(motion("", here), motion("o_", there), F.col("is_b") | F.col("o_is_b"))
-            lines.append(F.when(coded, 2).when(moved, 1).otherwise(0))
-        four = lambda n: F.array(*[F.lit(n)] * 4)
-        intra = F.col("intra") | F.coalesce(F.col("o_intra"), F.lit(False))
-        bs = F.when(own & intra, four(4)).when(F.col("o_nz").isNull(), four(0)).when(~own & F.col("transform_8x8") & (F.col("edge") != 2), four(0)).when(F.col("intra"), four(3)).otherwise(F.array(*lines))
-        made.append(edges.select(*at, "direction", "edge", bs.alias("bs")))
-    return made[0].union(made[1])
+    schema = T.StructType([*[blocks.schema[c] for c in at], T.StructField("direction", T.StringType()), T.StructField("edge", T.IntegerType()), T.StructField("bs", T.ArrayType(T.IntegerType()))])
+    values = F.flatten(F.array(*[F.col(n).cast("array<int>") for n in _ARRAYS])).alias("_values")
+    rows = blocks.select(*at, "intra", "is_b", "transform_8x8", values)
+    in_order = rows.repartition(*keys).sortWithinPartitions(*keys, "mb_y", "mb_x")
+    return in_order.mapInArrow(partial(_edges, keys=keys, schema=to_arrow_schema(schema)), schema)
+
+
+_ARRAYS = ["nz", "ref0", "ref1", "x0", "y0", "x1", "y1"]
+
+
+def _lines(here: dict[str, np.ndarray], there: dict[str, np.ndarray], is_b: np.ndarray) -> np.ndarray:
+    """2 where either side holds coefficients, 1 where motion breaks, else 0; arrays of (rows, 4 lines)."""
+
+    def alike(i: int, j: int) -> np.ndarray:
+        ref = here[f"ref{i}"]
+        near = (np.abs(here[f"x{i}"] - there[f"x{j}"]) < 4) & (np.abs(here[f"y{i}"] - there[f"y{j}"]) < 4)
+        return (ref == there[f"ref{j}"]) & ((ref < 0) | near)
+
+    either_way = (alike(0, 0) & alike(1, 1)) | (alike(0, 1) & alike(1, 0))
+    moved = ~np.where(is_b[:, None], either_way, alike(0, 0))
+    return np.where((here["nz"] != 0) | (there["nz"] != 0), 2, moved.astype(np.int32))
+
+
+def _edges(batches: Iterator[pa.RecordBatch], keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """All edges of pictures in raster order; between batches it keeps the last row of macroblocks and the one being read."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        old = sum(b.num_rows for b in kept)
+        whole = pa.Table.from_batches([*kept, batch]).combine_chunks().to_batches()
+        if not whole:
+            continue
+        rows = whole[0]
+        x, y = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mb_x", "mb_y"))
+        picture = np.zeros(len(x), np.int64)
+        for k in keys:
+            codes = pc.dictionary_encode(rows.column(k), null_encoding="encode").indices.to_numpy()
+            picture[1:] |= codes[1:] != codes[:-1]
+        place = np.cumsum(picture) << 40 | y << 20 | x  # rises, since the rows are sorted
+        # Neighbours by their places; new rows only.
+        n, values = rows.num_rows - old, rows.column("_values").flatten().to_numpy().reshape(-1, len(_ARRAYS), 4, 4)
+        flag = lambda c: pc.fill_null(rows.column(c), False).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        intra, is_b, whole_8x8 = flag("intra"), flag("is_b"), flag("transform_8x8")[old:]
+        made: list[tuple[str, int, np.ndarray]] = []
+        for direction, step, at in (("v", 1, x), ("h", 1 << 20, y)):
+            line = lambda v, k: {c: v[:, i, :, k] if direction == "v" else v[:, i, k] for i, c in enumerate(_ARRAYS)}  # noqa: B023, E731
+            wanted = place[old:] - step
+            near = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            found = (place[near] == wanted) & (at[old:] > 0)
+            own = _lines(line(values[old:], 0), line(values[near], 3), is_b[old:] | is_b[near])
+            either = intra[old:] | (intra[near] & found)
+            made.append((direction, 0, np.where(either[:, None], 4, np.where(found[:, None], own, 0))))
+            for edge in (1, 2, 3):
+                bs = np.where(intra[old:, None], 3, _lines(line(values[old:], edge), line(values[old:], edge - 1), is_b[old:]))
+                made.append((direction, edge, np.where(whole_8x8[:, None], 0, bs) if edge != 2 else bs))
+        from_ = np.searchsorted(place, (place[-1] >> 40 << 40) | max(0, int(y[-1]) - 1) << 20)
+        kept, batch = [rows.slice(int(from_))], rows.slice(old)
+        at = [*keys, "mb_x", "mb_y"]
+        for direction, edge, bs in made:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * n + 1, 4, dtype=np.int32)), pa.array(bs.reshape(-1).astype(np.int32)))
+            columns = [*[batch.column(c) for c in at], pa.array([direction] * n), pa.array([edge] * n, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def filter_edge(p: np.ndarray, q: np.ndarray, strength: np.ndarray, qp: int, alpha_offset: int, beta_offset: int, luma: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -15,23 +15,23 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions.scalar import median3, wrap16
 
-#: Where each neighbour lies, and which of its blocks face the macroblock.
-SIDES = {"left": (-1, 0, [3, 7, 11, 15]), "top": (0, -1, [12, 13, 14, 15]), "top_left": (-1, -1, [15]), "top_right": (1, -1, [12])}
+#: Where each neighbour lies, and which of its blocks face the macroblock: of four rows of four, and of two rows of two.
+SIDES = {"left": (-1, 0, [3, 7, 11, 15], [1, 3]), "top": (0, -1, [12, 13, 14, 15], [2, 3]), "top_left": (-1, -1, [15], [3]), "top_right": (1, -1, [12], [2])}
 
 
-def with_strips(blocks: DataFrame, keys: list[str], arrays: list[str], sides: list[str], facing: dict[str, list[int]] | None = None, scalars: list[str] | None = None) -> DataFrame:
+def with_strips(blocks: DataFrame, keys: list[str], arrays: list[str], sides: list[str], small: list[str] = [], scalars: list[str] = []) -> DataFrame:  # noqa: B006
     """``blocks`` with, for each side, side_name: the facing values of each array, and the neighbour's scalars; all null where there is no neighbour.
 
-    ``facing`` replaces the places of the facing values, for arrays of other sizes than 16.
+    ``small`` are arrays of 4 values, two rows of two.
     """
-    at = [*keys, "mb_x", "mb_y"]
+    at, found = [*keys, "mb_x", "mb_y"], blocks
     for side in sides:
-        dx, dy, places = SIDES[side]
-        places = (facing or {}).get(side, places)
-        strip = lambda name: F.array(*[F.get(F.col(name), F.lit(p)) for p in places]).alias(f"{side}_{name}")  # noqa: B023, E731
-        shown = blocks.select(*keys, (F.col("mb_x") - dx).alias("mb_x"), (F.col("mb_y") - dy).alias("mb_y"), *map(strip, arrays), *[F.col(s).alias(f"{side}_{s}") for s in scalars or []])
-        blocks = blocks.join(shown.hint("merge"), at, "left")  # both sides grow alike, and arrays are larger than Spark expects
-    return blocks
+        dx, dy, *places = SIDES[side]
+        strip = lambda name, where: F.array(*[F.get(F.col(name), F.lit(p)) for p in where]).alias(f"{side}_{name}")  # noqa: B023, E731
+        strips = [*[strip(n, places[0]) for n in arrays], *[strip(n, places[1]) for n in small], *[F.col(s).alias(f"{side}_{s}") for s in scalars]]
+        shown = blocks.select(*keys, (F.col("mb_x") - dx).alias("mb_x"), (F.col("mb_y") - dy).alias("mb_y"), *strips)
+        found = found.join(shown.hint("merge"), at, "left")  # both sides grow alike, and arrays are larger than Spark expects
+    return found
 
 
 def _beside(name: str, size: int, missing: Column) -> tuple[Column, Column]:
@@ -52,18 +52,14 @@ def coefficient_contexts(blocks: DataFrame, keys: list[str]) -> DataFrame:
     holds coefficients, bit 1 where the one above does; blocks past the
     picture's edge count as holding some.
     """
-    shown = with_strips(blocks.select(*keys, "mb_x", "mb_y", "luma"), keys, ["luma"], ["left", "top"])
-    chroma = with_strips(blocks.select(*keys, "mb_x", "mb_y", "cb", "cr"), keys, ["cb", "cr"], ["left", "top"], {"left": [1, 3], "top": [2, 3]})
-    made = []
-    for rows, names in ((shown, [("luma", 4)]), (chroma, [("cb", 2), ("cr", 2)])):
-        columns = []
-        for name, size in names:
-            pairs = F.arrays_zip(*[c.alias(n) for c, n in zip(_beside(name, size, F.lit(-1)), ("a", "b"), strict=True)])
-            mean = lambda p: F.when((p["a"] < 0) & (p["b"] < 0), 0).when(p["a"] < 0, p["b"]).when(p["b"] < 0, p["a"]).otherwise(F.floor((p["a"] + p["b"] + 1) / 2)).cast("int")
-            flags = lambda p: F.when(p["a"] != 0, 1).otherwise(0) + F.when(p["b"] != 0, 2).otherwise(0)
-            columns += [F.transform(pairs, mean).alias(f"nc_{name}"), F.transform(pairs, flags).alias(f"cbf_{name}")]
-        made.append(rows.select(*keys, "mb_x", "mb_y", *columns))
-    return made[0].join(made[1].hint("merge"), [*keys, "mb_x", "mb_y"])
+    shown = with_strips(blocks.select(*keys, "mb_x", "mb_y", "luma", "cb", "cr"), keys, ["luma"], ["left", "top"], small=["cb", "cr"])
+    mean = lambda p: F.when((p["a"] < 0) & (p["b"] < 0), 0).when(p["a"] < 0, p["b"]).when(p["b"] < 0, p["a"]).otherwise(F.floor((p["a"] + p["b"] + 1) / 2)).cast("int")
+    flags = lambda p: F.when(p["a"] != 0, 1).otherwise(0) + F.when(p["b"] != 0, 2).otherwise(0)
+    columns = []
+    for name, size in (("luma", 4), ("cb", 2), ("cr", 2)):
+        pairs = F.arrays_zip(*[c.alias(n) for c, n in zip(_beside(name, size, F.lit(-1)), ("a", "b"), strict=True)])
+        columns += [F.transform(pairs, mean).alias(f"nc_{name}"), F.transform(pairs, flags).alias(f"cbf_{name}")]
+    return shown.select(*keys, "mb_x", "mb_y", *columns)
 
 
 def pattern_contexts(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,14 +110,16 @@ def _grid(name: str, missing: int) -> Column:
     return F.array(*[v.cast("int") for v in [*first, *rest]])
 
 
-def _owners(shape: str) -> list[int]:
-    """For each cell of the grid the part that it belongs to; -1 outside the macroblock."""
-    cells = [-1] * (5 * _SPAN)
-    for part, (x, y, w, h) in enumerate(SHAPES[shape]):
-        for cy in range(y, y + h):
-            for cx in range(x, x + w):
-                cells[(cy + 1) * _SPAN + cx + 1] = part
-    return cells
+def _cells_read(shape: str) -> list[dict[str, int]]:
+    """For each part the grid's cells on its left (a), above (b), above right (c) and above left (d), -1 where one is not there yet; its own first block, and the side it looks at first: 0 to 2 for a to c, or -1."""
+    parts = SHAPES[shape]
+    owner = {(cx, cy): part for part, (x, y, w, h) in enumerate(parts) for cy in range(y, y + h) for cx in range(x, x + w)}
+    first = {"16x8": [1, 0], "8x16": [0, 2]}.get(shape, [-1] * len(parts))
+    rows = []
+    for part, (x, y, w, _) in enumerate(parts):
+        there = lambda cx, cy: (cy + 1) * _SPAN + cx + 1 if owner.get((cx, cy), -1) < part else -1  # noqa: B023, E731  blocks outside have no owner; those on the right hold MISSING
+        rows.append({"part": part, "a": there(x - 1, y), "b": there(x, y - 1), "c": there(x + w, y - 1), "d": there(x - 1, y - 1), "own": 4 * y + x, "first": first[part]})
+    return rows
 
 
 def _median_rule(refs: list[Column], vectors: list[tuple[Column, Column]], ref: Column) -> tuple[Column, Column]:
@@ -154,33 +152,25 @@ def predict_vectors(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """
     shown = with_strips(blocks.select(*keys, "mb_x", "mb_y", "shape", "ref", "x", "y"), keys, ["ref", "x", "y"], list(SIDES))
     grids = shown.select(*keys, "mb_x", "mb_y", "shape", F.col("ref").alias("own_ref"), F.col("x").alias("own_x"), F.col("y").alias("own_y"), _grid("ref", MISSING).alias("r"), _grid("x", 0).alias("gx"), _grid("y", 0).alias("gy"))
-    made = []
-    for shape, parts in SHAPES.items():
-        owners, rows = _owners(shape), []
-        for part, (x, y, w, _) in enumerate(parts):
-            # Cells of this part or later ones are not there yet.
-            seen = lambda cx, cy: -1 <= owners[(cy + 1) * _SPAN + cx + 1] < part  # noqa: B023, E731
-            cell = lambda cx, cy: (F.get("r", F.lit((cy + 1) * _SPAN + cx + 1)) if seen(cx, cy) else F.lit(MISSING), tuple(F.get(g, F.lit((cy + 1) * _SPAN + cx + 1)) if seen(cx, cy) else F.lit(0) for g in ("gx", "gy")))  # noqa: B023, E731
-            a, b, c, d = cell(x - 1, y), cell(x, y - 1), cell(x + w, y - 1), cell(x - 1, y - 1)
-            out_of_reach = c[0] == MISSING
-            c = F.when(out_of_reach, d[0]).otherwise(c[0]), tuple(F.when(out_of_reach, v).otherwise(u) for u, v in zip(c[1], d[1], strict=True))
-            ref = F.lit(0) if shape == "skip" else F.get("own_ref", F.lit(4 * y + x)).cast("int")
-            pred = _median_rule([a[0], b[0], c[0]], [a[1], b[1], c[1]], ref)
-            first = {("16x8", 0): b, ("16x8", 1): a, ("8x16", 0): a, ("8x16", 1): c}.get((shape, part))
-            if first is not None:
-                pred = tuple(F.when(first[0] == ref, u).otherwise(v) for u, v in zip(first[1], pred, strict=True))
-            if shape == "skip":
-                rests = lambda n: (n[0] == 0) & (n[1][0] == 0) & (n[1][1] == 0)
-                still = (a[0] == MISSING) | (b[0] == MISSING) | rests(a) | rests(b)
-                pred = tuple(F.when(still, 0).otherwise(v) for v in pred)
-            own = [F.get(f"own_{n}", F.lit(4 * y + x)) for n in ("x", "y")]
-            rows.append(F.struct(F.lit(part).alias("part"), ref.alias("ref"), *[v.cast("int").alias(f"pred_{n}") for n, v in zip("xy", pred, strict=True)], *[wrap16(o - v).cast("int").alias(f"diff_{n}") for n, o, v in zip("xy", own, pred, strict=True)]))
-        made.append((shape, F.array(*rows)))
-    # One expression a shape, and each macroblock takes its own.
-    parts = F.lit(None).cast(grids.select(made[0][1].alias("p")).schema["p"].dataType)
-    for shape, rows in made:
-        parts = F.when(F.col("shape") == shape, rows).otherwise(parts)
-    return grids.select(*keys, "mb_x", "mb_y", F.inline(parts))
+    # Which cells a part reads is a table; its rows are a macroblock's parts, and one expression serves them all.
+    parts = F.lit(None)
+    for shape in SHAPES:
+        parts = F.when(F.col("shape") == shape, F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in part.items()]) for part in _cells_read(shape)])).otherwise(parts)
+    step = grids.select("*", F.inline(parts))
+    cell = lambda grid, at, missing: F.when(F.col(at) >= 0, F.get(grid, F.col(at))).otherwise(missing)
+    sides = [cell(grid, at, missing).alias(f"{at}_{grid}") for at in "abcd" for grid, missing in (("r", MISSING), ("gx", 0), ("gy", 0))]
+    own = [F.get(f"own_{n}", F.col("own")).cast("int").alias(f"_{n}") for n in ("ref", "x", "y")]
+    step = step.select(*keys, "mb_x", "mb_y", "shape", "part", "first", *sides, *own)
+    out_of_reach = F.col("c_r") == MISSING
+    step = step.withColumns({f"c_{g}": F.when(out_of_reach, F.col(f"d_{g}")).otherwise(F.col(f"c_{g}")) for g in ("r", "gx", "gy")} | {"_ref": F.when(F.col("shape") == "skip", 0).otherwise(F.col("_ref"))})
+    refs, vectors = [F.col(f"{at}_r") for at in "abc"], [(F.col(f"{at}_gx"), F.col(f"{at}_gy")) for at in "abc"]
+    median = _median_rule(refs, vectors, F.col("_ref"))
+    direct = F.get(F.array(*[r == F.col("_ref") for r in refs]), F.col("first")) & (F.col("first") >= 0)  # the side that a half looks at first
+    rests = lambda at: (F.col(f"{at}_r") == 0) & (F.col(f"{at}_gx") == 0) & (F.col(f"{at}_gy") == 0)
+    still = (F.col("shape") == "skip") & ((refs[0] == MISSING) | (refs[1] == MISSING) | rests("a") | rests("b"))
+    pred = [F.when(still, 0).when(F.coalesce(direct, F.lit(False)), F.get(F.array(*[v[axis] for v in vectors]), F.col("first"))).otherwise(median[axis]) for axis in (0, 1)]
+    done = step.select(*keys, "mb_x", "mb_y", "part", F.col("_ref").alias("ref"), "_x", "_y", *[p.cast("int").alias(f"pred_{n}") for n, p in zip("xy", pred, strict=True)])
+    return done.select(*keys, "mb_x", "mb_y", "part", "ref", "pred_x", "pred_y", *[wrap16(F.col(f"_{n}") - F.col(f"pred_{n}")).cast("int").alias(f"diff_{n}") for n in "xy"])
 
 
 def spatial_direct(blocks: DataFrame, colocated: DataFrame, keys: list[str], colocated_keys: list[str]) -> DataFrame:

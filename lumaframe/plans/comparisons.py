@@ -40,7 +40,7 @@ def _price() -> Column:
     return F.floor("l_extendedprice") % 256
 
 
-def _query(sql: str, **tables: list[str]):
+def unique_lines(sql: str, **tables: list[str]):
     """Register a query in which ``lineitem`` stands for its rows made unique by order and line, as a trace's keys are."""
     if "lineitem" not in tables:
         return registered.query(sql, **tables)
@@ -79,14 +79,14 @@ def _vectors(orders: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
     return ours, theirs
 
 
-@_query(f"""WITH {_BLOCKS}
+@unique_lines(f"""WITH {_BLOCKS}
     SELECT k, CASE WHEN ambiguous THEN 'skipped_ambiguous' WHEN EXISTS (SELECT 1 FROM b WHERE b.k = f.k AND b.x = o.x AND b.y = o.y) THEN 'match' ELSE 'mismatch' END AS outcome, n::BIGINT AS n_candidates
     FROM o JOIN f USING (k) WHERE kind <> 'P'""", orders=["o_orderkey", "o_custkey", "o_orderstatus"], lineitem=[*ITEM, "l_partkey", "l_suppkey"])
 def vector_diff(orders, items):
     return comparators.vector_diff(*_vectors(orders, items), ["k"], "line", "kind", skip_kinds=("P",), match_any=True)
 
 
-@_query(f"""WITH {_BLOCKS},
+@unique_lines(f"""WITH {_BLOCKS},
     c AS (SELECT kind, CASE WHEN r.w <> 16 OR r.h <> 16 THEN 's' WHEN covered <> 256 THEN 'c' WHEN r.x = o.x AND r.y = o.y THEN 'm' ELSE 'd' END AS how FROM o JOIN f USING (k))
     SELECT count(*) FILTER (WHERE how = 'd') AS mismatches, count(*) FILTER (WHERE how IN ('m', 'd')) AS compared, 0::BIGINT AS skipped_ambiguous, count(*) FILTER (WHERE how = 's') AS skipped_size, count(*) FILTER (WHERE how = 'c') AS skipped_coverage FROM c""",
     orders=["o_orderkey", "o_custkey", "o_orderstatus"], lineitem=[*ITEM, "l_partkey", "l_suppkey"])
@@ -107,7 +107,7 @@ def _four(f) -> Column:
     return F.array(*[f(k) for k in range(4)])
 
 
-@_query(f"""
+@unique_lines(f"""
     WITH s AS (SELECT *, unnest(range(4)) AS k FROM lineitem),
     v AS (SELECT l_orderkey, l_linenumber, [12552, 20744, 61704, 64, 8][(l_partkey + k) % 5 + 1] AS sa, [12552, 20744, 61704, 64, 8][(l_partkey + k + {_one('l_suppkey % 3 = 0')}) % 5 + 1] AS sb,
         (l_suppkey + k) % 4 AS ma, (l_suppkey + k + {_one('l_partkey % 5 = 0')}) % 4 AS mb FROM s),
@@ -172,7 +172,7 @@ def _bidi_sql() -> str:
         SELECT l_orderkey, l_linenumber, {_status('l_partkey % 11 <> 0', names)} FROM r WHERE ta & 7 = 0"""
 
 
-@_query(_bidi_sql(), lineitem=TRACE)
+@unique_lines(_bidi_sql(), lineitem=TRACE)
 def bidi_diff(items):
     second = F.col("l_linenumber") % 2
 
@@ -194,12 +194,12 @@ def _events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-@_query(f"SELECT user_id, event_id, {_status('event_id % 9 <> 0', [('kind', 'event_id % 7 = 0 AND event_type <> chr(118) || chr(105) || chr(101) || chr(119)'), ('range', 'event_id % 5 = 0'), ('low', 'event_id % 4 = 0')])} FROM events WHERE event_type <> 'click'", events=["user_id", "event_id", "event_type", "value"])
+@unique_lines(f"SELECT user_id, event_id, {_status('event_id % 9 <> 0', [('kind', 'event_id % 7 = 0 AND event_type <> chr(118) || chr(105) || chr(101) || chr(119)'), ('range', 'event_id % 5 = 0'), ('low', 'event_id % 4 = 0')])} FROM events WHERE event_type <> 'click'", events=["user_id", "event_id", "event_type", "value"])
 def state_diff(events):
     return comparators.state_diff(*_events(events), ["user_id", "event_id"], with_low=True).select("user_id", "event_id", "status", "fields")
 
 
-@_query(f"""
+@unique_lines(f"""
     WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, part, list FROM lineitem, (VALUES (0), (1)) a(part), (VALUES (0), (1)) b(list)),
     v AS (SELECT *, (l_partkey + 2 * list + part) % 7 AS da, (l_partkey + 2 * list + part + {_one('l_suppkey % 4 = 0 AND list = 1')}) % 7 AS db, (l_suppkey + list) % 5 AS pa, (l_suppkey + list + {_one('l_partkey % 6 = 0 AND part = 1')}) % 5 AS pb FROM s)
     SELECT l_orderkey, l_linenumber, part, list, {_status('l_partkey % 11 <> 0', [('mvd', 'da <> db'), ('mvp', 'pa <> pb'), ('final', 'da + pa <> db + pb')])} FROM v""", lineitem=TRACE)
@@ -226,18 +226,18 @@ def _colocated(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-@_query(f"WITH {_COLZERO} SELECT l.k AS l_orderkey, l.n, {_status('r.k IS NOT NULL', [('zero', f'{_ZERO} <> r.zero'), ('motion', f'{_ZERO} = r.zero AND l.v <> r.v')])} FROM l LEFT JOIN r ON l.k = r.k AND l.n = r.n", lineitem=TRACE)
+@unique_lines(f"WITH {_COLZERO} SELECT l.k AS l_orderkey, l.n, {_status('r.k IS NOT NULL', [('zero', f'{_ZERO} <> r.zero'), ('motion', f'{_ZERO} = r.zero AND l.v <> r.v')])} FROM l LEFT JOIN r ON l.k = r.k AND l.n = r.n", lineitem=TRACE)
 def colocated_zero(items):
     return comparators.colocated_zero_diff(*_colocated(items), ["l_orderkey"], "n").select("l_orderkey", "n", "status", "fields")
 
 
-@_query(f"""WITH {_COLZERO}, c AS (SELECT l.k, l.n, arg_min(struct_pack(v := r.v, zero := r.zero), CASE WHEN r.v = l.v THEN 0 ELSE 100 END + r.n) AS r FROM l JOIN r ON l.k = r.k GROUP BY l.k, l.n)
+@unique_lines(f"""WITH {_COLZERO}, c AS (SELECT l.k, l.n, arg_min(struct_pack(v := r.v, zero := r.zero), CASE WHEN r.v = l.v THEN 0 ELSE 100 END + r.n) AS r FROM l JOIN r ON l.k = r.k GROUP BY l.k, l.n)
     SELECT l.k AS l_orderkey, l.n, {_status('c.k IS NOT NULL', [('zero', f'{_ZERO} <> c.r.zero'), ('motion', f'{_ZERO} = c.r.zero AND l.v <> c.r.v')])} FROM l LEFT JOIN c ON l.k = c.k AND l.n = c.n WHERE abs(l.v[2]) <= 1 AND abs(l.v[3]) <= 1""", lineitem=TRACE)
 def colocated_zero_any(items):
     return comparators.colocated_zero_diff(*_colocated(items), ["l_orderkey"], "n", any_occurrence=True, only_small=True).select("l_orderkey", "n", "status", "fields")
 
 
-@_query(f"""WITH l AS (SELECT DISTINCT l_orderkey AS k, [l_partkey % 2, {_Q} % 2] AS v FROM lineitem), r AS (SELECT o_orderkey AS k, [o_custkey % 2, o_orderkey % 2] AS v FROM orders WHERE o_custkey % 5 <> 0)
+@unique_lines(f"""WITH l AS (SELECT DISTINCT l_orderkey AS k, [l_partkey % 2, {_Q} % 2] AS v FROM lineitem), r AS (SELECT o_orderkey AS k, [o_custkey % 2, o_orderkey % 2] AS v FROM orders WHERE o_custkey % 5 <> 0)
     SELECT l.k, l.v[1] AS ref, l.v[2] AS x, {_status('r.k IS NOT NULL', [('ref_mv', 'l.v <> r.v')])} FROM l LEFT JOIN r ON l.k = r.k""", lineitem=TRACE, orders=["o_orderkey", "o_custkey"])
 def saved_motion(items, orders):
     left = items.select(F.col("l_orderkey").alias("k"), "l_linenumber", F.array(_part() % 2, _quantity() % 2).alias("ref_mv"))
@@ -245,7 +245,7 @@ def saved_motion(items, orders):
     return comparators.saved_motion_diff(left, saved, ["k"], "l_linenumber").select("k", F.get("a_ref_mv", F.lit(0)).alias("ref"), F.get("a_ref_mv", F.lit(1)).alias("x"), "status", "fields")
 
 
-@_query(f"""WITH v AS (SELECT *, l_partkey % 5 AS d, (l_partkey + {_one('l_suppkey % 4 = 0')}) % 5 AS m, (l_partkey + {_one('l_suppkey % 6 = 0')}) % 5 AS s, (l_partkey + {_one('l_suppkey % 7 = 0')}) % 5 AS t FROM lineitem WHERE l_partkey % 11 <> 0)
+@unique_lines(f"""WITH v AS (SELECT *, l_partkey % 5 AS d, (l_partkey + {_one('l_suppkey % 4 = 0')}) % 5 AS m, (l_partkey + {_one('l_suppkey % 6 = 0')}) % 5 AS s, (l_partkey + {_one('l_suppkey % 7 = 0')}) % 5 AS t FROM lineitem WHERE l_partkey % 11 <> 0)
     SELECT l_orderkey, l_linenumber, CASE WHEN CASE WHEN l_partkey % 3 = 0 THEN m <> t ELSE m <> d OR s <> d END THEN 'differs' ELSE 'equal' END AS status FROM v""", lineitem=TRACE)
 def write_back(items):
     at = [F.col("l_orderkey"), F.col("l_linenumber").alias("part")]
@@ -256,14 +256,14 @@ def write_back(items):
     return comparators.write_back_diff(direct, written, ["l_orderkey"], third).select("l_orderkey", F.col("part").alias("l_linenumber"), "status")
 
 
-@_query(f"SELECT l_orderkey, l_linenumber, {_status('TRUE', [('pred', 'l_suppkey % 4 = 0'), ('mode', 'l_suppkey % 6 = 0')])}, (-{_one('l_suppkey % 4 = 0')})::BIGINT AS pred_delta, (-{_one('l_suppkey % 6 = 0')})::BIGINT AS mode_delta FROM lineitem WHERE l_partkey % 11 <> 0", lineitem=TRACE)
+@unique_lines(f"SELECT l_orderkey, l_linenumber, {_status('TRUE', [('pred', 'l_suppkey % 4 = 0'), ('mode', 'l_suppkey % 6 = 0')])}, (-{_one('l_suppkey % 4 = 0')})::BIGINT AS pred_delta, (-{_one('l_suppkey % 6 = 0')})::BIGINT AS mode_delta FROM lineitem WHERE l_partkey % 11 <> 0", lineitem=TRACE)
 def mode_diff_8x8(items):
     left = items.select(*ITEM, (_part() % 9).alias("pred"), (_part() % 7).alias("mode"))
     right = items.where(_part() % 11 != 0).select(*ITEM, (_part() % 9 + one(_supp() % 4 == 0)).alias("pred"), (_part() % 7 + one(_supp() % 6 == 0)).alias("mode"))
     return comparators.mode_diff(left, right, ITEM).select(*ITEM, "status", "fields", "pred_delta", "mode_delta")
 
 
-@_query("""WITH r AS (SELECT l_orderkey AS k, 2 * l_linenumber AS b, l_partkey % 4 AS p, l_suppkey % 4 AS m FROM lineitem)
+@unique_lines("""WITH r AS (SELECT l_orderkey AS k, 2 * l_linenumber AS b, l_partkey % 4 AS p, l_suppkey % 4 AS m FROM lineitem)
     SELECT k, count(*)::BIGINT AS n_blocks, count(*) FILTER (WHERE b < 16 AND (m <> (o_custkey + b) % 4 OR (o_custkey % 3 <> 0 AND p <> (o_custkey + 2 * b) % 4)))::BIGINT AS n_differing FROM orders JOIN r ON k = o_orderkey GROUP BY 1""",
     orders=["o_orderkey", "o_custkey"], lineitem=TRACE)
 def mode_diff_4x4(orders, items):
@@ -285,23 +285,23 @@ def _recon(items: DataFrame) -> DataFrame:
     return comparators.reconstruction_diff(left, right, ITEM, ["top"])
 
 
-@_query(f"WITH {_RECON} SELECT l_orderkey, l_linenumber, kind, out_delta, pred_delta, res_delta, top_delta FROM c ORDER BY abs(out_delta) DESC, l_orderkey, l_linenumber LIMIT 50", lineitem=TRACE)
+@unique_lines(f"WITH {_RECON} SELECT l_orderkey, l_linenumber, kind, out_delta, pred_delta, res_delta, top_delta FROM c ORDER BY abs(out_delta) DESC, l_orderkey, l_linenumber LIMIT 50", lineitem=TRACE)
 def recon_largest(items):
     return comparators.largest(_recon(items), "out_delta", ITEM, 50).select(*ITEM, "kind", "out_delta", "pred_delta", "res_delta", "top_delta")
 
 
-@_query(f"""WITH {_RECON}, f AS (SELECT kind, arg_min(struct_pack(o := l_orderkey, l := l_linenumber, d := out_delta), l_orderkey * 100 + l_linenumber) FILTER (WHERE abs(out_delta) >= 40) AS x, count(*) AS n FROM c GROUP BY 1)
+@unique_lines(f"""WITH {_RECON}, f AS (SELECT kind, arg_min(struct_pack(o := l_orderkey, l := l_linenumber, d := out_delta), l_orderkey * 100 + l_linenumber) FILTER (WHERE abs(out_delta) >= 40) AS x, count(*) AS n FROM c GROUP BY 1)
     SELECT kind, n::BIGINT AS n, x.o AS l_orderkey, x.l AS l_linenumber, x.d AS out_delta FROM f""", lineitem=TRACE)
 def recon_earliest(items):
     return comparators.earliest_over(_recon(items), "kind", "out_delta", ITEM, 40)
 
 
-@_query(f"WITH {_RECON} SELECT ma, mb, count(*)::BIGINT AS n, sum(abs(out_delta))::BIGINT AS abs_out, sum(abs(pred_delta))::BIGINT AS abs_pred, sum(abs(res_delta))::BIGINT AS abs_res, sum(out_delta)::BIGINT AS signed_out, sum(res_delta)::BIGINT AS signed_res FROM c GROUP BY 1, 2", lineitem=TRACE)
+@unique_lines(f"WITH {_RECON} SELECT ma, mb, count(*)::BIGINT AS n, sum(abs(out_delta))::BIGINT AS abs_out, sum(abs(pred_delta))::BIGINT AS abs_pred, sum(abs(res_delta))::BIGINT AS abs_res, sum(out_delta)::BIGINT AS signed_out, sum(res_delta)::BIGINT AS signed_res FROM c GROUP BY 1, 2", lineitem=TRACE)
 def recon_summary(items):
     return comparators.mode_summary(_recon(items), ["a_mode", "b_mode"]).withColumnsRenamed({"a_mode": "ma", "b_mode": "mb"})
 
 
-@_query("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(v * 127::FLOAT) AS BIGINT)) AS x FROM embeddings),
+@unique_lines("""WITH q AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(v * 127::FLOAT) AS BIGINT)) AS x FROM embeddings),
     t AS (SELECT a.vec_id, b.vec_id - a.vec_id AS mv, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: abs(p[1] - p[2]))) AS BIGINT) AS cost FROM q a JOIN q b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 4)
     SELECT vec_id, min(cost) AS cost, arg_min(mv, cost * 8 + mv)::BIGINT AS mv, count(*)::BIGINT AS n_tried FROM t GROUP BY 1""", embeddings=["vec_id", "embedding"])
 def best_vector(vectors):
@@ -327,7 +327,7 @@ def _edges_sql() -> str:
         FROM e h LEFT JOIN b o ON o.pic = h.pic AND o.bx = h.ox AND o.b_y = h.oy GROUP BY ALL"""
 
 
-@_query(_edges_sql(), lineitem=[*ITEM, "l_partkey", "l_suppkey"])
+@unique_lines(_edges_sql(), lineitem=[*ITEM, "l_partkey", "l_suppkey"])
 def edge_strengths(items):
     pic = F.floor(F.col("l_orderkey") / 4)
     each = lambda f: F.array(*[f(k) for k in range(16)])
@@ -355,7 +355,7 @@ _EMBEDDING = {"embeddings": ["vec_id", "embedding"]}
 _LEVELS8 = "[[20,18,32,19,25,24],[22,19,35,21,28,26],[26,23,42,24,33,31],[28,25,45,26,35,33],[32,28,51,30,40,38],[36,32,58,34,46,43]]"
 
 
-@_query(f"""WITH b AS (SELECT vec_id, vec_id % 52 AS qp, unnest({_V.format(n=64)}) AS x, unnest(range(64)) AS p FROM embeddings),
+@unique_lines(f"""WITH b AS (SELECT vec_id, vec_id % 52 AS qp, unnest({_V.format(n=64)}) AS x, unnest(range(64)) AS p FROM embeddings),
     c AS (SELECT *, p // 8 % 4 AS r, p % 4 AS k FROM b),
     w AS (SELECT *, x * {_LEVELS8}[qp % 6 + 1][CASE WHEN r % 4 = 0 AND k % 4 = 0 THEN 1 WHEN r % 2 = 1 AND k % 2 = 1 THEN 2 WHEN r = 2 AND k = 2 THEN 3 WHEN (r = 0 AND k % 2 = 1) OR (r % 2 = 1 AND k = 0) THEN 4 WHEN (r = 0 AND k = 2) OR (r = 2 AND k = 0) THEN 5 ELSE 6 END] * (1::BIGINT << (qp // 6)) AS v FROM c),
     z AS (SELECT vec_id, p, (CASE WHEN v < 0 THEN -(-v // 4) ELSE v // 4 END) AS v FROM w)
@@ -383,7 +383,7 @@ def _idct8_sql() -> str:
         SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY p) AS y FROM u GROUP BY 1"""
 
 
-@_query(_idct8_sql(), **_EMBEDDING)
+@unique_lines(_idct8_sql(), **_EMBEDDING)
 def idct8x8(vectors):
     return _ints(vectors, 64).select("vec_id", _digest(blocks.idct8x8_column(F.col("x"))))
 
@@ -397,38 +397,38 @@ def _twice(matrix: str, n: int = 16) -> str:
         s AS (SELECT vec_id, qp, i, j, CAST(sum(x * {matrix}[i + 1][p // 4 + 1] * {matrix}[j + 1][p % 4 + 1]) AS BIGINT) AS v FROM b, o, q GROUP BY ALL)"""
 
 
-@_query(f"WITH {_twice(_SIGNS)} SELECT vec_id, string_agg(CAST(CASE WHEN qp < 12 THEN (v * [10,11,13,14,16,18][qp % 6 + 1] + (1 << (1 - qp // 6))) >> (2 - qp // 6) ELSE (v * [10,11,13,14,16,18][qp % 6 + 1]) * (1 << (qp // 6 - 2)) END AS VARCHAR), ',' ORDER BY i, j) AS y FROM s GROUP BY 1", **_EMBEDDING)
+@unique_lines(f"WITH {_twice(_SIGNS)} SELECT vec_id, string_agg(CAST(CASE WHEN qp < 12 THEN (v * [10,11,13,14,16,18][qp % 6 + 1] + (1 << (1 - qp // 6))) >> (2 - qp // 6) ELSE (v * [10,11,13,14,16,18][qp % 6 + 1]) * (1 << (qp // 6 - 2)) END AS VARCHAR), ',' ORDER BY i, j) AS y FROM s GROUP BY 1", **_EMBEDDING)
 def hadamard_dc(vectors):
     return _ints(vectors, 16).select("vec_id", _digest(blocks.luma_dc(F.col("x"), F.col("vec_id") % 52)))
 
 
-@_query(f"""WITH b AS (SELECT vec_id, vec_id % 52 AS qp, {_V.format(n=4)} AS x FROM embeddings),
+@unique_lines(f"""WITH b AS (SELECT vec_id, vec_id % 52 AS qp, {_V.format(n=4)} AS x FROM embeddings),
     s AS (SELECT vec_id, qp, unnest([x[1] + x[2] + x[3] + x[4], x[1] - x[2] + x[3] - x[4], x[1] + x[2] - x[3] - x[4], x[1] - x[2] - x[3] + x[4]]) AS v, unnest(range(4)) AS i FROM b)
     SELECT vec_id, string_agg(CAST(CASE WHEN qp < 6 THEN (v * [10,11,13,14,16,18][qp % 6 + 1]) >> 1 ELSE v * [10,11,13,14,16,18][qp % 6 + 1] * (1 << (qp // 6 - 1)) END AS VARCHAR), ',' ORDER BY i) AS y FROM s GROUP BY 1""", **_EMBEDDING)
 def chroma_dc(vectors):
     return _ints(vectors, 4).select("vec_id", _digest(blocks.chroma_dc(F.col("x"), F.col("vec_id") % 52)))
 
 
-@_query(f"WITH {_twice('[[1,1,1,1],[2,1,-1,-2],[1,-1,-1,1],[1,-2,2,-1]]')} SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i, j) AS y FROM s GROUP BY 1", **_EMBEDDING)
+@unique_lines(f"WITH {_twice('[[1,1,1,1],[2,1,-1,-2],[1,-1,-1,1],[1,-2,2,-1]]')} SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i, j) AS y FROM s GROUP BY 1", **_EMBEDDING)
 def dct4x4(vectors):
     return _ints(vectors, 16).select("vec_id", _digest(blocks.dct4x4(F.col("x"))))
 
 
-@_query(f"""WITH b AS (SELECT vec_id, vec_id % 52 AS qp, unnest({_V.format(n=16)}) * 50 AS x, unnest(range(16)) AS p FROM embeddings),
+@unique_lines(f"""WITH b AS (SELECT vec_id, vec_id % 52 AS qp, unnest({_V.format(n=16)}) * 50 AS x, unnest(range(16)) AS p FROM embeddings),
     w AS (SELECT *, [[13107,5243,8066],[11916,4660,7490],[10082,4194,6554],[9362,3647,5825],[8192,3355,5243],[7282,2893,4559]][qp % 6 + 1][CASE WHEN p // 4 % 2 = 0 AND p % 2 = 0 THEN 1 WHEN p // 4 % 2 = 1 AND p % 2 = 1 THEN 2 ELSE 3 END] AS f FROM b)
     SELECT vec_id, string_agg(CAST(sign(x) * ((abs(x) * f + (1 << (15 + qp // 6)) // 3) >> (15 + qp // 6)) AS VARCHAR), ',' ORDER BY p) AS y FROM w GROUP BY 1""", **_EMBEDDING)
 def quant4x4(vectors):
     return _ints(vectors, 16).select("vec_id", _digest(blocks.quant4x4(F.transform("x", lambda v: v * 50), F.col("vec_id") % 52)))
 
 
-@_query(f"""WITH b AS (SELECT vec_id, {_V.format(n=64)} AS x, unnest(range(64)) AS p FROM embeddings)
+@unique_lines(f"""WITH b AS (SELECT vec_id, {_V.format(n=64)} AS x, unnest(range(64)) AS p FROM embeddings)
     SELECT vec_id, string_agg(CAST(x[(p // 32 * 4 + p % 16 // 4) * 8 + p // 16 % 2 * 4 + p % 4 + 1] AS VARCHAR), ',' ORDER BY p) AS y, TRUE AS joins FROM b GROUP BY 1""", **_EMBEDDING)
 def split_8x8(vectors):
     parts = _ints(vectors, 64).withColumn("parts", syntax.split8x8(F.col("x")))
     return parts.select("vec_id", _digest(F.flatten("parts")), (syntax.join8x8(F.col("parts")) == F.col("x")).alias("joins"))
 
 
-@_query(f"""WITH b AS (SELECT vec_id, {_V.format(n=64)} AS x FROM embeddings), o AS (SELECT vec_id, x, unnest(range(4)) AS k FROM b)
+@unique_lines(f"""WITH b AS (SELECT vec_id, {_V.format(n=64)} AS x FROM embeddings), o AS (SELECT vec_id, x, unnest(range(4)) AS k FROM b)
     SELECT vec_id, string_agg(CAST(CASE WHEN (vec_id >> k) & 1 = 1 THEN (x[16 * k + 1] + 32) >> 6 ELSE 64 * (x[16 * k + 1]) END AS VARCHAR), ',' ORDER BY k) AS y FROM o GROUP BY 1""", **_EMBEDDING)
 def masked_inverse(vectors):
     first = lambda k: F.get(F.col("x"), F.lit(16 * k))
@@ -437,7 +437,7 @@ def masked_inverse(vectors):
     return made.select("vec_id", _digest(F.transform("v", lambda v, k: F.when(F.call_function("shiftright", F.col("vec_id"), k).bitwiseAND(F.lit(1)) == 1, v).otherwise(64 * v))))
 
 
-@_query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_suppkey % 2 = 0 THEN [47,31,15,0,23,27,29,30,7,11,13,14,39,43,45,46,16,3,5,10,12,19,21,26,28,35,37,42,44,1,2,4,8,17,18,20,24,6,9,22,25,32,33,34,36,40,38,41][l_partkey % 50 + 1]
+@unique_lines("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_suppkey % 2 = 0 THEN [47,31,15,0,23,27,29,30,7,11,13,14,39,43,45,46,16,3,5,10,12,19,21,26,28,35,37,42,44,1,2,4,8,17,18,20,24,6,9,22,25,32,33,34,36,40,38,41][l_partkey % 50 + 1]
     ELSE [0,16,1,2,4,8,32,3,5,10,12,15,47,7,11,13,14,6,9,31,35,37,42,44,33,34,36,40,39,43,45,46,17,18,20,24,19,21,26,28,23,27,29,30,22,25,38,41][l_partkey % 50 + 1] END, 0)::INT AS cbp FROM lineitem""", lineitem=[*ITEM, "l_partkey", "l_suppkey"])
 def coded_block_pattern(items):
     return items.select(*ITEM, syntax.coded_block_pattern(_part() % 50, _supp() % 2 == 0).alias("cbp"))
@@ -446,7 +446,7 @@ def coded_block_pattern(items):
 _B_TYPES = "['L0L0L1L1', 'L0-', 'L1-', 'L0L1-', 'L0,L0', 'L0,L0', 'L1,L1', 'L1,L1', 'L0,L1', 'L0,L1', 'L1,L0', 'L1,L0', 'L0,L0L1', 'L0,L0L1', 'L1,L0L1', 'L1,L0L1', 'L0L1,L0', 'L0L1,L0', 'L0L1,L1', 'L0L1,L1', 'L0L1,L0L1', 'L0L1,L0L1']"
 
 
-@_query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 24 AS t, l_suppkey % 13 AS s, CASE l_partkey % 24 WHEN 0 THEN 'L0L1,L0L1' WHEN 22 THEN 'L0L1,L0L1' WHEN 23 THEN ',' ELSE replace({_B_TYPES}[l_partkey % 24 + 1], '-', ',') END AS u FROM lineitem)
+@unique_lines(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 24 AS t, l_suppkey % 13 AS s, CASE l_partkey % 24 WHEN 0 THEN 'L0L1,L0L1' WHEN 22 THEN 'L0L1,L0L1' WHEN 23 THEN ',' ELSE replace({_B_TYPES}[l_partkey % 24 + 1], '-', ',') END AS u FROM lineitem)
     SELECT l_orderkey, l_linenumber, contains(split_part(u, ',', 1), 'L0') AS l0_first, contains(split_part(u, ',', 2), 'L0') AS l0_second, contains(split_part(u, ',', 1), 'L1') AS l1_first, contains(split_part(u, ',', 2), 'L1') AS l1_second,
         s IN (1, 3, 4, 5, 8, 9, 10, 12) AS sub_l0, s IN (2, 3, 6, 7, 8, 9, 11, 12) AS sub_l1, (CASE WHEN s < 4 THEN 1 WHEN s < 10 THEN 2 ELSE 4 END)::INT AS sub_parts FROM t""", lineitem=[*ITEM, "l_partkey", "l_suppkey"])
 def b_list_use(items):
@@ -455,7 +455,7 @@ def b_list_use(items):
     return items.select(*ITEM, *uses, syntax.b_sub_uses(s, 0).alias("sub_l0"), syntax.b_sub_uses(s, 1).alias("sub_l1"), syntax.b_sub_parts(s).alias("sub_parts"))
 
 
-@_query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 23 AS t, [(l_suppkey + k * l_linenumber) % 13 FOR k IN range(4)] AS subs FROM lineitem),
+@unique_lines(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 23 AS t, [(l_suppkey + k * l_linenumber) % 13 FOR k IN range(4)] AS subs FROM lineitem),
     q AS (SELECT l_orderkey, l_linenumber, bit_or(CASE WHEN s = 0 THEN 61696 ELSE (CASE WHEN s IN (1, 3, 4, 5, 8, 9, 10, 12) THEN 4096 << (k % 2) ELSE 0 END) + (CASE WHEN s IN (2, 3, 6, 7, 8, 9, 11, 12) THEN 16384 << (k % 2) ELSE 0 END) END) AS f FROM (SELECT l_orderkey, l_linenumber, unnest(subs) AS s, unnest(range(4)) AS k FROM t) GROUP BY 1, 2)
     SELECT l_orderkey, l_linenumber, (CASE WHEN t = 22 THEN 64 | f ELSE [61704, 4104, 16392, 20488, 12304, 12320, 49168, 49184, 36880, 36896, 24592, 24608, 45072, 45088, 57360, 57376, 28688, 28704, 53264, 53280, 61456, 61472][t + 1] END)::BIGINT AS flags FROM t JOIN q USING (l_orderkey, l_linenumber)""",
     lineitem=[*ITEM, "l_partkey", "l_suppkey"])
@@ -464,7 +464,7 @@ def b_type_flags(items):
     return items.select(*ITEM, syntax.b_type_flags(_part() % 23, subs).cast("long").alias("flags"))
 
 
-@_query("""WITH t AS (SELECT *, l_suppkey % 3 AS kind, [(l_partkey + k) // 3 % 5 FOR k IN range(4)] AS subs, l_linenumber % 2 = 0 AS inference FROM lineitem)
+@unique_lines("""WITH t AS (SELECT *, l_suppkey % 3 AS kind, [(l_partkey + k) // 3 % 5 FOR k IN range(4)] AS subs, l_linenumber % 2 = 0 AS inference FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey % 5 <> 0 AND l_partkey % 48 & 15 <> 0 AND CASE WHEN kind = 0 THEN len(list_filter(subs, lambda s: s <> 0)) = 0 WHEN kind = 1 THEN len(list_filter(subs, lambda s: s >= 4 OR (s = 0 AND NOT inference))) = 0 ELSE inference END AS present FROM t""", lineitem=[*ITEM, "l_partkey", "l_suppkey"])
 def transform_flag(items):
     subs = F.array(*[F.floor((_part() + k) / 3) % 5 for k in range(4)])
@@ -473,7 +473,7 @@ def transform_flag(items):
     return items.select(*ITEM, syntax.transform8x8_flag_present(_part() % 5 != 0, _part() % 48, kind == 0, b_type, subs, F.col("l_linenumber") % 2 == 0).alias("present"))
 
 
-@_query(f"SELECT vec_id, string_agg(CAST(x[p + 1] AS VARCHAR), ',' ORDER BY [0,1,4,5,2,3,6,7,8,9,12,13,10,11,14,15][p + 1]) AS y FROM (SELECT vec_id, {_V.format(n=16)} AS x, unnest(range(16)) AS p FROM embeddings) GROUP BY 1", **_EMBEDDING)
+@unique_lines(f"SELECT vec_id, string_agg(CAST(x[p + 1] AS VARCHAR), ',' ORDER BY [0,1,4,5,2,3,6,7,8,9,12,13,10,11,14,15][p + 1]) AS y FROM (SELECT vec_id, {_V.format(n=16)} AS x, unnest(range(16)) AS p FROM embeddings) GROUP BY 1", **_EMBEDDING)
 def coding_order(vectors):
     return _ints(vectors, 16).select("vec_id", _digest(syntax.coding_to_raster(F.col("x"))))
 
@@ -481,17 +481,17 @@ def coding_order(vectors):
 EVENT = ["user_id", "event_id"]
 
 
-@_query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20", events=EVENT)
+@unique_lines("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20", events=EVENT)
 def limit_decoded(events):
     return sequence.limit_decoded(events, "user_id", "event_id", 20)
 
 
-@_query("SELECT user_id, count(*)::BIGINT AS n_pictures, count(*) FILTER (WHERE event_type = 'signup')::BIGINT AS n_idr, max(event_id % 640) AS width, max(event_id % 360) AS height FROM events GROUP BY 1", events=[*EVENT, "event_type"])
+@unique_lines("SELECT user_id, count(*)::BIGINT AS n_pictures, count(*) FILTER (WHERE event_type = 'signup')::BIGINT AS n_idr, max(event_id % 640) AS width, max(event_id % 360) AS height FROM events GROUP BY 1", events=[*EVENT, "event_type"])
 def stream_summary(events):
     rows = events.withColumn("w", F.col("event_id") % 640).withColumn("h", F.col("event_id") % 360)
     return sequence.stream_summary(rows, "user_id", "w", "h", F.col("event_type") == "signup")
 
 
-@_query("SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 1 ELSE event_id % 3 END AS k FROM events", events=EVENT)
+@unique_lines("SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 1 ELSE event_id % 3 END AS k FROM events", events=EVENT)
 def order_key(events):
     return events.select(*EVENT, scalar.order_key(F.col("event_id") % 3, F.col("event_id") % 2).alias("k"))
