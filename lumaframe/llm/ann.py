@@ -3,10 +3,13 @@
 Codebooks of full-dimensional codewords are trained on a bounded sample:
 k-means on residuals first, then rounds of beam-search encoding and a joint
 least-squares update of all codewords. Every distinct vector is encoded by
-beam search and stored as one byte for each codebook, the error of its
-reconstruction and the vector itself. A query scores codes by adding table
-entries; a score is wrong by the error at most, and every vector whose score
-plus error reaches the query's best so far is ranked by its exact cosine.
+beam search and stored as one byte for each codebook, three norms (see
+stored_norms) and the vector itself. A query scores codes by adding table
+entries; over the stored length that is an approximate cosine, and the codes
+of the largest ones are its shortlist. What is left of a vector stands at a
+right angle to its reconstruction, which bounds how far a score is off; of the
+shortlist, what may reach the query's best so far is ranked by its exact
+cosine.
 
 Queries form groups and code blocks form slices. A task holds one group's
 queries and has one slice's blocks stream past, so a code block travels once
@@ -30,6 +33,8 @@ CODEBOOKS, CODEWORDS, BEAM = 8, 256, 4
 SAMPLE = 8192
 #: Codes in a block, code blocks in a slice, queries in a group (all about) and queries scored at once.
 CODE_BLOCK, SLICE, GROUP, QUERIES = 2048, 512, 16384, 256
+#: Part of each block of codes that a query ranks exactly for their scores alone, and pairs multiplied at once.
+SHARE, PAIRS = 0.05, 1 << 16
 #: What single-precision scores, and double-precision products of unit vectors, may be off besides.
 SLACK, ROUNDING = 1e-4, 1e-9
 
@@ -102,6 +107,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return _double_unit(x).astype(np.float32)
 
 
+def stored_norms(units: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """For each code the length of its reconstruction, the factor that brings that nearest to the vector, and the length of what then is left, at a right angle to it."""
+    made = sum(books[i][codes[:, i]] for i in range(len(books)))
+    length = np.maximum(np.linalg.norm(made, axis=1), 1e-6)
+    scale = (units * made).sum(1) / length**2
+    return np.stack([length, scale, np.linalg.norm(units - scale[:, None] * made, axis=1)], axis=1).astype(np.float32)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
@@ -114,15 +127,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[p
                 if full and len(part[0]) < CODE_BLOCK:
                     held.append(tuple(part))
                 else:
-                    yield pa.RecordBatch.from_pylist([{name: x.tobytes() for name, x in zip(("ids", "codes", "errors", "originals"), part, strict=True)}])
+                    yield pa.RecordBatch.from_pylist([{name: x.tobytes() for name, x in zip(("ids", "codes", "norms", "originals"), (part[0], part[1], part[2].T, part[3]), strict=True)}])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             vectors = _matrix(part.column("vector"))
             codes = encode(_unit(vectors), books)
-            made = sum(books[i][codes[:, i]] for i in range(len(books)))
-            held.append((part.column("rep").to_numpy(), codes.astype(np.uint8), np.linalg.norm(_unit(vectors) - made, axis=1).astype(np.float32), vectors))
+            held.append((part.column("rep").to_numpy(), codes.astype(np.uint8), stored_norms(_unit(vectors), codes, books), vectors))
             yield from block(True)
     yield from block(False)
 
@@ -149,43 +161,64 @@ def _floor(scores: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Group:
-    """The n best of each query of a group by exact cosine, ties to the smaller id, over the code blocks seen."""
+    """The n best of each query of a group by exact cosine, ties to the smaller id, over the code blocks seen; with ``exact`` nothing that can matter is left out."""
 
-    def __init__(self, ids: list[int], vectors: list[bytes], books: np.ndarray, n: int):
-        self.ids, self.books, self.n = np.array(ids, np.int64), books, n
+    def __init__(self, ids: list[int], vectors: list[bytes], books: np.ndarray, n: int, exact: bool):
+        self.ids, self.books, self.n, self.exact, self.multiplied = np.array(ids, np.int64), books, n, exact, 0
         self.asked = np.concatenate([_original(v, 1, books.shape[2]) for v in vectors])
         self.unit = _double_unit(self.asked)
         self.scores, self.known = np.full((len(ids), n), -np.inf), np.full((len(ids), n), -1)
+        self.near = np.full((len(ids), n), -np.inf, np.float32)  # the approximate cosine of each of the best
 
-    def see(self, ids: np.ndarray, codes: np.ndarray, errors: np.ndarray, originals: np.ndarray) -> None:
-        units: np.ndarray | None = None
+    def see(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, originals: np.ndarray) -> None:
+        """Rerank exactly each query's shortlist of these codes, less what the stored norms rule out."""
+        units, (length, scale, rest) = _double_unit(originals), norms
+        short = len(codes) if self.exact else min(len(codes), max(self.n, int(np.ceil(SHARE * len(codes)))))
         for at in range(0, len(self.ids), QUERIES):
-            unit, scores, known = (x[at : at + QUERIES] for x in (self.unit, self.scores, self.known))
-            bound = np.zeros((len(unit), len(codes)), np.float32)
+            part = slice(at, at + QUERIES)
+            unit, scores = self.unit[part], self.scores[part]
+            dots = np.zeros((len(unit), len(codes)), np.float32)
             for i, book in enumerate(self.books):
-                bound += (unit.astype(np.float32) @ book.T)[:, codes[:, i]]
-            least = np.maximum(scores[:, -1], _floor(bound - errors, self.n))
-            reach = bound + errors >= least[:, None]
-            some = np.flatnonzero(reach.any(0))
-            if not len(some):
+                dots += (unit.astype(np.float32) @ book.T)[:, codes[:, i]]
+            near = dots / length
+            # The product is off by the rest's length times the sine of the query's angle to the reconstruction, at most.
+            off = np.sqrt(np.maximum(0, 1 - near**2)) * rest + np.float32(SLACK)
+            most = dots * scale + off
+            reach = most >= np.maximum(scores[:, -1], _floor(most - 2 * off, self.n))[:, None]
+            if short == len(codes):
+                self._rank(part, reach, near, ids, units, originals)
                 continue
-            units = _double_unit(originals) if units is None else units
-            close = unit @ units[some].T
-            reach = reach[:, some] & (close >= np.maximum(scores[:, -1], _floor(close, self.n))[:, None] - ROUNDING)
-            for i in np.flatnonzero(reach.any(1)):
-                own = some[reach[i]]
-                every, names = np.concatenate([scores[i], _cosines(self.asked[at + i], originals[own])]), np.concatenate([known[i], ids[own]])
-                order = np.lexsort((names, -every))[: self.n]
-                scores[i], known[i] = every[order], names[order]
+            listed = np.zeros_like(reach)
+            np.put_along_axis(listed, np.argpartition(-near, short - 1, axis=1)[:, :short], True, axis=1)
+            self._rank(part, reach & listed, near, ids, units, originals)
+            # Codes that look as near as the best ones found do: a group of like vectors is not cut by the share.
+            alike = near + np.float32(SLACK) >= self.near[part].min(axis=1)[:, None]
+            self._rank(part, reach & alike & ~listed, near, ids, units, originals)
+
+    def _rank(self, part: slice, reach: np.ndarray, near: np.ndarray, ids: np.ndarray, units: np.ndarray, originals: np.ndarray) -> None:
+        scores, known, looks = self.scores[part], self.known[part], self.near[part]
+        who, which = np.nonzero(reach)
+        self.multiplied += len(who)
+        close = np.full(reach.shape, -np.inf)
+        for at in range(0, len(who), PAIRS):
+            i, j = who[at : at + PAIRS], which[at : at + PAIRS]
+            close[i, j] = np.einsum("pd,pd->p", self.unit[part][i], units[j])
+        reach = close >= np.maximum(scores[:, -1], _floor(close, self.n))[:, None] - ROUNDING
+        for i in np.flatnonzero((reach & np.isfinite(close)).any(1)):
+            own = np.flatnonzero(reach[i] & np.isfinite(close[i]))
+            every, names, look = np.concatenate([scores[i], _cosines(self.asked[part][i], originals[own])]), np.concatenate([known[i], ids[own]]), np.concatenate([looks[i], near[i, own]])
+            order = np.lexsort((names, -every))[: self.n]
+            scores[i], known[i], looks[i] = every[order], names[order], look[order]
 
     def rows(self) -> pa.RecordBatch:
         held = np.isfinite(self.scores)
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, held.sum(1))), pa.array(self.known[held]), pa.array(self.scores[held])], names=["query_id", "rep", "score"])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, n: int, exact: bool) -> Iterator[pa.RecordBatch]:
     """Rows of a lane: its queries first (without codes), then its code blocks."""
     m, _, d = books.shape
+    single = lambda raw: np.frombuffer(raw, np.float32)
     lane, ids, vectors, group = None, [], [], None
     for batch in batches:
         for k in range(batch.num_rows):
@@ -198,9 +231,9 @@ def _scored(batches: Iterator[pa.RecordBatch], books: np.ndarray, n: int) -> Ite
                 ids.append(row["id"])
                 vectors.append(row["originals"])
             elif ids:
-                group = group or _Group(ids, vectors, books, n)
+                group = group or _Group(ids, vectors, books, n, exact)
                 names = np.frombuffer(row["ids"], np.int64)
-                group.see(names, np.frombuffer(row["codes"], np.uint8).reshape(-1, m), np.frombuffer(row["errors"], np.float32) + np.float32(SLACK), _original(row["originals"], len(names), d))
+                group.see(names, np.frombuffer(row["codes"], np.uint8).reshape(-1, m), single(row["norms"]).reshape(3, -1), _original(row["originals"], len(names), d))
     if group is not None:
         yield group.rows()
 
@@ -211,7 +244,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 5, exact: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank from 1, id_col, score): the k nearest by cosine of each row for which ``queries`` holds.
 
     Candidates are all rows but the query's own id, ties go to the smaller
@@ -222,7 +255,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     candidate by each, and a query by the smallest of them. Equal vectors are
     indexed once, by their smallest id, and the k + 1 smallest ids of each are
     put back at the end, which is all that k results can need; so copies do
-    not meet in one task. No candidate is cut by its approximate score, so the
+    not meet in one task. The codes select: of each block of codes a query
+    ranks exactly the SHARE with the largest approximate cosines (k + 1 at
+    least) and all that look as near as its best ones do, less what the stored
+    norms rule out. ``exact`` ranks whatever these leave of all codes, so the
     result is that of comparing every pair exactly.
     """
     spark = vectors.sparkSession
@@ -241,7 +277,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     firsts = valid.withColumn("n", F.row_number().over(within)).where(F.col("n") <= k + 1)
     firsts = scratch.write(firsts.select("id", "n", "vector", F.min("id").over(Window.partitionBy("vector")).alias("rep")), "vectors")
     distinct = firsts.where("n = 1").select("rep", "vector")
-    coded = scratch.write(distinct.mapInArrow(partial(_encoded, books=books), "ids binary, codes binary, errors binary, originals binary"), "codes")
+    coded = scratch.write(distinct.mapInArrow(partial(_encoded, books=books), "ids binary, codes binary, norms binary, originals binary"), "codes")
     asked = rows.where("asked").groupBy("id").agg(F.min("vector").alias("vector"))
     asked = scratch.write(asked.mapInArrow(_query_rows, "id long, vector binary"), "queries")
 
@@ -252,10 +288,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     lane = lambda group, part: (group * slices + part).cast("long").alias("lane")
     parts, every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))), F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1))))
     group_of, slice_of = F.pmod(F.xxhash64("id"), F.lit(max(1, groups))), F.pmod(F.xxhash64("ids"), F.lit(slices))
-    questions = asked.withColumn("part", parts).select(lane(group_of, F.col("part")), "id", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "codes", "errors")], F.col("vector").alias("originals"))
-    answers = coded.withColumn("group", every).select(lane(F.col("group"), slice_of), F.lit(None).cast("long").alias("id"), "ids", "codes", "errors", "originals")
+    questions = asked.withColumn("part", parts).select(lane(group_of, F.col("part")), "id", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "codes", "norms")], F.col("vector").alias("originals"))
+    answers = coded.withColumn("group", every).select(lane(F.col("group"), slice_of), F.lit(None).cast("long").alias("id"), "ids", "codes", "norms", "originals")
     dealt = questions.union(answers).repartition(lanes, "lane").sortWithinPartitions("lane", F.col("codes").isNotNull(), "id")
-    ranked = scratch.write(dealt.mapInArrow(partial(_scored, books=books, n=k + 1), "query_id long, rep long, score double"), "shortlists")
+    ranked = scratch.write(dealt.mapInArrow(partial(_scored, books=books, n=k + 1, exact=exact), "query_id long, rep long, score double"), "shortlists")
     order = Window.partitionBy("query_id")
     classes = ranked.withColumn("n", F.row_number().over(order.orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1).drop("n")
     members = classes.join(firsts.select("rep", F.col("id").alias(id_col)), "rep").where(F.col("query_id") != F.col(id_col))
