@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from test_tables import brute_nearest
 
 from lumaframe.llm import ann
 
@@ -87,6 +86,11 @@ def test_exact_search_is_brute_force(spark, monkeypatch, sizes):
     monkeypatch.setattr(ann, "QUERIES", sizes[1])
     got = defaultdict(list)
     for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, exact=True).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.vec_id)
-    want = brute_nearest(rows, 5)
-    assert set(got) == set(want) and sum(len({*got[q]} & {*v}) for q, v in want.items()) >= 5 * len(want) - 2  # rescaled copies tie within rounding
+        got[r.query_id].append((r.vec_id, r.score))
+    unit = ann._double_unit(x)
+    assert sorted(got) == list(range(0, 1500, 50))
+    for q, found in got.items():  # by score, since rescaled copies differ by rounding alone
+        close = unit @ unit[q]
+        assert [s for _, s in found] == pytest.approx([close[i] for i, _ in found], abs=1e-12)
+        close[q] = -np.inf
+        assert [s for _, s in found] == pytest.approx(np.sort(close)[::-1][:5].tolist(), abs=1e-12) and len({i for i, _ in found} - {q}) == 5
