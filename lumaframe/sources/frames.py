@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from lumaframe.sources.ranges import store_of
 
 FRAMES = "stream_id string, frame long, plane string, width int, height int, data binary"
 
@@ -49,6 +55,8 @@ def to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _encoded(row: dict, kind: str) -> bytes:
+    if any(row[p] is None for p in ("y" if kind == "grey" else "yuv")):
+        raise ValueError(f"frame {row['file']} lacks a plane")
     if kind == "yuv":
         return row["y"] + row["u"] + row["v"]
     h, w = row["height"], row["width"]
@@ -59,25 +67,72 @@ def _encoded(row: dict, kind: str) -> bytes:
     return png(to_rgb(y, u, v))
 
 
-def write_frames(planes: DataFrame, keys: list[str], name, folder: str, kind: str = "yuv") -> DataFrame:
-    """Write one file for each frame and return (file, bytes), which is computed as the files are.
+@dataclass
+class _Written(WriterCommitMessage):
+    files: int
+    size: int
+
+
+class FrameFiles(DataSource):
+    """``frame_files``: a sink of one file a row; see write_frames."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frame_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _FrameWriter(self.options["path"], self.options.get("kind", "yuv"))
 
-    ``kind`` is yuv, colour or grey; ``name`` is a string Column: the file's
-    name in ``folder``, a folder that exists and that all executors share. A
-    task that is run again writes the same file again.
-    """
-    wide = frames_wide(planes, keys).select(name.alias("file"), "width", "height", "y", "u", "v")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pyarrow.fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            files, sizes = [], []
+class _FrameWriter(DataSourceArrowWriter):
+    """A task writes its files aside and moves them into place when all are whole; the job's commit clears what is left aside and marks success."""
+
+    def __init__(self, path: str, kind: str):
+        if kind not in ("yuv", "colour", "grey"):
+            raise ValueError(f"frames are written as yuv, colour or grey, not {kind}")
+        self.path, self.kind, self.job = path, kind, uuid.uuid4().hex
+
+    def _aside(self, base: str) -> str:
+        return f"{base}/_staging-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, base = store_of(self.path)
+        aside, names, size = f"{self._aside(base)}/{uuid.uuid4().hex}", [], 0  # a folder for each attempt
+        store.create_dir(aside)
+        for batch in iterator:
             for row in batch.to_pylist():
-                body = _encoded(row, kind)
-                with store.open_output_stream(f"{base}/{row['file']}") as out:
+                body = _encoded(row, self.kind)
+                with store.open_output_stream(f"{aside}/{row['file']}") as out:
                     out.write(body)
-                files.append(row["file"])
-                sizes.append(len(body))
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(sizes, pa.int64())], names=["file", "bytes"])
-
-    return wide.mapInArrow(write, "file string, bytes long")
+                names.append(row["file"])
+                size += len(body)
+        for name in names:  # a move replaces what an earlier attempt moved
+            store.move(f"{aside}/{name}", f"{base}/{name}")
+        return _Written(len(names), size)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, base = store_of(self.path)
+        self._clear(store, base)
+        with store.open_output_stream(f"{base}/_SUCCESS") as out:
+            out.write(f"{sum(m.files for m in messages if m)} {sum(m.size for m in messages if m)}\n".encode())
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear(*store_of(self.path))
+
+    def _clear(self, store: pyarrow.fs.FileSystem, base: str) -> None:
+        if store.get_file_info(self._aside(base)).type == pyarrow.fs.FileType.Directory:
+            store.delete_dir(self._aside(base))
+
+
+def write_frames(planes: DataFrame, keys: list[str], name: Column, folder: str, kind: str = "yuv") -> None:
+    """Write one file for each frame: raw yuv420p, or a colour or grey PNG.
+
+    ``name`` is a string Column, the file's name in ``folder``, a folder that
+    all executors share. Files are written when this is called, once, and
+    appear whole: a task that fails or is run again leaves one file a frame,
+    and _SUCCESS gives the number of files and bytes when all are there. A
+    frame that lacks a plane fails the job.
+    """
+    planes.sparkSession.dataSource.register(FrameFiles)
+    wide = frames_wide(planes, keys).select(name.alias("file"), "width", "height", "y", "u", "v")
+    wide.write.format("frame_files").option("kind", kind).mode("append").save(folder)

@@ -38,7 +38,8 @@ class ByteRange(InputPartition):
     size: int
 
 
-def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI, and the path in it."""
     if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+:", uri):
         return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
     return pyarrow.fs.LocalFileSystem(), uri
@@ -49,7 +50,7 @@ def list_files(uri: str) -> list[tuple[str, str, int]]:
 
     Streams are named as Spark's own file sources name them.
     """
-    store, path = _store(uri)
+    store, path = store_of(uri)
     info = store.get_file_info(path)
     if info.type == pyarrow.fs.FileType.NotFound:
         raise FileNotFoundError(uri)
@@ -126,7 +127,7 @@ class _AnnexBReader(DataSourceReader):
         return cut(list_files(self.path), self.step)
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        store, path = _store(part.uri)
+        store, path = store_of(part.uri)
         with store.open_input_file(path) as file:
             found = units_of_range(file, part.start, part.end)
             if self.count:
@@ -205,7 +206,7 @@ class _RawFrameReader(DataSourceReader):
         return cut([(uri, stream, size - size % self.record) for uri, stream, size in list_files(self.path)], self.step)
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        store, path = _store(part.uri)
+        store, path = store_of(part.uri)
         together = max(1, BATCH_BYTES // self.record)
         with store.open_input_file(path) as file:
             for at in range(part.start, part.end, together * self.record):
