@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import blocks, deblock, scalar
 from lumaframe.operators import comparators, compare, sequence
-from lumaframe.plans import comparisons, macroblocks, pictures
+from lumaframe.plans import bitstreams, comparisons, macroblocks, pictures
 from lumaframe.plans.register import Query
 from lumaframe.sources import traces
 
-_MODULES = [comparisons, macroblocks, pictures]
+_MODULES = [comparisons, macroblocks, pictures, bitstreams]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

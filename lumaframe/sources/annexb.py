@@ -260,12 +260,22 @@ def read_streams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of whole streams; batches are filled across streams, so that many short ones do not make as many batches."""
+    held: list[tuple] = []
+
+    def full(least_rows: int, least_bytes: int) -> Iterator[pa.RecordBatch]:
+        if held and (len(held) >= least_rows or sum(len(r[4]) for r in held[-1024:]) >= least_bytes):
+            columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+            held.clear()
+            yield pa.RecordBatch.from_arrays(columns, names=["stream_id", "nal_idx", "ref_idc", "nal_type", "payload"])
+
     for batch in batches:
         for stream, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            units = split_units(content.as_py() or b"")
-            for at in range(0, len(units), 1024):
-                part = units[at : at + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([stream] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True))], names=["stream_id", "nal_idx", "ref_idc", "nal_type", "payload"])
+            for n, unit in enumerate(split_units(content.as_py() or b"")):
+                held.append((stream, n, *unit))
+                if len(held) % 64 == 0 or len(unit[2]) > 1 << 20:
+                    yield from full(1024, 8 << 20)
+    yield from full(1, 0)
 
 
 def nal_units(streams: DataFrame) -> DataFrame:
