@@ -106,3 +106,10 @@ def motion_boundary(a: list[tuple], b: list[tuple], bidirectional: Column) -> Co
 def order_key(full_poc: Column, poc: Column) -> Column:
     """The picture order to sort by: the unwrapped one, or the plain one where that was never set."""
     return F.when((full_poc != 0) | (poc == 0), full_poc).otherwise(poc)
+
+
+def slice_group_bits(wide: Column, high: Column, rate: Column) -> Column:
+    """Bits of a slice header's group change cycle: those that count the macroblocks of a picture in steps of ``rate``; none without a rate or a picture, or with more macroblocks than 32 bits hold."""
+    size = wide.cast("long") * high.cast("long")
+    steps = F.when((rate > 0) & (size > 0) & (size < 1 << 32), F.floor(size / F.when(rate > 0, rate))).otherwise(0).cast("long")
+    return F.when(steps > 0, F.length(F.bin(steps))).otherwise(0)

@@ -92,6 +92,12 @@ def b_type_flags(mb_type: Column, sub_types: Column) -> Column:
     return F.when(mb_type == 22, eighths).otherwise(_table([flags(t) for t in range(22)], mb_type))
 
 
+def p_type_flags(mb_type: Column) -> Column:
+    """The flag set of a P macroblock: its shape and list 0 for both partitions; types from 5 on are intra 4x4."""
+    shapes = [SHAPE_16X16, SHAPE_16X8, SHAPE_8X16, SHAPE_8X8, SHAPE_8X8]
+    return F.when(mb_type >= 5, 1).otherwise(_table([s | USE[0, 0] | USE[0, 1] for s in shapes], mb_type))
+
+
 def transform8x8_flag_present(enabled: Column, cbp: Column, p_8x8: Column, b_type: Column, sub_types: Column, inference: Column) -> Column:
     """Whether an inter macroblock carries the 8x8-transform flag: luma is coded and nothing is split below 8x8.
 

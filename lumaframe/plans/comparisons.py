@@ -464,6 +464,17 @@ def b_type_flags(items):
     return items.select(*ITEM, syntax.b_type_flags(_part() % 23, subs).cast("long").alias("flags"))
 
 
+@unique_lines("SELECT l_orderkey, l_linenumber, (CASE l_partkey % 8 WHEN 0 THEN 12296 WHEN 1 THEN 12304 WHEN 2 THEN 12320 WHEN 3 THEN 12352 WHEN 4 THEN 12352 ELSE 1 END)::BIGINT AS flags FROM lineitem", lineitem=[*ITEM, "l_partkey"])
+def p_type_flags(items):
+    return items.select(*ITEM, syntax.p_type_flags(_part() % 8).cast("long").alias("flags"))
+
+
+@unique_lines("""WITH s AS (SELECT l_orderkey, l_linenumber, (l_partkey % 120) * (l_suppkey % 70) AS size, l_partkey % 50 AS rate FROM lineitem), v AS (SELECT *, CASE WHEN rate = 0 OR size = 0 THEN 1 ELSE size // rate + 1 END AS v FROM s)
+    SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM range(40) r(k) WHERE (1::BIGINT << k) <= v - 1)::BIGINT AS bits FROM v""", lineitem=[*ITEM, "l_partkey", "l_suppkey"])
+def slice_group_bits(items):
+    return items.select(*ITEM, scalar.slice_group_bits(_part() % 120, _supp() % 70, _part() % 50).cast("long").alias("bits"))
+
+
 @unique_lines("""WITH t AS (SELECT *, l_suppkey % 3 AS kind, [(l_partkey + k) // 3 % 5 FOR k IN range(4)] AS subs, l_linenumber % 2 = 0 AS inference FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey % 5 <> 0 AND l_partkey % 48 & 15 <> 0 AND CASE WHEN kind = 0 THEN len(list_filter(subs, lambda s: s <> 0)) = 0 WHEN kind = 1 THEN len(list_filter(subs, lambda s: s >= 4 OR (s = 0 AND NOT inference))) = 0 ELSE inference END AS present FROM t""", lineitem=[*ITEM, "l_partkey", "l_suppkey"])
 def transform_flag(items):
