@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 #: Slots in a period: target weights are rounded to this many parts (or to four for each source, if that is more).
 PERIOD = 1000
-#: Hash buckets that the rows of each source are numbered in.
+#: Rows of a source are numbered in hash buckets: at least so many, and more where a bucket would get over BUCKET_ROWS rows.
 BUCKETS = 1024
+BUCKET_ROWS = 1 << 14
+#: Up to so many sources, each end of a source begins a new stretch; of more, a quarter has to end first.
+SINGLE_ENDS = 32
+#: Tables of the schedule with more rows than this are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Without target weights, a source's weight is its number of rows to this power.
 TEMPERATURE = 0.5
 
@@ -55,33 +60,52 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], start: int = 0)
 
     While all sources last, whole periods repeat. When one has less than its
     part of a period left, a last, shorter period uses it up, and the others go
-    on at their weights relative to each other. There are at most two
-    stretches for each source. Stretches: (stretch, source, first block, end
-    block, blocks a period, start slot, period). Slots: (stretch, source, block
-    in the period, slot, release, deadline).
+    on at their weights relative to each other. Of more than SINGLE_ENDS
+    sources, a quarter has to end before the others get new shares; till then
+    the slots of those that ended stay empty. So plans are made for fewer and
+    fewer sources and their slots are linear in the sources. Stretches: (plan,
+    source, first block, end block, blocks a period, start slot, period).
+    Slots: (plan, source, block in the period, slot, release, deadline).
     """
     left, taken = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
     stretches, slots, number = [], [], 0
+
+    def stretch(plan: int, each: dict[str, int], periods: int, period: int) -> None:
+        nonlocal start
+        for s, n in each.items():
+            use = min(left[s], n * periods)
+            if use:
+                stretches.append((plan, s, taken[s], taken[s] + use, n, start, period))
+            taken[s] += use
+            left[s] -= use
+        start += periods * period
+
     while left:
         share = whole_weights({s: weights[s] for s in left}, max(PERIOD, 4 * len(left)))
         plan = pfair_period(share)
-        for periods in (min(left[s] // share[s] for s in left), 1):
-            if not periods:
-                continue
-            if left.keys() != share.keys():  # whole periods used up a source: the others get new shares
-                break
-            take = {s: min(share[s], n) for s, n in left.items()}
-            used, order = dict.fromkeys(left, 0), 0
+        whole = min(n // share[s] for s, n in left.items())
+        ends = sorted(-(-n // share[s]) for s, n in left.items())
+        last = ends[0 if len(left) <= SINGLE_ENDS else len(left) // 4]
+        if whole or last > 1:
+            used = dict.fromkeys(left, 0)
+            for source, release, due, slot in plan:
+                slots.append((number, source, used[source], slot, release, due))
+                used[source] += 1
+            if whole:
+                stretch(number, share, whole, len(plan))
+            if last - whole > 1:
+                stretch(number, share, last - whole, len(plan))
+            number += 1
+        if last - whole == 1:  # the only period in which sources run out: no slot stays empty
+            take, used, order = {s: min(share[s], n) for s, n in left.items()}, dict.fromkeys(left, 0), 0
             for source, release, due, _ in plan:
                 if used[source] < take[source]:
                     slots.append((number, source, used[source], order, release, due))
                     used[source] += 1
                     order += 1
-            for s, n in take.items():
-                stretches.append((number, s, taken[s], taken[s] + n * periods, n, start, order))
-                taken[s] += n * periods
-            left = {s: n for s in left if (n := left[s] - take[s] * periods)}
-            start, number = start + order * periods, number + 1
+            stretch(number, take, 1, order)
+            number += 1
+        left = {s: n for s, n in left.items() if n}
     return stretches, slots, start
 
 
@@ -105,21 +129,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     A null source is a source of its own; null or repeated ids and repeated
     rows keep their rows. Rows of one id are ordered by a hash of all their
-    columns, so that a task that runs again gives them the same places. Existing columns of these names are replaced. The
-    driver gets one count for each source and makes a schedule of at most
-    2 * sources * period rows, which is joined to blocks, not to rows' texts.
+    columns, so that a task that runs again gives them the same places; rows
+    without id are dealt by that hash. Existing columns of these names are
+    replaced. The driver gets one count for each source and makes a schedule
+    whose slots are linear in the sources; it is joined to blocks, by
+    broadcast up to BROADCAST_ROWS rows and by a shuffle beyond.
     """
     spark = docs.sparkSession
     made = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
     kept = [c for c in docs.columns if c not in made]
-    rows = docs.select(*kept, _source(source_col).alias("_source"), F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).cast("int").alias("_bucket"))
-
-    sizes = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n")).collect()  # sources times BUCKETS at most
-    counts: dict[str, int] = {}
-    offsets = []
-    for source, bucket, n in sorted(map(tuple, sizes)):
-        offsets.append((source, bucket, counts.get(source, 0)))
-        counts[source] = counts.get(source, 0) + n
+    hashable = [c for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    rows = docs.select(*kept, _source(source_col).alias("_source"))
+
+    counts = {r["_source"]: r["_n"] for r in rows.groupBy("_source").agg(F.count("*").alias("_n")).orderBy("_source").collect()}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     if weights is None:
         stretches, slots, _ = schedule(blocks, {s: n**TEMPERATURE for s, n in counts.items()})
@@ -130,30 +152,52 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         base = 1 + max((x[0] for x in stretches), default=-1)
         stretches, slots = stretches + [(x[0] + base, *x[1:]) for x in more], slots + [(x[0] + base, *x[1:]) for x in places]
 
-    offset = spark.createDataFrame(offsets, "_source string, _bucket int, _before long")
-    stretch = spark.createDataFrame(stretches, "_stretch int, _source string, _first long, _end long, _each long, _start long, _period long")
-    slot = spark.createDataFrame(slots, "_stretch int, _source string, _i long, _at long, mix_release long, mix_deadline long")
-
-    spread = F.col("_seq") % block_rows
-    hashable = [c for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
-    numbered = rows.withColumn("_rank", F.row_number().over(_order(id_col, hashable)))
-    numbered = numbered.join(F.broadcast(offset), ["_source", "_bucket"]).withColumn("_seq", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank", "_bucket")
+    def sized(table: list[tuple], schema: str) -> DataFrame:
+        frame = spark.createDataFrame(table, schema)
+        return F.broadcast(frame) if len(table) <= BROADCAST_ROWS else frame.hint("merge")
+
+    stretch = sized(stretches, "_plan int, _of string, _first long, _end long, _each long, _start long, _period long")
+    slot = sized(slots, "_plan int, _source string, _i long, _at long, mix_release long, mix_deadline long")
+
+    buckets = BUCKETS
+    while buckets * BUCKET_ROWS < max(counts.values(), default=0):
+        buckets *= 2
+    dealt_by = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(*hashable))
+    rows = rows.withColumn("_bucket", F.pmod(dealt_by, F.lit(buckets)).cast("int"))
+    sizes = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("_source", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_rank", F.row_number().over(_order(id_col, hashable))).join(offset.hint("merge"), ["_source", "_bucket"])
+    numbered = numbered.withColumn("_seq", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank", "_bucket")
     numbered = numbered.withColumn("mix_block", F.expr(f"_seq div {block_rows}"))
-    table = stretch.join(slot, ["_stretch", "_source"])
     inside = (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_end"))
-    # The schedule's rows for one block differ only in stretch, so the join key is the source and the block's place in its stretch.
-    placed = numbered.join(F.broadcast(stretch.withColumnRenamed("_source", "_of")), (F.col("_source") == F.col("_of")) & inside).drop("_of")
+    placed = numbered.join(stretch, (F.col("_source") == F.col("_of")) & inside).drop("_of")
     placed = placed.withColumn("_i", (F.col("mix_block") - F.col("_first")) % F.col("_each")).withColumn("_turn", F.expr("(mix_block - _first) div _each"))
-    placed = placed.join(F.broadcast(table.select("_stretch", "_source", "_i", "_at", "mix_release", "mix_deadline")), ["_stretch", "_source", "_i"])
+    placed = placed.join(slot, ["_plan", "_source", "_i"])
     mixed = placed.withColumn("mix_slot", F.col("_start") + F.col("_turn") * F.col("_period") + F.col("_at"))
-    return mixed.withColumn("mix_position", F.col("mix_slot") * block_rows + spread).select(*kept, *made)
+    return mixed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_seq") % block_rows).select(*kept, *made)
 
 
 def _order(id_col: str, columns: list[str]) -> WindowSpec:
     return Window.partitionBy("_source", "_bucket").orderBy(F.xxhash64(id_col), id_col, F.xxhash64(*columns))
 
 
+def _ranged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
 def in_mixed_order(mixed: DataFrame) -> DataFrame:
     """The rows range-partitioned and sorted by mix_position, to be written in that order."""
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position")
+    return _ranged(mixed, ["mix_position"])
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows of a table that was written in order, range-partitioned and sorted by file, place of the split and row.
+
+    Scans deal files out by size and cut large ones; the numbers of the files
+    that a sorted write makes, and the rows inside each, keep the order.
+    A frame that reads no file has the order of its partitions.
+    """
+    place = docs.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_split"), F.monotonically_increasing_id().alias("_row"))
+    return _ranged(place, ["_file", "_split", "_row"]).drop("_file", "_split", "_row")

@@ -17,7 +17,7 @@ import corpus_pipeline
 from lumaframe.llm.ann import nearest
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.line_dedup import dedup_lines
-from lumaframe.llm.mixing import mix_sources
+from lumaframe.llm.mixing import in_written_order, mix_sources, schedule, whole_weights
 from lumaframe.llm.near_dedup import near_duplicates
 from lumaframe.llm.packing import pack_documents
 from lumaframe.llm.quality_rules import STATISTICS, fit_rules, judge_quality
@@ -273,3 +273,57 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     empty = frame.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def plain_edf(weights):
+    """(source, place in its period) by slot: of all blocks that may start, the one due first."""
+    period = sum(weights.values())
+    waiting = [(-(-(i + 1) * period // w), i * period // w, s, i) for s, w in weights.items() for i in range(w)]
+    order = []
+    for slot in range(period):
+        best = min(b for b in waiting if b[1] <= slot)
+        waiting.remove(best)
+        order.append((best[2], best[3]))
+    return order
+
+
+def test_mixed_order_against_plain_earliest_deadline_first(spark):
+    sizes = {"a": 900, "b": 333, "c": 61, "d": 5}
+    rows = [(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)]
+    weights = {"a": 5, "b": 3, "c": 1, "d": 2}
+    out = mix_sources(spark.createDataFrame(rows, "doc_id string, source string").repartition(5), weights, block_rows=1).orderBy("mix_position").collect()
+    left, want = dict(sizes), []
+    while left:
+        share = whole_weights({f"={s}": weights[s] for s in left}, 1000)
+        plan = [s[1:] for s, _ in plain_edf(share)]
+        while all(left.values()):  # one period after the other; a source that has nothing left is passed over
+            for s in plan:
+                if left[s]:
+                    want.append(s)
+                    left[s] -= 1
+        left = {s: n for s, n in left.items() if n}
+    assert [r.source for r in out] == want
+
+
+def test_schedule_is_linear_in_sources():
+    blocks = {f"s{i}": 1 + i * 7919 % 5000 for i in range(10_000)}
+    stretches, slots, _ = schedule(blocks, {s: n**0.5 for s, n in blocks.items()})
+    assert len(slots) < 500_000 and len(stretches) < 500_000
+    held = Counter()
+    for _, s, first, end, *_ in stretches:
+        assert first == held[s]
+        held[s] = end
+    assert held == Counter(blocks)
+    small = {f"s{i}": 1 + i * 37 % 90 for i in range(150)}
+    stretches, slots, end = schedule(small, dict.fromkeys(small, 1.0))
+    at = {(n, s, i): slot for n, s, i, slot, *_ in slots}
+    placed = [start + (b - first) // each * period + at[n, s, (b - first) % each] for n, s, first, stop, each, start, period in stretches for b in range(first, stop)]
+    assert len(placed) == len(set(placed)) == sum(small.values()) and max(placed) < end
+
+
+def test_rows_in_written_order(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("(id * 7919) % 20000 AS k", "repeat('x', cast(id % 50 AS int)) AS t")
+    rows.repartitionByRange(13, "k").sortWithinPartitions("k").write.parquet(str(tmp_path / "t"))
+    got = [r.k for r in in_written_order(spark.read.parquet(str(tmp_path / "t"))).collect()]
+    assert got == list(range(20_000))
+    assert in_written_order(spark.createDataFrame([], "k long")).count() == 0
