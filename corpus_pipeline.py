@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.llm.line_dedup import dedup_lines
-from lumaframe.llm.mixing import in_mixed_order, mix_sources
+from lumaframe.llm.mixing import in_mixed_order, in_written_order, mix_sources
 from lumaframe.llm.near_dedup import near_duplicates
 from lumaframe.llm.packing import pack_documents
 from lumaframe.llm.quality_rules import fit_rules, judge_quality
@@ -62,12 +62,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch |
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """The pieces of sequences of at most 2048 tokens, packed in the mixed order.
 
-    A scan does not keep the order between files, so the order, which depends
-    only on ids, sources and counts, is made again. Sequence ids follow it by
-    each sequence's first piece; what a partition's open windows hold at its
-    end is merged into sequences after all others.
+    The order is that of the files and rows that mixing wrote; nothing is mixed
+    again. Sequence ids follow it by each sequence's first piece; what a
+    partition's open windows hold at its end is merged into sequences after all
+    others.
     """
-    ordered = in_mixed_order(mix_sources(docs.select(*COLUMNS)))
+    ordered = in_written_order(docs.select(*COLUMNS))
     packed = pack_documents(ordered, public_tokenizers.path(TOKENIZER), size=2048, end_id=1, scratch=scratch)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
