@@ -20,10 +20,12 @@ SENTENCES = {
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-endorse": ["bsd endorsement clause"],
+    "bsd-endorse-other": ["other endorsement clause"],
+    "bsd-advertise": ["advertising materials clause"],
     "bsd-2-notice": ["bsd 2 clause license", "released under the bsd 2 clause license", "licensed under the bsd 2 clause license"],
     "bsd-3-notice": ["bsd 3 clause license", "released under the bsd 3 clause license", "licensed under the bsd 3 clause license", "use of this source code is governed by a bsd style license that can be found in the license file"],
-    "apache-2-notice": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0", "this project is licensed under the apache license version 2 0", "licensed under the apache 2 0 license"],
+    "apache-2-notice": ["apache license version 2 0", "licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "released under the apache license version 2 0", "this project is licensed under the apache license version 2 0", "licensed under the apache 2 0 license"],
     "apache-2-header": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license"],
     "apache-2-title": ["apache license version 2 0 january 2004 http www apache org licenses", "apache license version 2 0 january 2004 https www apache org licenses"],
     "gpl-2-only-notice": ["licensed under the gnu general public license version 2", "this work is licensed under the gnu general public license version 2", f"this program is {_TERMS} general public license version 2 {_GNU}"],
@@ -61,6 +63,15 @@ SENTENCES = {
     "all-rights": ["all rights reserved"],
 }
 
+_PROMOTE = "be used to endorse or promote products derived from this software without (?:specific )?prior written permission$"
+#: Sentences with a slot for any name, applied in order, and the known sentence that each is read as; an endorsement clause of no such form is one of its own.
+SLOTS = [
+    (f"^neither the names? [a-z0-9 ]+ nor the names? of (?:(?:its|their|the|any|other) )*contributors may {_PROMOTE}", "bsd endorsement clause"),
+    (f"^the names? [a-z0-9 ]+ may not {_PROMOTE}", "bsd endorsement clause"),
+    ("^.*endorse or promote products.*$", "other endorsement clause"),
+    ("^all advertising materials mentioning features or use of this software must display the following acknowledge?ments?$", "advertising materials clause"),
+]
+
 #: In order: (licence, identifiers that follow one another in the text, others in between allowed). What a rule matches is used up for later ones.
 RULES = [
     ("MIT", ["mit-grant", "mit-condition", "as-is"]),
@@ -70,7 +81,9 @@ RULES = [
     ("ISC", ["isc-grant"]),
     ("ISC", ["isc-notice"]),
     ("0BSD", ["0bsd-grant"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("LicenseRef-BSD-other", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-other"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", ["bsd-3-notice"]),
     ("BSD-2-Clause", ["bsd-2-notice"]),
@@ -119,7 +132,7 @@ def _plain(name: str) -> str:
 
 def spdx_names() -> dict[str, str]:
     """Normalised names of SPDX tags to licences: each licence's own, and the older ones without -only."""
-    names = {licence: licence for licence, _ in RULES if licence != "all-rights-reserved"}
+    names = {licence: licence for licence, _ in RULES if licence not in ("all-rights-reserved", "LicenseRef-BSD-other")}
     names |= {licence.removesuffix("-only"): licence for licence in names.values()}
     return {_plain(n): licence for n, licence in names.items()}
 
@@ -136,15 +149,22 @@ def rules() -> list[tuple[str, list[str]]]:
 
 
 #: Every known sentence holds one of these inside a word, so a text without any of them holds none of the sentences.
-STEMS = ["licen", "permission", "distribut", "warrant", "endorse", "unencumbered", "cc0", "copyright", "reserved"]
+STEMS = ["licen", "permission", "distribut", "warrant", "endorse", "unencumbered", "cc0", "copyright", "reserved", "advertising materials"]
 #: Replacements before a text is cut, in order, on the text between two line feeds; written for Java's and for RE2's regular expressions.
 _STEPS = [
     (r"\r\n?", "\n"),
-    (r"\n[ \t]*(?://+|/\*+|\*+/|\*+|#+|;+|-+|<!--|%+|>+)[ \t]*", "\n"),  # comment marks before
+    (r"(?i)</?(?:p|br|li|ul|ol|div|h[1-6]|pre|t[dr]|table|title|body|html|head|blockquote)\b[^<>]*>", "\n\n"),  # tags of blocks
+    (r"(?i)</?(?:a|b|i|em|strong|code|span|tt|font|u|small)\b[^<>@]*>", ""),  # and inside a line
+    (r"&(?:quot|amp|lt|gt|nbsp|copy|#[0-9]{1,6});", " "),
+    (r"\n[ \t]*(?://+|/\*+|\*+/|\*+|#+|;+|-+|<!--|%+|>+|@?(?:REM|Rem|rem)\b|dnl\b)[ \t]*", "\n"),  # comment marks before
     (r"[ \t]*(?:\*+/|-->)[ \t]*\n", "\n"),  # and behind
     (r"SPDX-License-Identifier:[^\n]*", "\n"),  # tags are taken by themselves
+    (r"\(LICENSE-(?:MIT|APACHE)[^()\n]*(?:\n[^()\n]*)?\)", " "),
+    (r"(?i)\bunder[ \t\n]+either[ \t\n]+of[ \t\n]+(?:the[ \t\n]+)?(Apache[ \t\n]+License,?[ \t\n]+Version[ \t\n]+2\.0),?[ \t\n]+or[ \t\n]+(?:the[ \t\n]+)?(MIT[ \t\n]+License)", "under the $1. Licensed under the $2. "),
+    (r"(?i)(?:[ \t\n](?:-+|–|—)|[,;(])[ \t\n]*(see[ \t\n])", ". $1"),
     (r":[ \t]*\n", ":\n\n"),
     (r"\n[ \t]*(?:\(?[0-9]{1,2}[.)]|\([a-z]\)|•)[ \t]+", "\n\n"),  # list items
+    (r"\b(Inc|Corp|Ltd|Co|Dr|Prof)\.([ \t\n]+[a-z])", "$1$2"),  # no ends of sentences
     (r"([ ,\n])v\.[ \t\n]*([0-9])", "$1v $2"),
 ]
 _TAG = r"SPDX-License-Identifier:[ \t]*([^\n]*)"
@@ -157,7 +177,14 @@ def _identified(sentences: Column) -> Column:
     """The identifiers of the known ones among raw sentences."""
     known = known_sentences()
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+
+    def read(s: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+        for pattern, sentence in SLOTS:
+            plain = F.regexp_replace(plain, pattern, sentence)
+        return plain
+
+    plain = F.transform(sentences, read)
     return F.transform(F.filter(plain, lambda s: s.isin(*known)), lambda s: F.element_at(table, s))
 
 
@@ -212,7 +239,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id_col, n_sentences (known ones), sentence_ids and licenses (joined by a space, in rule order) of each text.
 
     A text may have several licences, also of one family; a rule hides a later
-    one only by using up the sentences that it would need. A null text has
+    one only by using up the sentences that it would need. A text with the
+    three conditions of a BSD licence and an endorsement clause of no known
+    form is LicenseRef-BSD-other, not the two-clause licence. A null text has
     none. Null or repeated ids and repeated rows are kept; other columns are
     ignored. The sentence table and the rules are literals of fixed size; there
     is no shuffle.
@@ -234,6 +263,9 @@ def oracle(id_col: str = "doc_id", text_col: str = "text", table: str = "documen
     for pattern, replacement in _STEPS:
         made = _quoted(replacement.replace("$", "\\")).replace("\n", "' || chr(10) || '")
         cleaned = f"regexp_replace({cleaned}, {_quoted(pattern)}, {made}, 'g')"
+    plain = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, sentence in SLOTS:
+        plain = f"regexp_replace({plain}, {_quoted(pattern)}, {_quoted(sentence)})"
     known = ", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in known_sentences().items())
     chain, last = [], "every"
     for n, (licence, wanted) in enumerate(rules()):
@@ -253,7 +285,7 @@ def oracle(id_col: str = "doc_id", text_col: str = "text", table: str = "documen
         tags AS (SELECT d, 1000000000000 AS np, 0 AS how, 'spdx license identifier ' || replace(t, '+', '-or-later') AS s, nt * 1000000 + k AS ns FROM
             (SELECT d, nt, unnest(t) AS t, unnest(range(len(t))) AS k FROM (SELECT d, nt, regexp_split_to_array(g, {_quoted(_OPERATOR)}) AS t FROM
             (SELECT d, unnest(g) AS g, unnest(range(len(g))) AS nt FROM (SELECT d, regexp_extract_all({text_col}, {_quoted(_TAG)}, 1) AS g FROM rows WHERE {text_col} IS NOT NULL))))),
-        hits AS (SELECT d, np, how, ns, i FROM (SELECT d, np, how, ns, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT * FROM joined UNION ALL SELECT * FROM alone UNION ALL SELECT * FROM tags)) JOIN known USING (s)),
+        hits AS (SELECT d, np, how, ns, i FROM (SELECT d, np, how, ns, {plain} AS s FROM (SELECT * FROM joined UNION ALL SELECT * FROM alone UNION ALL SELECT * FROM tags)) JOIN known USING (s)),
         first AS (SELECT d, np, how, i, min(ns) AS ns FROM hits h WHERE how = 1 AND NOT EXISTS (SELECT 1 FROM hits o WHERE o.how = 0 AND o.d = h.d AND o.np = h.np AND o.i = h.i) GROUP BY ALL),
         counted AS (SELECT d, count(*) AS n, list(i ORDER BY np, how, ns) AS l FROM (SELECT d, np, how, ns, i FROM hits WHERE how = 0 UNION ALL SELECT d, np, how, ns, i FROM first) GROUP BY d),
         every AS (SELECT d, n, array_to_string(l, ' ') AS ids, l, []::VARCHAR[] AS f FROM counted),

@@ -171,6 +171,32 @@ def test_token_counts_odd_rows(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+PROMOTE = "used to endorse or promote products derived from this software without specific prior written permission."
+NOTICE = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+HEADER = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+LICENSED += [
+    (CONDITIONS + "3. Neither the name of Google Inc. nor the names of its contributors may be " + PROMOTE, "BSD-3-Clause"),
+    (CONDITIONS + "3. Neither the name of the University nor the names of its\n   contributors may be " + PROMOTE, "BSD-3-Clause"),
+    (CONDITIONS + "3. The name of the author may not be " + PROMOTE, "BSD-3-Clause"),
+    (CONDITIONS + "3. No one may endorse or promote products by this software on Sundays.", "LicenseRef-BSD-other"),
+    (CONDITIONS + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software.\n4. Neither the name of X nor the names of its contributors may be " + PROMOTE, "BSD-4-Clause"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement: none", ""),
+    ("\n".join(f"dnl {x}" for x in NOTICE.split("\n")), "GPL-2.0-or-later"),
+    ("\n".join(f"REM {x}" for x in HEADER.split("\n")), "Apache-2.0"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details", "MIT"),
+    ("This project is licensed under the MIT License (see the LICENSE file).", "MIT"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "MIT Apache-2.0"),
+    ("Licensed under either of\n\n * Apache License, Version 2.0 (LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license (LICENSE-MIT or http://opensource.org/licenses/MIT)\n\nat your option.", "MIT Apache-2.0"),
+    ("<html><body><h1>Notice</h1><p>" + NOTICE + "</p></body></html>", "GPL-2.0-or-later"),
+    ("<p>" + CONDITIONS.replace("\n\n", "</p><ol>").replace("1. ", "<li>").replace("2. ", "</li><li>") + "</li></ol>", "BSD-2-Clause"),
+]
+
+
 def test_licenses(spark):
     import duckdb
 
