@@ -125,6 +125,28 @@ def dct4x4(block: Column) -> Column:
     return _bound(block, lambda x: _bound(_combine(x, across), lambda y: _combine(y, down)))
 
 
+def _forward8(line: Column) -> Column:
+    """Eight samples transformed: sums of mirrored pairs give the even places, differences the odd ones; halves and quarters are rounded down."""
+    at = lambda i: F.get(line, F.lit(i)).cast("long")
+    pairs = F.struct(*[(at(i) + at(7 - i)).alias(f"s{i}") for i in range(4)], *[(at(i) - at(7 - i)).alias(f"d{i}") for i in range(4)])
+
+    def places(p: Column) -> Column:
+        outer, inner, slope, bend = p["s0"] + p["s3"], p["s1"] + p["s2"], p["s0"] - p["s3"], p["s1"] - p["s2"]
+        half = lambda v, bits=1: F.shiftright(v, bits)
+        rise, fall, both, turn = p["d0"] + half(p["d3"]), p["d0"] - half(p["d3"]), p["d1"] + p["d2"], p["d2"] - p["d1"]
+        return F.array(outer + inner, rise + both + half(rise, 2), slope + half(bend), fall + turn + half(turn, 2), outer - inner, fall - turn - half(turn, 2), half(slope) - bend, both - rise - half(rise, 2))
+
+    return _bound(pairs, places)
+
+
+def dct8x8(block: Column) -> Column:
+    """Forward 8x8 transform of a raster block: its lines, then its columns."""
+    turned = lambda x: F.array(*[F.array(*[F.get(F.get(x, F.lit(r)), F.lit(c)) for r in range(8)]) for c in range(8)])
+    lines = F.array(*[F.slice(block, 8 * r + 1, 8) for r in range(8)])
+    across = F.transform(lines, _forward8)
+    return _bound(across, lambda x: _bound(F.transform(turned(x), _forward8), lambda y: F.flatten(turned(y))))
+
+
 def inverse_where(blocks: Column, mask: Column, inverse: Callable[[Column], Column] | None = None) -> Column:
     """Each block of an array whose bit is set in the mask, transformed; the others as they are."""
     inverse = inverse or idct4x4_column

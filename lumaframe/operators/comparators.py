@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import syntax
 from lumaframe.operators.compare import classify_delta
+from lumaframe.operators.sequence import repeat_number
 
 
 def _sided(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -152,6 +153,24 @@ def partition_diff(left: DataFrame, wide: DataFrame, keys: list[str]) -> DataFra
     return field_diff(left, partition_vectors(wide, keys, ["mvd", "mvp", "final"]), [*keys, "part", "list"], {n: _not_same(n) for n in ("mvd", "mvp", "final")})
 
 
+def raw_partition_diff(left: DataFrame, right: DataFrame, keys: list[str], line: str, *, occurrences: tuple[int, int] = (0, 0), pocs: tuple[int | None, int | None] = (None, None), with_low: bool = False) -> DataFrame:
+    """Vector differences of B partitions with the decoder's state before and after them (amvd, mvd, pre_range, post_range and, if asked, both lows).
+
+    A macroblock may be traced several times: of each side's rows of a key, in
+    the order of ``line``, the one that was seen ``occurrences`` times before
+    is compared. ``pocs`` keeps the rows of one picture order of a side first;
+    rows without one go then.
+    """
+
+    def chosen(rows: DataFrame, poc: int | None, seen: int) -> DataFrame:
+        rows = rows if poc is None else rows.where(F.col("poc") == poc)
+        return repeat_number(rows, keys, line).where(F.col("repeat") == seen)
+
+    names = ["amvd", "pre_low", "pre_range", "mvd", "post_range", "post_low"]
+    sides = [chosen(*args).select(*keys, *names) for args in zip((left, right), pocs, occurrences, strict=True)]
+    return field_diff(*sides, keys, {n: _not_same(n) for n in names if with_low or not n.endswith("low")})
+
+
 def _small(v: Column) -> Column:
     return (F.abs(F.get(v, F.lit(1))) <= 1) & (F.abs(F.get(v, F.lit(2))) <= 1)
 

@@ -212,6 +212,27 @@ def partition_diff(items):
     return comparators.partition_diff(left, wide, ITEM).select(*ITEM, "part", "list", "status", "fields")
 
 
+_RAW = ["amvd", "pre_low", "pre_range", "mvd", "post_range", "post_low"]
+
+
+def _nth(side: str, keep: str, seen: int, **values: str) -> str:
+    """A side's rows with so many rows of their key before them."""
+    columns = ", ".join(f"{v} AS {n}" for n, v in values.items())
+    return f"{side} AS (SELECT * FROM (SELECT l_orderkey AS mb, l_partkey % 2 AS part, l_suppkey % 2 AS list, {columns}, count(*) OVER (PARTITION BY l_orderkey, l_partkey % 2, l_suppkey % 2 ORDER BY l_linenumber) - 1 AS seen FROM lineitem WHERE {keep}) WHERE seen = {seen})"
+
+
+@unique_lines(f"""WITH {_nth("l", "TRUE", 1, amvd=f"[{_Q} % 5, {_P} % 3]", mvd=f"[{_P} % 7, {_Q} % 4]", pre_low=_P, pre_range=_Q, post_low="l_suppkey % 9", post_range="l_partkey % 9")},
+    {_nth("r", "l_linenumber % 5 < 4", 1, amvd=f"[{_Q} % 5, ({_P} + {_one('l_suppkey % 3 = 0')}) % 3]", mvd=f"[{_P} % 7, {_Q} % 4]", pre_low=f"{_P} + 1", pre_range=_Q, post_low="l_suppkey % 9", post_range=f"(l_partkey + {_one('l_partkey % 4 = 0')}) % 9")}
+    SELECT mb, part, list, {_status('r.seen IS NOT NULL', [(n, f'l.{n} <> r.{n}') for n in _RAW])} FROM l LEFT JOIN r USING (mb, part, list)""", lineitem=TRACE)
+def raw_partition_diff(items):
+    def side(more: Column, low: int, range_more: Column) -> DataFrame:
+        fields = {"amvd": F.array(_quantity() % 5, (_price() + more) % 3), "mvd": F.array(_price() % 7, _quantity() % 4), "pre_low": _price() + low, "pre_range": _quantity(), "post_low": _supp() % 9, "post_range": (_part() + range_more) % 9}
+        return items.select(F.col("l_orderkey").alias("mb"), (_part() % 2).alias("part"), (_supp() % 2).alias("list"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") % 5).alias("poc"), *[v.alias(n) for n, v in fields.items()])
+
+    right = side(one(_supp() % 3 == 0), 1, one(_part() % 4 == 0)).where("poc < 4")
+    return comparators.raw_partition_diff(side(F.lit(0), 0, F.lit(0)), right, ["mb", "part", "list"], "line", occurrences=(1, 1), with_low=True).select("mb", "part", "list", "status", "fields")
+
+
 _MOTION = f"[l_partkey % 2, {_Q} % 4 - 1, {_P} % 4 - 1]"
 _COLZERO = f"""
     l AS (SELECT l_orderkey AS k, l_linenumber AS n, {_MOTION} AS v FROM lineitem),
@@ -421,6 +442,22 @@ def quant4x4(vectors):
     return _ints(vectors, 16).select("vec_id", _digest(blocks.quant4x4(F.transform("x", lambda v: v * 50), F.col("vec_id") % 52)))
 
 
+def _dct8_pass(source: str, made: str, line: str) -> str:
+    """One pass over rows (vec_id, r, c, v); ``line`` names the coordinate that stays."""
+    moves = "c" if line == "r" else "r"
+    wide = ", ".join(f"max(v) FILTER (WHERE {moves} = {i}) AS v{i}" for i in range(8))
+    sums = ", ".join(f"v{i} + v{7 - i} AS a{i}, v{i} - v{7 - i} AS b{i}" for i in range(4))
+    out = ["a0 + a1 + a2 + a3", "b0 + (b3 >> 1) + b1 + b2 + ((b0 + (b3 >> 1)) >> 2)", "a0 - a3 + ((a1 - a2) >> 1)", "b0 - (b3 >> 1) + b2 - b1 + ((b2 - b1) >> 2)", "a0 + a3 - a1 - a2", "b0 - (b3 >> 1) - b2 + b1 - ((b2 - b1) >> 2)", "((a0 - a3) >> 1) - a1 + a2", "b1 + b2 - b0 - (b3 >> 1) - ((b0 + (b3 >> 1)) >> 2)"]
+    return f"{made} AS (SELECT vec_id, {line}, unnest(range(8)) AS {moves}, unnest([{', '.join(out)}]) AS v FROM (SELECT vec_id, {line}, {sums} FROM (SELECT vec_id, {line}, {wide} FROM {source} GROUP BY vec_id, {line})))"
+
+
+@unique_lines(f"""WITH b AS (SELECT vec_id, p // 8 AS r, p % 8 AS c, v FROM (SELECT vec_id, unnest({_V.format(n=64)}) AS v, unnest(range(64)) AS p FROM embeddings)),
+    {_dct8_pass("b", "across", "r")}, {_dct8_pass("across", "down", "c")}
+    SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY r, c) AS y FROM down GROUP BY 1""", **_EMBEDDING)
+def dct8x8(vectors):
+    return _ints(vectors, 64).select("vec_id", _digest(blocks.dct8x8(F.col("x"))))
+
+
 @unique_lines(f"""WITH b AS (SELECT vec_id, {_V.format(n=64)} AS x, unnest(range(64)) AS p FROM embeddings)
     SELECT vec_id, string_agg(CAST(x[(p // 32 * 4 + p % 16 // 4) * 8 + p // 16 % 2 * 4 + p % 4 + 1] AS VARCHAR), ',' ORDER BY p) AS y, TRUE AS joins FROM b GROUP BY 1""", **_EMBEDDING)
 def split_8x8(vectors):

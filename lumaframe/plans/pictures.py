@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.operators import planes, references
+from lumaframe.operators import compensate, planes, references
 from lumaframe.plans.register import Register
 
 registered = Register()
@@ -114,3 +114,43 @@ def plane_partials(docs):
     FROM s GROUP BY lang""", documents=["doc_id", "lang", "text"])
 def plane_totals(docs):
     return planes.merge_partials(_text_planes(docs).where("samples > 0"), ["lang"], ["doc_id"]).select("*", F.col("first.doc_id").alias("first_doc"), F.col("first.first_at").alias("first_at")).drop("first")
+
+
+def _sample(dx: int, dy: int) -> str:
+    return f"x[8 * greatest(least(iy + {dy}, 7), 0) + greatest(least(ix + {dx}, 7), 0) + 1]"
+
+
+def _filtered(places: list[tuple[int, int]]) -> str:
+    return "(" + " + ".join(f"{weight} * {_sample(*place)}" for weight, place in zip([1, -5, 20, 20, -5, 1], places, strict=True)) + ")"
+
+
+def _compensated() -> str:
+    """Every predicted sample by the standard's names: b, h, j, s and m between the whole samples, quarters as means of two."""
+    clip = lambda v, half, bits: f"greatest(least(({v} + {half}) >> {bits}, 255), 0)"
+    across = lambda dy: _filtered([(i, dy) for i in range(-2, 4)])
+    down = lambda dx: _filtered([(dx, i) for i in range(-2, 4)])
+    middle = " + ".join(f"{weight} * {across(i - 2)}" for i, weight in enumerate([1, -5, 20, 20, -5, 1]))
+    means = {(1, 0): "wb", (3, 0): "rb", (0, 1): "wh", (0, 3): "uh", (1, 1): "bh", (2, 1): "bj", (3, 1): "bm", (1, 2): "hj", (3, 2): "jm", (1, 3): "hs", (2, 3): "js", (3, 3): "sm"}
+    cases = " ".join(f"WHEN fx = {x} AND fy = {y} THEN ({a} + {b} + 1) >> 1" for (x, y), (a, b) in means.items())
+    luma = f"CASE WHEN w IS NULL THEN NULL WHEN fx = 0 AND fy = 0 THEN w WHEN fx = 2 AND fy = 0 THEN b WHEN fx = 0 AND fy = 2 THEN h WHEN fx = 2 AND fy = 2 THEN j {cases} END"
+    return f"""
+    WITH p AS (SELECT vec_id - 1 AS vec_id, list_transform(embedding[1:64], lambda v: CAST(abs(floor(v * 127::FLOAT)) AS INTEGER) % 256) AS x FROM embeddings),
+    v AS (SELECT vec_id, (vec_id * 7) % 61 - 30 AS mvx, (vec_id * 5) % 53 - 26 AS mvy, unnest(range(16)) AS k FROM embeddings),
+    y AS (SELECT vec_id, k, x, vec_id % 2 * 4 + k % 4 + CAST(floor(mvx / 4) AS INTEGER) AS ix, vec_id // 2 % 2 * 4 + k // 4 + CAST(floor(mvy / 4) AS INTEGER) AS iy, mvx - 4 * CAST(floor(mvx / 4) AS INTEGER) AS fx, mvy - 4 * CAST(floor(mvy / 4) AS INTEGER) AS fy FROM v LEFT JOIN p USING (vec_id)),
+    u AS (SELECT vec_id, k, x, vec_id % 2 * 4 + k % 4 + CAST(floor(mvx / 8) AS INTEGER) AS ix, vec_id // 2 % 2 * 4 + k // 4 + CAST(floor(mvy / 8) AS INTEGER) AS iy, mvx - 8 * CAST(floor(mvx / 8) AS INTEGER) AS fx, mvy - 8 * CAST(floor(mvy / 8) AS INTEGER) AS fy FROM v LEFT JOIN p USING (vec_id)),
+    f AS (SELECT vec_id, k, fx, fy, {_sample(0, 0)} AS w, {_sample(1, 0)} AS r, {_sample(0, 1)} AS u, {clip(across(0), 16, 5)} AS b, {clip(across(1), 16, 5)} AS s, {clip(down(0), 16, 5)} AS h, {clip(down(1), 16, 5)} AS m, {clip(f"({middle})", 512, 10)} AS j FROM y),
+    every AS (SELECT vec_id, 'Y' AS plane, k, {luma} AS v FROM f
+        UNION ALL SELECT vec_id, 'U', k, ((8 - fx) * (8 - fy) * {_sample(0, 0)} + fx * (8 - fy) * {_sample(1, 0)} + (8 - fx) * fy * {_sample(0, 1)} + fx * fy * {_sample(1, 1)} + 32) >> 6 FROM u)
+    SELECT vec_id, plane, string_agg(printf('%02X', v), '' ORDER BY k) AS predicted FROM every GROUP BY 1, 2"""
+
+
+@registered.query(_compensated(), embeddings=["vec_id", "embedding"])
+def motion_compensation(vectors):
+    at = F.col("vec_id")
+    both = F.explode(F.array(F.lit("Y"), F.lit("U"))).alias("plane")
+    size = [F.lit(8).alias("width"), F.lit(8).alias("height")]
+    samples = F.transform(F.slice("embedding", 1, 64), lambda v: F.lpad(F.hex(F.abs(F.floor(v * 127)) % 256), 2, "0"))
+    held = vectors.select((at - 1).alias("vec_id"), both, *size, F.unhex(F.array_join(samples, "")).alias("data"))
+    place = {"x": at % 2 * 4, "y": F.floor(at / 2) % 2 * 4, "w": F.lit(4), "h": F.lit(4), "mvx": at * 7 % 61 - 30, "mvy": at * 5 % 53 - 26}
+    blocks = vectors.select("vec_id", both, *[v.cast("int").alias(n) for n, v in place.items()], *size)
+    return compensate.compensate(blocks, held, ["vec_id"]).select("vec_id", "plane", F.hex("predicted").alias("predicted"))

@@ -50,11 +50,12 @@ def normal_poc(poc: Column) -> Column:
     return F.when(poc >= 32768, poc - 65536).otherwise(poc)
 
 
-#: Fields of the rows that comparators read: plain numbers, pairs in braces and lists in brackets, each after its name and an equals sign.
+#: Fields of the rows that comparators read: plain numbers, pairs in braces, lists in brackets and, for some, decoder states (low/range), each after its name and an equals sign.
 ROWS = {
     "direct": (["mb", "frame", "poc", "colpoc", "colframe", "spatial", "mb_type", "ref0", "ref1", "sub0", "sub1", "sub2", "sub3"], ["mv0", "mv1", "submv0", "submv1", "submv2", "submv3"], []),
     "bidi": (["mb", "frame", "poc", "type", "mb_type", "ref0", "ref1", "ref0p1", "ref1p1", "sub0", "sub1", "sub2", "sub3"], ["mv0", "mv1", "mv0p1", "mv1p1", "submv0", "submv1", "submv2", "submv3"], []),
     "partition": (["mb", "frame", "poc", "part", "list"], ["amvd", "mvd", "mvp", "final"], []),
+    "raw_partition": (["mb", "frame", "poc", "part", "list"], ["amvd", "mvd"], [], ["pre", "post"]),
     "wide_partition": (["mb", "poc"], [f"{n}{w}{p}" for n in ("mv", "amvd", "mvd", "mvp") for w in (0, 1) for p in ("", "p1")], []),
     "state": (["mb", "frame", "poc", "low", "range"], [], []),
     "colocated": (["mb", "mbx", "mby", "poc", "curpoc", "colpoc", "i8", "i4", "part", "colref0", "zero", "ref0", "ref1", "is_b8x8", "sub_type", "mb_type"], ["colmv", "mv0", "mv1"], []),
@@ -70,12 +71,13 @@ def labelled_rows(lines: DataFrame, label: str, kind: str) -> DataFrame:
 
     Fields are found by name, in any order. true and false are 1 and 0.
     """
-    numbers, pairs, lists = ROWS[kind]
+    numbers, pairs, lists, *states = ROWS[kind]
     value = lambda name, pattern: F.nullif(F.regexp_extract("line", rf"(?:^|\s){name}={pattern}", 1), F.lit(""))
     number = lambda name: F.coalesce(value(name, r"(-?\d+)").cast("long"), value(name, "(true|false)").cast("boolean").cast("long")).alias(name)
     array = lambda text, name: F.transform(F.split(F.trim(text), r"[,\s]+"), lambda v: v.cast("long")).alias(name)
+    parts = [value(n, pattern).cast("long").alias(f"{n}_{part}") for n in (states[0] if states else []) for part, pattern in (("low", r"(\d+)/\d+"), ("range", r"\d+/(\d+)"))]
     found = lines.where(F.col("line").rlike(rf"(?:^|\s){label}(?:\s|$)"))
-    return found.select("file", "line_no", *map(number, numbers), *[array(value(n, r"\{([^}]*)\}"), n) for n in pairs], *[array(value(n, r"\[([^\]]*)\]"), n) for n in lists], F.nullif(F.regexp_extract("line", r"\bkind=(\w+)", 1), F.lit("")).alias("kind"))
+    return found.select("file", "line_no", *map(number, numbers), *[array(value(n, r"\{([^}]*)\}"), n) for n in pairs], *[array(value(n, r"\[([^\]]*)\]"), n) for n in lists], *parts, F.nullif(F.regexp_extract("line", r"\bkind=(\w+)", 1), F.lit("")).alias("kind"))
 
 
 def motion_blocks(lines: DataFrame) -> DataFrame:

@@ -54,3 +54,22 @@ def test_motion_boundary_allows_swapped_lists(spark):
 def test_block_places():
     assert [syntax.block_place(i) for i in (0, 1, 2, 3, 4, 9, 15)] == [(0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 1), (3, 3)]
     assert sorted(syntax.CBP_INTRA) == sorted(syntax.CBP_INTER) == list(range(48))
+
+
+def test_raw_partition_rows(spark):
+    text = ["BPART mb=7 frame=2 poc=4 part=1 list=0 amvd={3,-4} mvd_abs={1,1} mvd={-1,2} ctx pre=123/400 post=99/380", "BPART mb=7 part=1 list=0 amvd={3,-4} mvd={-1,2} pre=1/2 post=3/4", "OTHER mb=7"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no long, line string")
+    rows = traces.labelled_rows(lines, "BPART", "raw_partition").orderBy("line_no").collect()
+    assert [(r.mb, r.frame, r.poc, r.part, r.list, r.amvd, r.mvd, r.pre_low, r.pre_range, r.post_low, r.post_range) for r in rows] == [(7, 2, 4, 1, 0, [3, -4], [-1, 2], 123, 400, 99, 380), (7, None, None, 1, 0, [3, -4], [-1, 2], 1, 2, 3, 4)]
+
+
+def test_raw_partition_filters(spark):
+    def side(rows):
+        return spark.createDataFrame([(mb, line, poc, [a, 0], 1, 300, [0, 0], 2, 301) for mb, line, poc, a in rows], "mb long, line_no long, poc long, amvd array<long>, pre_low long, pre_range long, mvd array<long>, post_low long, post_range long")
+
+    left = side([(1, 0, 8, 5), (1, 1, 8, 6), (1, 2, 10, 7), (2, 3, None, 5), (3, 4, 8, 5)])
+    right = side([(1, 0, 8, 6), (3, 2, 8, 9)])
+    found = {r.mb: (r.status, r.fields) for r in comparators.raw_partition_diff(left, right, ["mb"], "line_no", occurrences=(1, 0), pocs=(8, None)).collect()}
+    assert found == {1: ("equal", "")}
+    found = {r.mb: (r.status, r.fields) for r in comparators.raw_partition_diff(left, right, ["mb"], "line_no", pocs=(8, 8)).collect()}
+    assert found == {1: ("differs", "amvd"), 3: ("differs", "amvd")}
