@@ -188,9 +188,34 @@ def test_nested_quotes_against_brute_force(spark):
     out = link_quotes(spark.createDataFrame([(c, t, "user", x) for (c, t), x in rows.items()], "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv_id, r.turn): (r.parent_turn, [tuple(q) for q in r.quoted]) for r in out} == brute_quotes(rows)
     assert max(r.quote_depth for r in out) > 1 and any(len(r.quoted) > 1 for r in out)
-    for c in range(12):  # a reply comes after what it answers
-        order = [r.turn for r in sorted((r for r in out if r.conv_id == c), key=lambda r: (list(r.thread_path), r.place))]
-        assert all(r.parent_turn is None or order.index(r.parent_turn) < order.index(r.turn) for r in out if r.conv_id == c)
+    for c in range(12):
+        mine = {r.turn: r for r in out if r.conv_id == c}
+        assert {t: (r.thread_turn, r.thread_place, r.place) for t, r in mine.items()} == brute_threads({t: r.parent_turn for t, r in mine.items()})
+
+
+def brute_threads(parents):
+    """(thread, its number in reply order, place) of each turn, by walking down from the first."""
+    turns, thread, members = sorted(parents), {}, defaultdict(list)
+    for before, t in zip([None, *turns], turns):
+        thread[t] = t if before is None or parents[t] != before else thread[before]
+        members[thread[t]].append(t)
+    order = []
+
+    def walk(head):
+        order.append(head)
+        for other in sorted(h for h in members if h != head and parents[h] is not None and thread[parents[h]] == head):
+            walk(other)
+
+    walk(turns[0])
+    return {t: (thread[t], order.index(thread[t]), members[thread[t]].index(t)) for t in turns}
+
+
+def test_threads_of_long_chains(spark):
+    """Two reply chains that alternate: every message begins a thread, and no row grows with their depth."""
+    rows = [(1, t, "user", f"> say {t - 2} now\nsay {t} now" if t > 1 else f"say {t} now") for t in range(600)]
+    out = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(out[t].parent_turn == t - 2 for t in range(2, 600))
+    assert {t: (r.thread_turn, r.thread_place, r.place) for t, r in out.items()} == brute_threads({t: r.parent_turn for t, r in out.items()})
 
 
 def test_a_popular_line_and_a_long_message(spark):

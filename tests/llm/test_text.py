@@ -269,9 +269,23 @@ def test_quotes(spark):
     out = link_quotes(spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, message string")).collect()
     one = {r.turn: r for r in out if r.conv_id == 1}
     assert len([r for r in out if r.conv_id == 1]) == 5
-    assert {t: (r.parent_turn, r.thread_turn, list(r.thread_path), r.place) for t, r in one.items()} == {0: (None, 0, [0], 0), 1: (0, 0, [0], 1), 2: (0, 2, [0, 2], 0), 3: (1, 3, [0, 3], 0), 4: (3, 3, [0, 3], 1)}
+    assert {t: (r.parent_turn, r.thread_turn, r.thread_place, r.place) for t, r in one.items()} == {0: (None, 0, 0, 0), 1: (0, 0, 0, 1), 2: (0, 2, 1, 0), 3: (1, 3, 2, 0), 4: (3, 3, 2, 1)}
     assert one[2].message == "Me too!" and one[3].message == "Thanks." and one[3].quote_depth == 2
     two = {r.turn: r for r in out if r.conv_id == 2}
     assert two[7].message == "" and two[9].parent_turn == 7 and two[9].message == "ok"
     assert sorted(r.place for r in out if r.conv_id == 5) == list(range(1000)) and len([r for r in out if r.place is None]) == 2
     assert link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_quoted_mail(spark):
+    rows = [
+        (1, 0, "user", "Shall we meet?\nAt noon."),
+        (1, 1, "user", "Yes.\nOn Mon, 3 Mar 2025, Ann Other\nwrote:\n\n> Shall we meet?\n> At noon."),
+        (1, 2, "user", "No.\n\n-----Original Message-----\nFrom: Ann\nSubject: meeting\n\nShall we meet?\nAt noon."),
+        (1, 3, "user", "Bob wrote:\n> Yes.\n> Ann wrote:\n>> At noon.\nFine."),
+        (1, 4, "user", "He said:\nnothing\n>5"),
+    ]
+    out = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [out[t].message for t in range(5)] == ["Shall we meet?\nAt noon.", "Yes.", "No.", "Fine.", "He said:\nnothing"]
+    assert [out[t].parent_turn for t in range(4)] == [None, 0, 0, 1] and out[3].quote_depth == 2
+    assert [tuple(q) for q in out[3].quoted] == [(1, 1), (2, 0)]
