@@ -277,11 +277,14 @@ def richest(samples: DataFrame, keys: list[str], value: str, k: int) -> DataFram
     return samples.groupBy(*keys).agg(F.countDistinct(value).alias("n")).orderBy(F.desc("n"), *keys).limit(k)
 
 
-def spatial_buckets(rows: DataFrame, x: str, y: str, delta: str, ties: list[str], k: int, size: int = 4) -> DataFrame:
-    """bx, b_y and n of the squares of ``size`` samples that the k rows of the largest absolute delta lie in, with mean_x and mean_y of all these rows."""
-    chosen = largest(rows, delta, ties, k).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    means = chosen.agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
-    counts = chosen.groupBy(F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("b_y")).agg(F.count("*").alias("n"))
+def spatial_buckets(rows: DataFrame, x: str, y: str, size: int = 4) -> DataFrame:
+    """bx, b_y and n of the squares of ``size`` samples that the rows lie in, with mean_x and mean_y of all rows.
+
+    Every row counts; for the squares of the worst rows alone, pass the result of ``largest``.
+    """
+    at = rows.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    means = at.agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    counts = at.groupBy(F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("b_y")).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(means))  # one row of means
 
 

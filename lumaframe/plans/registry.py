@@ -352,12 +352,12 @@ def classify_topk(items):
     return compare.top_by_class(d, "kind", F.abs(F.col("p") + F.col("r")), "id", 5).select("kind", "id", "p", "r", "place")
 
 
-@_query("lineitem", [*ITEM, "l_quantity", "l_extendedprice", "l_partkey"], f"""
-    WITH s AS (SELECT {_P} // 4 AS x, {_Q} AS y FROM lineitem ORDER BY abs(l_partkey % 1000 - 500) DESC, l_orderkey, l_linenumber LIMIT 500)
+@_query("lineitem", ["l_quantity", "l_extendedprice"], f"""
+    WITH s AS (SELECT {_P} // 4 AS x, {_Q} AS y FROM lineitem)
     SELECT x // 4 AS bx, y // 4 AS b_y, count(*)::BIGINT AS n, (SELECT avg(x) FROM s) AS mean_x, (SELECT avg(y) FROM s) AS mean_y FROM s GROUP BY 1, 2""")
 def bucket_counts(items):
-    rows = items.select(*ITEM, F.floor(_price() / 4).alias("x"), _quantity().alias("y"), (F.col("l_partkey") % 1000 - 500).alias("delta"))
-    return comparators.spatial_buckets(rows, "x", "y", "delta", ITEM, 500)
+    rows = items.select(F.floor(_price() / 4).alias("x"), _quantity().alias("y"))
+    return comparators.spatial_buckets(rows, "x", "y")
 
 
 @_query("lineitem", ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_extendedprice"], f"""

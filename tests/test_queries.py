@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -37,3 +38,11 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in found.fetchall()), key=str)
     assert got == want and got
+
+
+def test_bucket_counts_hold_every_row(spark):
+    items = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_extendedprice", "l_quantity").collect()
+    at = [(math.floor(p) % 256 // 4, math.floor(q)) for p, q in items]
+    rows = registry.queries()["bucket_counts"](spark, SF).collect()
+    assert {(r.bx, r.b_y): r.n for r in rows} == Counter((x // 4, y // 4) for x, y in at) and sum(r.n for r in rows) == len(items) > 500
+    assert {(r.mean_x, r.mean_y) for r in rows} == {(sum(x for x, _ in at) / len(at), sum(y for _, y in at) / len(at))}

@@ -73,3 +73,13 @@ def test_raw_partition_filters(spark):
     assert found == {1: ("equal", "")}
     found = {r.mb: (r.status, r.fields) for r in comparators.raw_partition_diff(left, right, ["mb"], "line_no", pocs=(8, 8)).collect()}
     assert found == {1: ("differs", "amvd"), 3: ("differs", "amvd")}
+
+
+def test_spatial_buckets_of_all_and_of_the_largest(spark):
+    rows = spark.createDataFrame([(0, 0, 3, 9), (1, 3, 3, -9), (2, 4, 0, 1), (3, 8, 7, 0), (4, None, 2, 5)], "line int, x int, y int, delta int")
+    found = comparators.spatial_buckets(rows, "x", "y").collect()
+    assert {(r.bx, r.b_y): r.n for r in found} == {(0, 0): 2, (1, 0): 1, (2, 1): 1, (None, 0): 1}
+    assert {(r.mean_x, r.mean_y) for r in found} == {(3.75, 3.0)}
+    found = comparators.spatial_buckets(comparators.largest(rows, "delta", ["line"], 2), "x", "y").collect()
+    assert [(r.bx, r.b_y, r.n, r.mean_x, r.mean_y) for r in found] == [(0, 0, 2, 1.5, 3.0)]
+    assert comparators.spatial_buckets(rows.limit(0), "x", "y").collect() == []
