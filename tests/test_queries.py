@@ -5,6 +5,9 @@ import os
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lumaframe.plans import registry
@@ -46,3 +49,28 @@ def test_bucket_counts_hold_every_row(spark):
     rows = registry.queries()["bucket_counts"](spark, SF).collect()
     assert {(r.bx, r.b_y): r.n for r in rows} == Counter((x // 4, y // 4) for x, y in at) and sum(r.n for r in rows) == len(items) > 500
     assert {(r.mean_x, r.mean_y) for r in rows} == {(sum(x for x, _ in at) / len(at), sum(y for _, y in at) / len(at))}
+
+
+@pytest.fixture(scope="module")
+def near_whole(tmp_path_factory):
+    """A folder with vectors of 127ths: half of them times 127 are whole as floats and just below that as doubles."""
+    values = (np.arange(-70, 71) / 127).astype(np.float32)
+    assert (values.astype(np.float64) * 127 < values * np.float32(127)).sum() == 70
+    drawn = np.random.default_rng(1).choice(values, (120, 64))
+    path = tmp_path_factory.mktemp("near_whole")
+    pq.write_table(pa.table({"vec_id": pa.array(range(120), pa.int64()), "embedding": pa.array(list(drawn), pa.list_(pa.float32())), "label": pa.array([0] * 120, pa.int32())}), path / "embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "best_vector",
+    ],
+)
+def test_products_near_whole_numbers(spark, near_whole, name):
+    rows = registry.queries()[name](spark, str(near_whole))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{near_whole}/embeddings.parquet'")
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, rows.collect())) == sorted(want) and want
