@@ -66,6 +66,7 @@ def near_whole(tmp_path_factory):
     "name",
     [
         "best_vector",
+        "chroma_dc",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
