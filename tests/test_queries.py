@@ -68,6 +68,7 @@ def near_whole(tmp_path_factory):
         "best_vector",
         "chroma_dc",
         "coding_order",
+        "dct4x4",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
