@@ -69,6 +69,7 @@ def near_whole(tmp_path_factory):
         "chroma_dc",
         "coding_order",
         "dct4x4",
+        "dct8x8",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
