@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumaframe.functions import blocks, deblock, scalar
 from lumaframe.operators import comparators, compare, sequence
 from lumaframe.plans import bitstreams, comparisons, macroblocks, pictures
-from lumaframe.plans.register import Query
+from lumaframe.plans.register import Query, component
 from lumaframe.sources import traces
 
 _MODULES = [comparisons, macroblocks, pictures, bitstreams]
@@ -198,7 +198,7 @@ def bs_strength(items):
 
 def _block(vectors: DataFrame, at: int = 0) -> DataFrame:
     """Sixteen components in -127..127 as a block."""
-    return vectors.select("vec_id", "label", F.transform(F.slice("embedding", at + 1, 16), lambda x: F.floor(x * 127)).alias("x"))
+    return vectors.select("vec_id", "label", F.transform(F.slice("embedding", at + 1, 16), component).alias("x"))
 
 
 _V16 = "list_transform(embedding[1:16], lambda v: CAST(floor(v * 127::FLOAT) AS BIGINT))"

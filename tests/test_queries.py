@@ -70,6 +70,7 @@ def near_whole(tmp_path_factory):
         "coding_order",
         "dct4x4",
         "dct8x8",
+        "dequant",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
