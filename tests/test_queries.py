@@ -71,6 +71,7 @@ def near_whole(tmp_path_factory):
         "dct4x4",
         "dct8x8",
         "dequant",
+        "dequant_8x8",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
