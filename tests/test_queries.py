@@ -72,6 +72,7 @@ def near_whole(tmp_path_factory):
         "dct8x8",
         "dequant",
         "dequant_8x8",
+        "hadamard",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
