@@ -73,6 +73,7 @@ def near_whole(tmp_path_factory):
         "dequant",
         "dequant_8x8",
         "hadamard",
+        "hadamard_dc",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
