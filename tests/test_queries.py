@@ -74,6 +74,7 @@ def near_whole(tmp_path_factory):
         "dequant_8x8",
         "hadamard",
         "hadamard_dc",
+        "idct8x8",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
