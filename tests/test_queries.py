@@ -75,6 +75,7 @@ def near_whole(tmp_path_factory):
         "hadamard",
         "hadamard_dc",
         "idct8x8",
+        "masked_inverse",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
