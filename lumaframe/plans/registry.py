@@ -267,7 +267,7 @@ def sad(vectors):
     WITH b AS (SELECT vec_id, list_transform(list_zip(embedding[1:16], embedding[17:32]), lambda p: CAST(floor(p[1] * 127::FLOAT) AS BIGINT) - CAST(floor(p[2] * 127::FLOAT) AS BIGINT)) AS x FROM embeddings),
     h AS (SELECT vec_id, {_hadamard_sql()} FROM b) SELECT vec_id, ({' + '.join(f'abs(c{i})' for i in range(16))} + 1) >> 1 AS satd FROM h""")
 def satd(vectors):
-    part = lambda at: F.transform(F.slice("embedding", at, 16), lambda v: F.floor(v * 127))
+    part = lambda at: F.transform(F.slice("embedding", at, 16), component)
     return vectors.select("vec_id", blocks.satd4x4(part(1), part(17)).alias("satd"))
 
 

@@ -76,6 +76,7 @@ def near_whole(tmp_path_factory):
         "hadamard_dc",
         "idct8x8",
         "masked_inverse",
+        "satd",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
