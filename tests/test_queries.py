@@ -77,6 +77,7 @@ def near_whole(tmp_path_factory):
         "idct8x8",
         "masked_inverse",
         "satd",
+        "split_8x8",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
