@@ -78,6 +78,7 @@ def near_whole(tmp_path_factory):
         "masked_inverse",
         "satd",
         "split_8x8",
+        "zigzag",
     ],
 )
 def test_products_near_whole_numbers(spark, near_whole, name):
