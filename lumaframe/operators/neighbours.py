@@ -4,13 +4,18 @@ A macroblock is a row: keys of its picture, mb_x, mb_y and arrays of 16 values,
 one for each 4x4 block in raster order. All that a neighbour shows is a strip:
 the four values of the column or row that faces the macroblock, or the one in
 the corner. Only strips are shipped to the neighbour's place, by equi-joins on
-picture and place; a macroblock's own row is shuffled once. Rows are unique by
-picture and place. These are rules over finished tables; nothing is decoded.
+picture and place; a macroblock's own row is shuffled once. Direct motion needs
+one block of each neighbour only: there a picture lies in one task, which sorts
+its rows and looks neighbours up in them. Rows are unique by picture and place. These are
+rules over finished tables; nothing is decoded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions.scalar import median3, wrap16
@@ -122,6 +127,14 @@ def _cells_read(shape: str) -> list[dict[str, int]]:
     return rows
 
 
+def _whose(refs: list[Column], ref: Column) -> Column:
+    """0 to 2 for the one neighbour of that reference, else 3 for the median of all; 0, the left one, where nothing lies above."""
+    a, b, c = (r == ref for r in refs)
+    matches = a.cast("int") + b.cast("int") + c.cast("int")
+    only_left = (matches == 0) & (refs[1] == MISSING) & (refs[2] == MISSING) & (refs[0] != MISSING)
+    return F.when(matches == 1, F.when(a, 0).when(b, 1).otherwise(2)).when(only_left, 0).otherwise(3)
+
+
 def _median_rule(refs: list[Column], vectors: list[tuple[Column, Column]], ref: Column) -> tuple[Column, Column]:
     """The one neighbour of that reference, else the median of three; the left one where nothing lies above."""
     a, b, c = (r == ref for r in refs)
@@ -173,48 +186,82 @@ def predict_vectors(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return done.select(*keys, "mb_x", "mb_y", "part", "ref", "pred_x", "pred_y", *[wrap16(F.col(f"_{n}") - F.col(f"pred_{n}")).cast("int").alias(f"diff_{n}") for n in "xy"])
 
 
+_ROW = 1 << 33  # places between a macroblock and the one below it: more than any two of a row are apart
+
+
+def _pair(high: Column, low: Column) -> Column:
+    """Two integers as one."""
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _apart(pair: Column) -> tuple[Column, Column]:
+    return F.shiftright(pair, 32).cast("int"), F.shiftright(F.shiftleft(pair, 32), 32).cast("int")
+
+
+def _looked_up(rows: DataFrame, keys: list[str], names: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with side_name for the names of each side: the neighbour's columns, null where there is none.
+
+    A picture's rows come to one task (without a shuffle, if they lie by ``keys`` already) and are sorted once by place.
+    """
+    place = F.col("mb_y").cast("int").cast("long") * _ROW + F.col("mb_x").cast("int")
+    known = F.col("_place").isNotNull()  # nulls are no place and no picture, though a window takes them for equal
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    at = lambda dx, dy: Window.partitionBy(*keys).orderBy("_place").rangeBetween(dy * _ROW + dx, dy * _ROW + dx)
+    seen = [F.when(known, F.first(n).over(at(*SIDES[side][:2]))).alias(f"{side}_{n}") for side, listed in names.items() for n in listed]
+    return rows.withColumn("_place", place).select(*rows.columns, *seen)
+
+
 def spatial_direct(blocks: DataFrame, colocated: DataFrame, keys: list[str], colocated_keys: list[str]) -> DataFrame:
     """Four rows for each direct macroblock, one a quarter: keys, mb_x, mb_y, quarter, still, and ref, x, y of both lists.
 
     blocks: direct (boolean), colocated_keys (the picture that comes first in
     list 1) and arrays of 16: ref0, x0, y0, ref1, x1, y1. colocated: the same
-    arrays of finished pictures under ``keys``, with intra and whole (one
-    16x16 part). A list's reference is the least one, not negative, of left,
-    above and above right (else above left); its vector follows the median
-    rule; without any reference both lists have reference 0 and no motion. A
-    quarter is still where its colocated block, a corner of the macroblock, or
-    the first block where the colocated macroblock is one part and its corners
-    are alike, has reference 0 (of list 1 where list 0 is not used) and moves
-    by at most one quarter sample: then reference 0 has no motion, in each
-    list by itself. Intra and missing colocated macroblocks are not still.
+    arrays of finished pictures under ``keys``, with intra. A list's reference
+    is the least one, not negative, of left, above and above right (else above
+    left); its vector follows the median rule; without any reference both lists
+    have reference 0 and no motion. A quarter is still where its colocated
+    block, a corner of the macroblock (the corners of one that is one part are
+    alike), has reference 0 (of list 1 where list 0 is not used) and moves by
+    at most one quarter sample: then reference 0 has no motion, in each list by
+    itself. Intra and missing colocated macroblocks are not still. One picture
+    is one task's work; pictures that lie by ``keys`` are not shuffled for it.
     """
-    names = [f"{n}{i}" for i in (0, 1) for n in ("ref", "x", "y")]
-    shown = with_strips(blocks.select(*keys, "mb_x", "mb_y", *colocated_keys, "direct", *names), keys, names, list(SIDES)).where("direct")
-    get = lambda side, name, i, missing: F.coalesce(F.get(F.col(f"{side}_{name}"), F.lit(i)), F.lit(missing)).cast("int")
-    lists = {}
-    for i in (0, 1):
-        at = {s: (get(s, f"ref{i}", 0, MISSING), (get(s, f"x{i}", 0, 0), get(s, f"y{i}", 0, 0))) for s in SIDES}
-        gone = at["top_right"][0] == MISSING
-        corner = F.when(gone, at["top_left"][0]).otherwise(at["top_right"][0]), tuple(F.when(gone, v).otherwise(u) for u, v in zip(at["top_right"][1], at["top_left"][1], strict=True))
-        three = [at["left"], at["top"], corner]
-        best = F.array_min(F.filter(F.array(*[r for r, _ in three]), lambda r: r >= 0))
-        vector = _median_rule([r for r, _ in three], [v for _, v in three], best)
-        lists[i] = F.coalesce(best, F.lit(-1)), [F.when(best.isNull(), 0).otherwise(v) for v in vector]
-    neither = (lists[0][0] < 0) & (lists[1][0] < 0)
-    inferred = [*[F.when(neither, 0).otherwise(lists[i][0]).alias(f"ref{i}") for i in (0, 1)], *[v.cast("int").alias(f"{n}{i}") for i in (0, 1) for n, v in zip("xy", lists[i][1], strict=True)]]
-    step = shown.select(*keys, "mb_x", "mb_y", *[F.col(c).alias(f"_{c}") for c in colocated_keys], *inferred)
-
-    # List 1 stands in where list 0 is not used.
-    pick = lambda n: F.when(F.get("ref0", F.lit(p)) < 0, F.get(f"{n}1", F.lit(p))).otherwise(F.get(f"{n}0", F.lit(p))).cast("int").alias(n)  # noqa: B023, E731
-    corners = []
-    for p in (0, 3, 12, 15):
-        corners.append(F.struct(pick("ref"), pick("x"), pick("y")))
-    there = colocated.select(*[F.col(k).alias(f"_{c}") for k, c in zip(keys, colocated_keys, strict=True)], "mb_x", "mb_y", "intra", "whole", F.array(*corners).alias("corners"))
+    pairs = [("ref0", "ref1"), ("x0", "y0"), ("x1", "y1")]
+    # The blocks that neighbours look at: the last of the first row, the first of the last row, and the last of all.
+    facing = {"left": 3, "top": 12, "top_right": 12, "top_left": 15}
+    value = lambda n, p: F.coalesce(F.get(F.col(n), F.lit(p)).cast("int"), F.lit(MISSING if n in pairs[0] else 0))
+    own = [_pair(value(a, p), value(b, p)).alias(f"{a}_{p}") for p in (3, 12, 15) for a, b in pairs]
+    held = blocks.select(*keys, "mb_x", "mb_y", *[F.col(c).alias(f"_{c}") for c in colocated_keys], "direct", *own)
+    shown = _looked_up(held, keys, {side: [f"{a}_{p}" for a, _ in pairs] for side, p in facing.items()}).where("direct")
+    # Without a neighbour both references are MISSING and nothing moves.
+    absent = {"ref0": MISSING << 32 | MISSING & 0xFFFFFFFF, "x0": 0, "x1": 0}
+    own = [*keys, "mb_x", "mb_y", *[f"_{c}" for c in colocated_keys]]
+    step = shown.select(*own, *[F.coalesce(f"{side}_{n}_{p}", F.lit(missing).cast("long")).alias(f"{side}_{n}") for side, p in facing.items() for n, missing in absent.items()])
+    right, left = ({n: F.col(f"{side}_{n}") for n in absent} for side in ("top_right", "top_left"))
+    gone = [r == MISSING for r in _apart(right["ref0"])]
+    refs = _pair(*[F.when(g, v).otherwise(u) for g, u, v in zip(gone, _apart(right["ref0"]), _apart(left["ref0"]), strict=True)])
+    step = step.withColumns({"corner_ref0": refs} | {f"corner_x{i}": F.when(gone[i], left[f"x{i}"]).otherwise(right[f"x{i}"]) for i in (0, 1)})
+    three = ["left", "top", "corner"]
+    step = step.select(*own, *[v.alias(f"{side}_{n}") for side in three for pair in pairs for n, v in zip(pair, _apart(F.col(f"{side}_{pair[0]}")), strict=True)])
+    of = lambda n: [F.col(f"{side}_{n}") for side in three]
+    step = step.withColumns({f"best{i}": F.least(*[F.when(r >= 0, r) for r in of(f"ref{i}")]) for i in (0, 1)})
+    step = step.withColumns({f"whose{i}": F.when(F.col(f"best{i}").isNotNull(), _whose(of(f"ref{i}"), F.col(f"best{i}"))) for i in (0, 1)})
+    neither = F.col("best0").isNull() & F.col("best1").isNull()
+    ref = {f"ref{i}": F.when(neither, 0).otherwise(F.coalesce(f"best{i}", F.lit(-1))) for i in (0, 1)}
+    vector = {f"{n}{i}": F.when(F.col(f"whose{i}") == 3, median3(*of(f"{n}{i}"))).otherwise(F.coalesce(F.get(F.array(*of(f"{n}{i}")), F.col(f"whose{i}")), F.lit(0))).cast("int") for i in (0, 1) for n in "xy"}
+    step = step.select(*own, *[v.alias(n) for n, v in (ref | vector).items()])
+
+    # A bit for each corner that rests; list 1 stands in where list 0 is not used.
+    used = lambda p: ((r := F.get("ref0", F.lit(p))) == 0, (r < 0) & (F.get("ref1", F.lit(p)) == 0))
+    slow = lambda i, p: F.get(f"x{i}", F.lit(p)).isin(-1, 0, 1) & F.get(f"y{i}", F.lit(p)).isin(-1, 0, 1)
+    corners = [(used(p), p) for p in (0, 3, 12, 15)]
+    bits = sum((F.when((u[0] & slow(0, p)) | (u[1] & slow(1, p)), 1 << k).otherwise(0) for k, (u, p) in enumerate(corners)), F.lit(0))
+    # Only places that may hold a still quarter are shipped. As their keys hang on ``intra``, no test for nulls moves below what
+    # made ``colocated``: if ``blocks`` was made by the same plan, the two stay alike and it runs once.
+    named = dict(zip([*keys, "mb_x", "mb_y"], [*[f"_{c}" for c in colocated_keys], "mb_x", "mb_y"], strict=True))
+    there = colocated.where(reduce(or_, [u[0] | u[1] for u, _ in corners])).select(*[F.when(~F.col("intra"), F.col(k)).alias(n) for k, n in named.items()], bits.alias("bits"))
     both = step.join(there.hint("merge"), [*[f"_{c}" for c in colocated_keys], "mb_x", "mb_y"], "left")
-    alike = F.size(F.array_distinct("corners")) == 1
-    at = F.when(F.col("whole") & alike, 0).otherwise(F.col("quarter"))
-    block = F.get("corners", at)
-    still = F.coalesce(~F.col("intra") & (block["ref"] == 0) & (F.abs(block["x"]) <= 1) & (F.abs(block["y"]) <= 1), F.lit(False))
-    quarters = both.withColumn("quarter", F.explode(F.array(*map(F.lit, range(4))))).withColumn("still", still)
+    quarters = both.withColumn("quarter", F.explode(F.array(*map(F.lit, range(4))))).withColumn("still", F.coalesce(F.call_function("shiftright", "bits", F.col("quarter")).bitwiseAND(F.lit(1)) != 0, F.lit(False)))
     moved = [F.when(F.col("still") & (F.col(f"ref{i}") == 0), 0).otherwise(F.col(f"{n}{i}")).alias(f"{n}{i}") for i in (0, 1) for n in "xy"]
     return quarters.select(*keys, "mb_x", "mb_y", "quarter", "still", "ref0", "ref1", *moved)

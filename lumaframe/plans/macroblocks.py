@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaframe.operators import neighbours
-from lumaframe.plans.comparisons import ITEM, registered, unique_lines
+from lumaframe.plans.comparisons import ITEM, registered, unique_lines, unique_sql
 
 __all__ = ["registered"]  # one register serves both modules
 
@@ -117,7 +117,7 @@ def _direct_sql(i: int) -> str:
     return f"list{i} AS (SELECT *, {vector('h')} AS x{i}, {vector('v')} AS y{i} FROM (SELECT *, {best} AS best{i} FROM {before}))"
 
 
-@unique_lines(f"""WITH {_DIRECT},
+@registered.query(unique_sql(f"""WITH {_DIRECT},
     three AS (SELECT p.pic, p.mb_x, p.mb_y, {_THREE.format(r='ref0', x='x0', y='y0', i='0')}, {_THREE.format(r='ref1', x='x1', y='y1', i='1')}
         FROM cells p {_looked_up('a', 'p.cx - 1', 'p.cy', '')} {_looked_up('b', 'p.cx', 'p.cy - 1', '')} {_looked_up('c', 'p.cx + 4', 'p.cy - 1', '')} {_looked_up('d', 'p.cx - 1', 'p.cy - 1', '')} WHERE p.k = 0 AND p.l_partkey % 2 = 0),
     {_direct_sql(0)}, {_direct_sql(1)},
@@ -127,11 +127,12 @@ def _direct_sql(i: int) -> str:
     quarters AS (SELECT i.*, quarter, coalesce(NOT m.intra AND b[1] = 0 AND abs(b[2]) <= 1 AND abs(b[3]) <= 1, FALSE) AS still
         FROM (SELECT *, unnest(range(4)) AS quarter FROM inferred) i LEFT JOIN moved m USING (pic, mb_x, mb_y), LATERAL (SELECT m.v[CASE WHEN m.one THEN 1 ELSE quarter + 1 END] AS b))
     SELECT pic, mb_x, mb_y, quarter::INTEGER AS quarter, still, ref0::INTEGER AS ref0, ref1::INTEGER AS ref1, (CASE WHEN still AND ref0 = 0 THEN 0 ELSE x0 END)::INTEGER AS x0, (CASE WHEN still AND ref0 = 0 THEN 0 ELSE y0 END)::INTEGER AS y0,
-           (CASE WHEN still AND ref1 = 0 THEN 0 ELSE x1 END)::INTEGER AS x1, (CASE WHEN still AND ref1 = 0 THEN 0 ELSE y1 END)::INTEGER AS y1 FROM quarters""", lineitem=MB)
+           (CASE WHEN still AND ref1 = 0 THEN 0 ELSE x1 END)::INTEGER AS x1, (CASE WHEN still AND ref1 = 0 THEN 0 ELSE y1 END)::INTEGER AS y1 FROM quarters""", MB), lineitem=MB)
 def spatial_direct(items):
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    rows = _pictures(
-        items, direct=part % 2 == 0, intra=supp % 7 == 0, whole=part % 4 < 2, ref0=_each(16, lambda k: supp % 4 - 1), ref1=_each(16, lambda k: part % 3 - 1),
-        x0=_each(16, lambda k: part % 4 - 1 + k % 4 // 2 * (supp % 2)), y0=_each(16, lambda k: supp % 3 - 1), x1=_each(16, lambda k: supp % 4 - 1), y1=_each(16, lambda k: part % 3 - 1 + k // 8 * (part % 2)),
-    )
+    # Lines are dealt by picture before they are made unique, so neither that nor their neighbours take another shuffle.
+    lines = _pictures(items, part=F.col("l_partkey"), supp=F.col("l_suppkey")).repartition("pic").groupBy("pic", "mb_x", "mb_y").agg(F.min("part").alias("part"), F.min("supp").alias("supp"))
+    part, supp = F.col("part"), F.col("supp")
+    columns = {"direct": part % 2 == 0, "intra": supp % 7 == 0, "ref0": _each(16, lambda k: supp % 4 - 1), "ref1": _each(16, lambda k: part % 3 - 1), "y0": _each(16, lambda k: supp % 3 - 1), "x1": _each(16, lambda k: supp % 4 - 1)}
+    columns |= {"x0": _each(16, lambda k: part % 4 - 1 + k % 4 // 2 * (supp % 2)), "y1": _each(16, lambda k: part % 3 - 1 + k // 8 * (part % 2))}
+    rows = lines.select("pic", "mb_x", "mb_y", *[c.alias(n) for n, c in columns.items()])
     return neighbours.spatial_direct(rows.withColumn("col", F.col("pic") - 1), rows, ["pic"], ["col"])

@@ -104,3 +104,28 @@ def test_modes_and_direct_motion_at_the_edges(spark):
     found = spatial_direct(frame, frame, ["p"], ["col"]).orderBy("quarter").collect()
     assert [tuple(r) for r in found] == [(1, 0, 0, q, True, 0, 0, 0, 0, 0, 0) for q in range(4)]
     assert spatial_direct(frame.where(F.col("p") == 1), frame.limit(0), ["p"], ["col"]).where("still").count() == 0
+
+
+def test_direct_motion_ships_no_arrays_and_reads_its_table_once(spark):
+    from lumaframe.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["spatial_direct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # The table by picture, direct macroblocks by their colocated place, and still quarters; both sides read the first.
+    assert plan.count("- Exchange ") == 3 and plan.count("ReusedExchange") == 1
+
+
+def test_direct_motion_of_nulls_and_gaps(spark):
+    """Rows without a picture or a place have no neighbours, even if alike; others look past gaps for nothing."""
+    one = lambda p, x, y, v: (p, 9, x, y, True, False, [v] * 16, [v * 3] * 16, [v * 5] * 16, [-1] * 16, [0] * 16, [0] * 16)
+    rows = [one(None, 0, 0, 1), one(None, 1, 0, 2), one(1, None, 0, 1), one(1, None, 0, 2), one(1, -1, -2, 4), one(1, 0, -2, 5), one(1, 2, -2, 3), one(1, 0, -1, 6), one(1, 1, -1, 7), one(1, 3, -1, 8)]
+    frame = spark.createDataFrame(rows, "p int, col int, mb_x int, mb_y int, direct boolean, intra boolean, " + ", ".join(f"{n} array<int>" for n in ("ref0", "x0", "y0", "ref1", "x1", "y1"))).repartition(4)
+    found = spatial_direct(frame, frame.where("p = 1"), ["p"], ["col"]).where("quarter = 2").collect()
+    got = sorted(((r.p, r.mb_x, r.mb_y, r.ref0, r.x0, r.y0, r.ref1, r.still) for r in found), key=str)
+    no = (0, 0, 0, 0, False)
+    # (0, -1): above is 5, above left 4; (1, -1): on the left 6, above right 3; (3, -1): above left 3; (0, -2): on the left 4.
+    want = [(None, 0, 0, *no), (None, 1, 0, *no), (1, None, 0, *no), (1, None, 0, *no), (1, -1, -2, *no), (1, 0, -2, 4, 12, 20, -1, False), (1, 2, -2, *no), (1, 0, -1, 4, 12, 20, -1, False), (1, 1, -1, 3, 9, 15, -1, False), (1, 3, -1, 3, 9, 15, -1, False)]
+    assert got == sorted(want, key=str)
